@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import dac, media, packing, sharding, urlfilter
+from corpusloom.llm import dac, media, packing, setsketch, sharding, urlfilter
 
 SHARDS = 16
 
@@ -60,6 +60,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op5_setsketch_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(dac.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 0))
 
@@ -69,7 +73,7 @@ def op8_text_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_label_sharding, op3_tier_packing, op4_url_rules, op6_token_codes, op8_text_media]
+    own = [op1_label_sharding, op3_tier_packing, op4_url_rules, op5_setsketch_links, op6_token_codes, op8_text_media]
     return {f.__name__: f for f in own}
 
 
