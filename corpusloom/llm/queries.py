@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import dac, media, packing, setsketch, sharding, urlfilter
+from corpusloom.llm import dac, media, packing, setsketch, sharding, suffixdedup, urlfilter
 
 SHARDS = 16
 
@@ -29,6 +29,10 @@ def op1_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.kept_digest(suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), 50))
+
+
 def op3_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1, 2048)
 
@@ -73,7 +77,7 @@ def op8_text_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_label_sharding, op3_tier_packing, op4_url_rules, op5_setsketch_links, op6_token_codes, op8_text_media]
+    own = [op1_label_sharding, op2_repeat_removal, op3_tier_packing, op4_url_rules, op5_setsketch_links, op6_token_codes, op8_text_media]
     return {f.__name__: f for f in own}
 
 
