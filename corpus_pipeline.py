@@ -1,6 +1,68 @@
-STAGES = []
+"""Training-corpus pipeline: quality classifier, near-dedup, repeat removal, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet
+and read again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import decontaminate, kneserney, packing, setsketch, suffixdedup
+from corpusloom.llm.common import materialize
+from corpusloom.llm.queries import tokenizer_file
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within their language's limit."""
+    model = kneserney.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return kneserney.classify(docs.select(*COLUMNS), model).where("not rejected").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8): the one with the smallest id."""
+    kept = setsketch.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = materialize(kept, "kept")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without 50-byte strings that a document with a smaller id has; a character cut in two goes as well. Texts left empty go."""
+    out = suffixdedup.remove_repeats(docs, 50, ("lang", "source"))
+    text = F.expr("make_valid_utf8(cast(kept as string))")
+    text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("�"), F.lit(""))).otherwise(text)
+    out = out.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, nor an edited copy of one."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of full token sequences."""
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), 1, 2048)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("repeat_removal", repeat_removal),
+    ("decontamination", decontamination),
+    ("packing", packed),
+]
+
+#: Language models, alignments and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; returns the last one's rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import dac, media, packing, setsketch, sharding, suffixdedup, urlfilter
+from corpusloom.llm import dac, decontaminate, kneserney, media, packing, setsketch, sharding, suffixdedup, toxicity, urlfilter
 
 SHARDS = 16
 
@@ -72,12 +72,29 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(dac.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 0))
 
 
+def op7_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_text_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneserney.fit(docs, table(spark, sf_dir, "labels"))
+    return kneserney.classify(docs, model).select("doc_id", "lang", "perplexity", "limit", "rejected", (~F.col("rejected")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_label_sharding, op2_repeat_removal, op3_tier_packing, op4_url_rules, op5_setsketch_links, op6_token_codes, op8_text_media]
+    own = [op1_label_sharding, op2_repeat_removal, op3_tier_packing, op4_url_rules, op5_setsketch_links, op6_token_codes, op7_kernel_toxicity, op8_text_media, op9_benchmark_leaks, op10_quality_perplexity]
     return {f.__name__: f for f in own}
 
 

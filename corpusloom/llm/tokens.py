@@ -1,25 +1,34 @@
 """Token ids of texts by a public tokenizer file, with ids of recurring words kept per worker process.
 
 Both kinds of vocabulary split a text before white space and never join across it, so a text's ids are the ids of its
-space-separated parts in order. Texts with a separator on which Python and the tokenizer may disagree go whole.
+parts in order. Texts with a separator on which Python and the tokenizer may disagree go whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
 import numpy as np
 
-#: Parts kept per worker, and the longest part that is kept. Only memory and speed depend on them.
-KEPT, LONGEST = 600_000, 48
+#: Parts kept per worker and generation, and the longest part that is kept. Only memory and speed depend on them.
+KEPT, LONGEST = 400_000, 48
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"  # all letters up to U+00FF
+_FINE = re.compile(rf"[ \n\t\r]*(?:[^{_LETTERS} \n\t\r]*[{_LETTERS}]+|[^{_LETTERS} \n\t\r]+)|[ \n\t\r]+")
+_FINE_WORDS = re.compile(rf"[^{_LETTERS} \n\t\r\x0b\x0c\x85\xa0]*[{_LETTERS}]+|[^{_LETTERS} \n\t\r\x0b\x0c\x85\xa0]+")
 _PARTS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_CONTROL = re.compile(r"[\x1c-\x1f]")
+_WIDE = re.compile(r"[^\x00-\xff]")
 
 
 class Encoder:
-    """encode(texts) gives one uint32 array of ids for each text, as tokenizers' encode_batch(add_special_tokens=False)."""
+    """encode(texts) gives one uint32 array of ids for each text, as tokenizers' encode_batch(add_special_tokens=False).
+
+    Parts end before white space, and in texts up to U+00FF also behind a run of letters: neither vocabulary joins
+    across such a place. Kept parts have two generations, so that recurring ones stay and rare ones go.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -27,33 +36,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = "</w>" in (self.tokenizer.model.end_of_word_suffix or "")
-        self.kept: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, text: str) -> list[str] | None:
+    def _parts(self, text: str) -> list[str]:
         if self.drops_space:
-            return None if _ODD_CONTROL.search(text) else text.split()
-        return None if _ODD_SPACE.search(text) else _PARTS.findall(text)
+            if _ODD_CONTROL.search(text):
+                return [text]
+            return text.split() if _WIDE.search(text) else _FINE_WORDS.findall(text.lower())
+        if _ODD_SPACE.search(text):
+            return [text]
+        return (_PARTS if _WIDE.search(text) else _FINE).findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        get = self.young.get
         split = [self._parts(t) for t in texts]
-        kept = self.kept
-        missing = list({p for parts in split if parts for p in parts if p not in kept})
-        if len(kept) + len(missing) > KEPT:
-            kept.clear()
-            missing = list({p for parts in split if parts for p in parts})
-        new = dict(zip(missing, self._whole(missing), strict=True)) if missing else {}
-        kept.update((p, v) for p, v in new.items() if len(p) <= LONGEST)
-        out = []
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
-                raw = self._whole([text])[0]
-            else:
-                raw = b"".join([kept.get(p) or new.get(p, b"") for p in parts])
-            out.append(np.frombuffer(raw, np.uint32))
-        return out
+        found = [list(map(get, parts)) for parts in split]
+        lacking = [i for i, values in enumerate(found) if None in values]
+        missing, new = set(), {}
+        for i in lacking:
+            missing.update([p for p, v in zip(split[i], found[i], strict=True) if v is None])
+        for p in list(missing):
+            if (v := self.old.get(p)) is not None:
+                new[p] = v
+                missing.discard(p)
+        order = list(missing)
+        new.update(zip(order, self._whole(order), strict=True))
+        for i in lacking:
+            found[i] = [new[p] if v is None else v for p, v in zip(split[i], found[i], strict=True)]
+        if len(self.young) + len(new) > KEPT:
+            self.young, self.old = {}, self.young
+        self.young.update((p, v) for p, v in new.items() if len(p) <= LONGEST)
+        return [np.frombuffer(b"".join(values), np.uint32) for values in found]
 
 
 @cache
