@@ -3,8 +3,9 @@
 The string kernel of two words sums over common subsequences of three characters, each weighted by DECAY for every
 place it spans, up to SPAN places, divided by the words' norms; so letters put in or left out between cost little. The
 words' kernel is that to the POWER, 0 where the string kernel is at most FLOOR; a sentence's kernel is the sum over
-its words. Landmarks are the words that tell labelled toxic documents from others best. Most words are nowhere near a
-landmark: a bound over all landmarks at once settles them.
+its words. Landmarks are words and beginnings of words that tell labelled toxic documents from others, chosen one
+after the other so that they cover different documents. Most words are nowhere near a landmark: a bound over all
+landmarks at once settles them.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import pieces
+from corpusloom.llm.common import materialize, pieces
 
 DECAY, SPAN, LONGEST, STEP = 0.7, 6, 24, 16
-SYMBOLS = 32
-POWER, FLOOR = 3, 0.3
+SYMBOLS = 40
+POWER, FLOOR = 3, 0.4
 #: Words of a sentence that are judged together; longer sentences are cut.
 SENTENCE = 8
 #: Words kept per worker with their scores.
@@ -35,17 +36,21 @@ _NOT_WORD = re.compile(r"[\W_]+")
 
 
 def normal(word: str) -> str:
-    """Lower case without accents, digits and signs that stand for letters as those, other signs removed."""
+    """Lower case, digits and signs that stand for letters as those, other signs removed."""
     if not word.isascii():
-        word = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+        word = unicodedata.normalize("NFC", word)
     return _NOT_WORD.sub("", word.lower().translate(_LEET))
 
 
 def _symbols(words: list[str]) -> np.ndarray:
-    """(n, LONGEST + 2) symbol numbers, -1 beyond the end: a-z, marks for the word's two ends, other characters by hash."""
+    """(n, LONGEST + 2) symbol numbers, -1 beyond the end: a-z, marks for the word's two ends, other characters by hash.
+
+    A hyphen at the end stands for any ending; normal words have none.
+    """
     out = np.full((len(words), LONGEST + 2), -1, np.int16)
     for i, w in enumerate(words):
-        codes = [26, *((ord(c) - 97 if "a" <= c <= "z" else 28 + ord(c) % 4) for c in w[:LONGEST]), 27]
+        end = [] if w[-1:] == "-" else [27]
+        codes = [26, *((ord(c) - 97 if "a" <= c <= "z" else 28 + ord(c) % 12) for c in w[:LONGEST].rstrip("-")), *end]
         out[i, : len(codes)] = codes
     return out
 
@@ -133,7 +138,7 @@ def _cut(word: str) -> list[str]:
 
 
 class Scorer:
-    """Decision values of texts: the largest sum of word scores in any sentence, plus the bias."""
+    """Decision values of texts: the largest sum of word scores in any sentence, half of the next two, and the bias."""
 
     def __init__(self, model: Model):
         self.model, self.kept = model, {}
@@ -161,14 +166,15 @@ class Scorer:
                 values = [new[w] if v is None else v for w, v in zip(words, values, strict=True)]
             v = np.array(values)
             if v.any():
-                out[i] += np.add.reduceat(v, np.arange(0, v.size, SENTENCE)).max()
+                sums = np.sort(np.add.reduceat(v, np.arange(0, v.size, SENTENCE)))[::-1]
+                out[i] += sums[0] + np.maximum(sums[1:3], 0).sum() / 2
         if len(self.kept) + len(new) > KEPT:
             self.kept = {}
         self.kept.update((w, v) for w, v in new.items() if len(w) <= 64)
         return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.model.slope * self.decisions(texts) + self.model.shift, -40, 40)))
+    def logistic(self, decisions: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.model.slope * decisions + self.model.shift, -40, 40)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 20) -> tuple[np.ndarray, float]:
@@ -191,74 +197,113 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, landmarks: int = 96) -> Model:
+def _strings(word: str) -> list[str]:
+    return [word, *(f"{word[:k]}-" for k in range(4, 9) if len(word) > k)]
+
+
+def _cover(members: pd.DataFrame, odds: pd.Series, most: int) -> list[str]:
+    """Strings by odds times the root of the documents they add; a document counts less with each string it has."""
+    docs, strings = pd.factorize(members.doc_id)[0], members.s.to_numpy()
+    of = {k: docs[v] for k, v in members.groupby("s").indices.items()}
+    weight, out, names = np.ones(docs.max() + 1), [], sorted(of)
+    first = 0.0
+    while len(out) < most:
+        gain = np.array([odds[s] * np.sqrt(weight[of[s]].sum()) for s in names])
+        best = int(gain.argmax())
+        first = max(first, gain[best])
+        if gain[best] < 0.1 * first or not strings.size:
+            break
+        out.append(names[best])
+        weight[of[names.pop(best)]] *= 0.25
+        if not names:
+            break
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, landmarks: int = 64) -> Model:
     """Train on at most ``most`` toxic and ``most`` other labelled documents that aren't held out, chosen by hash of the id.
 
-    Only the chosen documents' sentences reach the driver, cut to SENTENCE words and 4 * ``most`` of each kind by hash.
-    Without both kinds of label the model scores every text alike.
+    The driver gets at most 1000 candidate strings with their toxic documents, and 8 * ``most`` sentences of SENTENCE
+    words; all texts are read whole in the tasks. Without both kinds of label, or strings that tell them apart, the
+    model scores every text alike.
     """
+    none = Model(np.zeros((SYMBOLS**3, 0)), np.zeros(0))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")).dropna()
     known = known.where(~is_held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     order = F.xxhash64("doc_id", F.lit("toxic"))
     chosen = known.where("toxic").orderBy(order).limit(most).unionByName(known.where("not toxic").orderBy(order).limit(most))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = text.join(F.broadcast(chosen), "doc_id")  # at most 2 * most rows
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    size = F.size(words)
-    begins = F.when(size > 0, F.sequence(F.lit(0), (size - 1).cast("int"), F.lit(SENTENCE)))
-    cut = rows.select("doc_id", "toxic", F.posexplode(F.transform(begins, lambda i: F.slice(words, i + 1, SENTENCE))).alias("at", "words"))
-    pick = lambda t: cut.where("toxic" if t else "not toxic").orderBy(F.xxhash64("doc_id", "at")).limit(32 * most)
-    good, bad = (pick(t).select("doc_id", "words").toPandas() for t in (False, True))
-    if good.empty or bad.empty:
-        return Model(np.zeros((SYMBOLS**3, 0)), np.zeros(0))
-    count = [
-        f.assign(w=[{normal(w) for w in units(list(x))} for x in f["words"]])[["doc_id", "w"]].explode("w").drop_duplicates()["w"].value_counts()
-        for f in (good, bad)
-    ]
-    t = pd.DataFrame({"good": count[0], "bad": count[1]}).fillna(0.0)
-    t = t[t.index.str.len() > 0]
-    n_good, n_bad = good.doc_id.nunique(), bad.doc_id.nunique()
-    odds = np.log((t.bad + 0.5) / (n_bad + 1)) - np.log((t.good + 0.5) / (n_good + 1))
-    strength = odds * np.sqrt(t.bad)
-    strong = (t.bad >= min(3, n_bad)) & (odds > 2) & (strength > 0.2 * strength.max())
-    telling = list(strength[strong].sort_values(ascending=False).index[: landmarks // 2])
-    usual = list(t.good.sort_values(ascending=False).index[: landmarks // 2])
-    if not telling:
-        return Model(np.zeros((SYMBOLS**3, 0)), np.zeros(0))
+    rows = materialize(text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]), "labelled")  # at most 2 * most rows
+    size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(size) < 2:
+        return none
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 1 << 20):
+            for d, toxic, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
+                got = list({s for w in {normal(w) for w in units(t.split())} if w for s in _strings(w[:LONGEST])})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([d] * len(got), pa.int64()), pa.array([toxic] * len(got), pa.bool_()), pa.array(got, pa.string())],
+                    ["doc_id", "toxic", "s"],
+                )
+
+    every = rows.mapInArrow(strings, "doc_id long, toxic boolean, s string")
+    count = every.groupBy("s").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
+    odds = F.log((F.col("bad") + 0.5) / (size[True] + 1)) - F.log((F.col("good") + 0.5) / (size[False] + 1))
+    count = materialize(count.withColumn("odds", odds), "strings")
+    rare = max(3, size[True] // 200)
+    told = count.where((F.col("bad") >= rare) & (F.col("odds") > 2)).orderBy((-F.col("odds") * F.sqrt("bad")), "s").limit(1000)
+    told = materialize(told, "told")
+    strength = told.toPandas().set_index("s")["odds"]
+    if strength.empty:
+        return none
+    members = every.where("toxic").join(F.broadcast(told.select("s")), "s").select("doc_id", "s").toPandas()
+    telling = _cover(members, strength, landmarks)
     marked = set(telling)
-    sentences = [[n for n in map(normal, units(list(x))) if n] for x in bad["words"]]
-    positive = [s for s in sentences if marked & set(s)][: 4 * most]
+
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 1 << 20):
+            for d, toxic, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
+                words = [n for n in map(normal, units(t.split())) if n]
+                cut = [words[i : i + SENTENCE] for i in range(0, len(words), SENTENCE)]
+                hit = [any(not marked.isdisjoint(_strings(w[:LONGEST])) for w in c) for c in cut]
+                kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.string()))
+                cols = ([d] * len(cut), [toxic] * len(cut), hit, cut)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "toxic", "hit", "words"])
+
+    cut = materialize(rows.mapInArrow(sentences, "doc_id long, toxic boolean, hit boolean, words array<string>"), "sentences")
+    pick = lambda which, n: [list(r.words) for r in cut.where(which).orderBy(F.xxhash64("doc_id", "words")).limit(n).select("words").collect()]
+    positive = pick("toxic and hit", 4 * most)
+    negative = pick("not toxic and hit", 2 * most) + pick("not toxic and not hit", 2 * most)
+    # Also with a character put into the telling words: nothing that labels have, but what writers do to pass filters.
     rng = np.random.default_rng(3)
-    # Also with a character put into the telling words: nothing that labels lack, but what writers do to pass filters.
     blurred = []
-    for s in positive[: 2 * most]:
+    for s in positive[: len(positive) // 2]:
         new = []
         for w in s:
-            if w in marked and len(w) > 3:
-                i = int(rng.integers(1, len(w)))
+            if len(w) > 3 and not marked.isdisjoint(_strings(w)):
+                i = int(rng.integers(1, min(len(w), 6)))
                 w = w[:i] + "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)] + w[i:]
             new.append(w)
         blurred.append(new)
-    negative = [s for s in ([n for n in map(normal, units(list(x))) if n] for x in good["words"][: 8 * most]) if s]
     sample = positive + blurred + negative
     y = np.array([1] * (len(positive) + len(blurred)) + [-1] * len(negative))
-    points = telling + usual
+    points = telling
     flat = sorted({w[:LONGEST] for s in sample for w in s})
-    table = _explicit(points)
+    table = _explicit(points).astype(np.float32)
     own = features(points, table)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
-    keep = values > 1e-6 * values.max()
+    keep = values > 1e-4 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     near = features(flat, table) @ root
     place = {w: i for i, w in enumerate(flat)}
     x = np.array([near[[place[w[:LONGEST]] for w in s]].sum(axis=0) for s in sample])
     beta, bias = _svm(x, y)
     model = Model(table, root @ beta, bias)
-    # The logistic function of documents' largest decisions, by Newton steps on the documents it was trained on.
-    scorer = Scorer(model)
-    texts = pd.concat([good.assign(t=0), bad.assign(t=1)]).groupby("doc_id").agg(text=("words", lambda v: " ".join(" ".join(x) for x in v)), t=("t", "max"))
-    d, target = scorer.decisions(texts.text.tolist()), texts.t.to_numpy(float)
-    share = np.where(target == 1, 0.5 / max(target.sum(), 1), 0.5 / max((1 - target).sum(), 1)) * target.size
+    # The logistic function of documents' largest decisions, by Newton steps on the chosen documents.
+    got = _decided(rows, model, ["toxic"]).select("toxic", "decision").toPandas()
+    d, target = got.decision.to_numpy(), got.toxic.to_numpy(float)
+    share = np.where(target == 1, 0.25 / max(target.sum(), 1), 0.75 / max((1 - target).sum(), 1)) * target.size
     a, b = np.zeros(2), np.stack([d, np.ones_like(d)], axis=1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(b @ a, -30, 30)))
@@ -267,18 +312,25 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, landmarks: int = 9
     return Model(table, model.weights, bias, float(a[0]), float(a[1]))
 
 
+def _decided(rows: DataFrame, model: Model, carry: list[str]) -> DataFrame:
+    """The carried columns with decision and score; rows must have text."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    base = rows.select(*carry, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in pieces(batches, "text", 4 << 20):
+            d = scorer.decisions(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(d), pa.array(scorer.logistic(d))], [*carry, "decision", "score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in carry)
+    return base.mapInArrow(run, f"{kinds}, decision double, score double")
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from 0.5 on) of every row's whole text.
 
     Null and empty texts have the score of a text without words; equal texts score alike; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
-        for b in pieces(batches, "text", 4 << 20):
-            s = scorer.scores(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
-
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return _decided(rows, model, ["doc_id"]).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
