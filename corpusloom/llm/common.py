@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,23 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpusloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that no later step reads, and let Spark drop shuffle files nobody refers to."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._corpusloom_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

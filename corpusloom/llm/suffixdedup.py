@@ -14,19 +14,20 @@ Two equal windows choose the same suffix at the same offset, so this loses nothi
    its windows go.
 3. Window buckets, only where a q-gram bucket still holds several contexts: each context's first document gives an
    identifier for each window, and the least document of each decides.
+
+Every step deals its rows once, sorted, and streams through them.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import buffers, materialize, partitions, pieces
+from corpusloom.llm.common import buffers, discard, materialize, partitions, pieces, release
 from corpusloom.llm.hashing import mix, prefix, stretches
 
 _U = np.uint64
@@ -34,12 +35,6 @@ _U = np.uint64
 GRAM = 20
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 class Anchors:
     """Sampled suffixes of a batch of texts, and the identifiers of its suffixes and windows."""
 
@@ -160,8 +155,26 @@ def _shared(anchors: DataFrame) -> DataFrame:
     return anchors.mapInArrow(run, "doc long, at long")
 
 
+def _lists(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
+    """Row numbers and values of a list column, flat."""
+    lists = b.column(name)
+    return np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
+def _heads(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by keys and document, and which rows of it have a larger document than the first with their keys."""
+    order = np.lexsort((doc, *keys[::-1]))
+    new = np.ones(order.size, bool)
+    for k in keys:
+        new[1:] &= k[order][1:] == k[order][:-1]
+    new[1:] = ~new[1:]
+    new[:1] = True
+    first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if order.size else doc
+    return order, doc[order] > first
+
+
 def _contexts(rows: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """bucket, context, doc, mark (the text's hash), lo, n: the shared anchors' windows, n from lo on."""
+    """route, context, doc, mark, lo, n, known: the shared anchors' windows, n from lo on; known where a smaller document of the task has the context."""
     lists = shared.groupBy("doc").agg(F.collect_list("at").alias("ats"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,22 +183,64 @@ def _contexts(rows: DataFrame, shared: DataFrame, length: int) -> DataFrame:
             found = Anchors(raw, offs, length)
             if not found.at.size:
                 continue
-            owner = _owner(offs, found.lo)
-            ats = b.column("ats")
-            counts = np.diff(ats.offsets.to_numpy())
-            wanted = ats.flatten().to_numpy() + np.repeat(offs[:-1], counts)
-            good = np.isin(found.at, wanted)
-            cols = (
-                found.first[found.at].view(np.int64), found.contexts().view(np.int64),
-                b.column("doc").to_numpy()[owner], b.column("mark").to_numpy()[owner], found.lo - offs[owner], found.runs,
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in cols], ["bucket", "context", "doc", "mark", "lo", "n"])
+            row, ats = _lists(b, "ats")
+            good = np.isin(found.at, ats.to_numpy() + offs[row])
+            owner = _owner(offs, found.lo)[good]
+            route, context = found.first[found.at][good], found.contexts()[good]
+            doc, mark = b.column("doc").to_numpy()[owner], b.column("mark").to_numpy()[owner]
+            order, known = _heads([route, context], doc)
+            route = route[order]
+            route[known] = mix(route[known] + np.flatnonzero(known).astype(_U))
+            cols = (route.view(np.int64), context[order].view(np.int64), doc[order], mark[order], (found.lo[good] - offs[owner])[order], found.runs[good][order], known)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["route", "context", "doc", "mark", "lo", "n", "known"])
+
+    return rows.join(lists, "doc").mapInArrow(run, "route long, context long, doc long, mark long, lo long, n long, known boolean")
+
+
+def _judged(contexts: DataFrame) -> DataFrame:
+    """doc, mark, lo, n, whole: runs that a smaller document has wholly, and runs that are open (first of one of several contexts).
 
-    return rows.join(lists, "doc").mapInArrow(run, "bucket long, context long, doc long, mark long, lo long, n long")
+    The rows come sorted by route, context and document; only the rows of a route's last context that lead it are
+    held from batch to batch.
+    """
+    names = ["route", "context", "doc", "mark", "lo", "n", "known"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, several = [np.zeros(0, np.int64)] * 6, False  # leaders of the last context; several: they have gone out
+
+        def out(cols: list[np.ndarray], pick: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in cols[2:6]] + [pa.array(whole[pick])], ["doc", "mark", "lo", "n", "whole"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols, old = [np.concatenate(x) for x in zip(held, new[:6], strict=True)], held[0].size
+            known = np.concatenate([np.zeros(old, bool), new[6]])
+            route, context, doc = cols[:3]
+            next_route, head = np.ones(route.size, bool), np.ones(route.size, bool)
+            next_route[1:] = route[1:] != route[:-1]
+            head[1:] = next_route[1:] | (context[1:] != context[:-1])
+            begin, in_route = np.flatnonzero(head), np.cumsum(next_route) - 1
+            whole = (doc > doc[begin][np.cumsum(head) - 1]) | known
+            many = np.bincount(in_route, head)[in_route] > 1
+            if old and several:
+                many[in_route == 0] = True
+            gone = np.zeros(route.size, bool)
+            gone[:old] = several
+            pick = ((whole | many) & ~gone) & ~(whole & (np.arange(route.size) < old))
+            if pick.any():
+                yield out(cols, pick, whole)
+            lead = np.arange(route.size) >= begin[-1]
+            lead &= ~whole
+            several = bool(many[-1])
+            held = [c[lead] for c in cols] if lead.any() else [np.zeros(0, np.int64)] * 6
+
+    return contexts.mapInArrow(run, "doc long, mark long, lo long, n long, whole boolean")
 
 
 def _windows(rows: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
-    """w1, w2, doc, mark, lo: an identifier for each window of the open runs."""
+    """w1, w2, doc, mark, lo: an identifier of 96 bits for each window of the open runs."""
     lists = open_runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,22 +249,42 @@ def _windows(rows: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
             found = Anchors(raw, offs, length)
             if not found.at.size:
                 continue
-            runs = b.column("runs")
-            counts, flat = np.diff(runs.offsets.to_numpy()), runs.flatten()
-            row = np.repeat(np.arange(b.num_rows), counts)
-            lo, n = flat.field("lo").to_numpy(), flat.field("n").to_numpy()
-            lo = lo + offs[row]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at, row = np.repeat(lo, n) + step, np.repeat(row, n)
+            row, runs = _lists(b, "runs")
+            lo, n = runs.field("lo").to_numpy() + offs[row], runs.field("n").to_numpy()
+            at, row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(row, n)
+            short = (found.window(at) >> _U(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(found.window(at).view(np.int64)), pa.array(found.refined(at).view(np.int64)),
-                    pa.array(b.column("doc").to_numpy()[row]), pa.array(b.column("mark").to_numpy()[row]), pa.array(at - offs[row]),
+                    pa.array(found.refined(at).view(np.int64)), pa.array(short), pa.array(b.column("doc").to_numpy()[row]),
+                    pa.array(b.column("mark").to_numpy()[row]), pa.array((at - offs[row]).astype(np.int32)),
                 ],
                 ["w1", "w2", "doc", "mark", "lo"],
             )
 
-    return rows.join(lists, ["doc", "mark"]).mapInArrow(run, "w1 long, w2 long, doc long, mark long, lo long")
+    return rows.join(lists, ["doc", "mark"]).mapInArrow(run, "w1 long, w2 int, doc long, mark long, lo int")
+
+
+def _later(windows: DataFrame) -> DataFrame:
+    """doc, mark, lo of the windows that a smaller document has; the rows come sorted by w1, w2 and document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w1, w2, doc = (b.column(c).to_numpy() for c in ("w1", "w2", "doc"))
+            head = np.ones(w1.size, bool)
+            head[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            least = doc[np.flatnonzero(head)]
+            if last is not None and last[:2] == (w1[0], w2[0]):
+                least[0] = last[2]
+            group = np.cumsum(head) - 1
+            later = doc > least[group]
+            last = (w1[-1], w2[-1], least[-1])
+            if later.any():
+                yield b.select(["doc", "mark", "lo"]).filter(pa.array(later))
+
+    return windows.mapInArrow(run, "doc long, mark long, lo int")
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -220,24 +295,20 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).dropna()
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    dealt = _anchors(rows.drop("mark"), length).repartition(partitions(spark), "route").sortWithinPartitions("route", "doc")
-    shared = materialize(_shared(dealt), "anchors")
-    _release(spark)
-    found = materialize(_contexts(rows, shared, length), "contexts")
-    _release(spark)
-    least = found.groupBy("bucket", "context").agg(F.min("doc").alias("least"))
-    least = materialize(least, "least")
-    several = least.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    met = found.join(least, ["bucket", "context"])
-    whole = met.where("least < doc").select("doc", "mark", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi"))
-    first = met.where("least = doc").join(several, "bucket", "left_semi").select("doc", "mark", "lo", "n")
-    windows = materialize(_windows(rows, first, length), "windows")
-    owners = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
-    single = windows.join(owners, ["w1", "w2"]).where("least < doc").select("doc", "mark", "lo", (F.col("lo") + length).alias("hi"))
-    spans = whole.unionByName(single).groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    spans = materialize(spans, "spans")
-    _release(spark)
-    return spans
+    n = partitions(spark)
+    shared = materialize(_shared(_anchors(rows.drop("mark"), length).repartition(n, "route").sortWithinPartitions("route", "doc")), "anchors")
+    release(spark)
+    judged = _judged(_contexts(rows, shared, length).repartition(n, "route").sortWithinPartitions("route", "context", "doc"))
+    judged = materialize(judged, "contexts")
+    discard(shared)
+    dealt = _windows(rows, judged.where("not whole"), length).repartition(n, "w1").sortWithinPartitions("w1", "w2", "doc")
+    single = materialize(_later(dealt), "windows")
+    del dealt
+    release(spark)
+    spans = judged.where("whole").select("doc", "mark", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi")).unionByName(
+        single.select("doc", "mark", F.col("lo").cast("long").alias("lo"), (F.col("lo") + length).cast("long").alias("hi"))
+    )
+    return spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
