@@ -6,8 +6,8 @@ candidates. A candidate pair is first judged by a likelihood over the counts of
 then confirmed on the full shingle sets.
 
 Texts with equal sets form one class. In a band's bucket every class is compared with one hub, the class that shares
-most buckets; only classes that are still in different components are then compared with each other. A group of
-near copies thus costs about one comparison a member, and no link between components is lost.
+most buckets; only classes that are still in different components are then compared with each other (see _across). A
+group of near copies thus costs about one comparison a member, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import buffers, materialize, pieces
+from corpusloom.llm.common import buffers, discard, materialize, pieces
 from corpusloom.llm.components import components
 from corpusloom.llm.hashing import mix, shingles
 
@@ -30,6 +30,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: A pair is verified unless its likelihood estimate lies so far under the threshold (over six standard errors).
 SLACK = 0.22
+#: In groups of up to so many members, classes of different components are all compared.
+DIRECT = 16
 
 _LANES = np.random.default_rng(7).integers(0, 1 << 64, (2, REGISTERS), dtype=np.uint64)
 _LANES[0] |= np.uint64(1)
@@ -161,6 +163,58 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return mine.select("key", "text").mapInArrow(run, "key binary, set binary").dropDuplicates(["key"])
 
 
+def _against_hub(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (hub, key, root, main) with n, the set's size, a, how many of it the hub has, and own, those the hub lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "set_key", 4 << 20):
+            n, a, own = [], [], []
+            for x, h in zip(b.column("set_key").to_pylist(), b.column("set_hub").to_pylist(), strict=True):
+                x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+                rest = x[h[np.minimum(np.searchsorted(h, x), h.size - 1)] != x]
+                n.append(x.size)
+                a.append(x.size - rest.size)
+                own.append(rest.view(np.int64))
+            cols = [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(own, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("hub", "key", "root", "main")), *cols], ["hub", "key", "root", "main", "n", "a", "own"])
+
+    x, h = sets.select("key", F.col("set").alias("set_key")), sets.select(F.col("key").alias("hub"), F.col("set").alias("set_hub"))
+    both = members.join(x, "key").join(h, "hub").select("hub", "key", "root", "main", "set_key", "set_hub")
+    return both.mapInArrow(run, "hub binary, key binary, root binary, main binary, n long, a long, own array<long>")
+
+
+def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs a, b of a hub's members in different components that can still be linked; no link between components is left out.
+
+    In a group of up to DIRECT members all such pairs come. In a larger one each member is split into what the hub has
+    of it and what it has of its own. Two members that share something of their own meet by it. Two that don't have at
+    most the smaller of their parts of the hub in common, so their sizes alone rule nearly all of them out.
+    """
+    rooted = members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = rooted.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = roots.groupBy("hub").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("c"))
+    rest = materialize(rooted.join(main.where("roots > 1"), "hub").select("hub", "key", "root", "main", "c"), "rest")
+
+    def pairs(x: DataFrame, y: DataFrame, on: list[str], such: Column) -> DataFrame:
+        """A hub's largest component only meets the classes outside it."""
+        x, y = x.where("root <> main").alias("x"), y.alias("y")
+        here = (F.col("x.root") != F.col("y.root")) & such
+        for c in on:
+            here &= F.col(f"x.{c}") == F.col(f"y.{c}")
+        return x.join(y, here).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+    few, many = rest.where(F.col("c") <= DIRECT), rest.where(F.col("c") > DIRECT)
+    wanted = many.select("key").unionByName(many.select(F.col("hub").alias("key"))).distinct()
+    sets = materialize(_sets(docs, reps.select("key", "doc_id", "mark").join(wanted, "key"), size), "members")
+    split = materialize(_against_hub(many, sets), "split")
+    n, a = F.col("x.n") + F.col("y.n"), F.least("x.a", "y.a")
+    apart = pairs(split.drop("own"), split.drop("own"), ["hub"], (100 + percent) * a >= percent * n)
+    own = split.select("hub", "key", "root", "main", "n", F.explode("own").alias("s"))
+    fits = (100 * F.least("x.n", "y.n")) >= (percent * F.greatest("x.n", "y.n"))
+    shared = pairs(own, own, ["hub", "s"], fits)
+    return pairs(few, few, ["hub"], F.lit(True)).unionByName(apart).unionByName(shared).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -184,10 +238,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     fame = shared.groupBy("key").agg(F.sum("c").alias("fame"))
     famed = shared.join(fame, "key")
     hubs = famed.groupBy("bucket").agg(F.max(F.struct("fame", "key"))["key"].alias("hub"))
-    star = (
-        shared.join(hubs, "bucket").where("key <> hub")
-        .select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    )
+    members = materialize(shared.join(hubs, "bucket").select("hub", "key").distinct(), "members")
+    discard(shared)
+    star = members.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     regs = reps.select("key", "n_shingles", "regs")
     left = regs.select(F.col("key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"))
     right = regs.select(F.col("key").alias("b"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b"))
@@ -200,20 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     links = verify(star)
     label = components(links)
-    rooted = shared.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = (
-        sizes.groupBy("bucket").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
-        .where("roots > 1").select("bucket", "main")
-    )
-    rest = materialize(rooted.join(main, "bucket").select("bucket", "key", "root", "main"), "rest")
-    # Between components only: what the hubs have joined isn't compared again, and a bucket's largest component
-    # only meets the classes outside it.
-    x, y = rest.where("root <> main").alias("x"), rest.alias("y")
-    more = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")))
-        .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    )
+    more = _across(docs, reps, members, label, size, percent)
     links = links.unionByName(verify(more.join(star, ["a", "b"], "left_anti")))
     roots = components(links)
     ids = groups.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

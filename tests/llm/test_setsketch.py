@@ -41,7 +41,7 @@ def near_copies():
     rows = []
     for g in range(12):
         base = [word() for _ in range(rng.choice([3, 6, 40, 120]))]
-        for k in range(rng.choice([1, 2, 9])):
+        for k in range(rng.choice([1, 2, 9, 30])):
             w = list(base)
             for _ in range(rng.randint(0, max(1, len(w) // 30))):
                 w[rng.randrange(len(w))] = word()
