@@ -51,7 +51,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     """key, n (in trusted text, 0 for other n-grams) over all of text, _trusted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2 << 20):
             keys, n = _grams(b.column("text").to_pylist())
             code, uniques = pd.factorize(keys)
             trusted = np.repeat(b.column("_trusted").to_numpy(zero_copy_only=False), n)
@@ -118,7 +118,7 @@ def _scored(docs: DataFrame, logp: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, values = sent.value
-            for b in pieces(batches, "text"):
+            for b in pieces(batches, "text", 2 << 20):
                 grams, n = _grams(b.column("text").to_pylist())
                 code, uniques = pd.factorize(grams)
                 value = values[np.minimum(np.searchsorted(keys, uniques), max(keys.size - 1, 0))] if uniques.size else np.zeros(0)
@@ -133,7 +133,7 @@ def _scored(docs: DataFrame, logp: DataFrame) -> DataFrame:
     name = F.xxhash64("text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2 << 20):
             grams, n = _grams(b.column("text").to_pylist())
             t = pd.DataFrame({"t": np.repeat(b.column("_t").to_numpy(), n), "key": grams}).groupby(["t", "key"], as_index=False).size()
             yield pa.RecordBatch.from_arrays([pa.array(t.t), pa.array(t.key), pa.array(t["size"])], ["_t", "key", "m"])

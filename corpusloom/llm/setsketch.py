@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     left = regs.select(F.col("key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"))
     right = regs.select(F.col("key").alias("b"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b"))
     fits = (F.lit(100) * F.least("n_a", "n_b")) >= (F.lit(percent) * F.greatest("n_a", "n_b"))
+
     def verify(pairs: DataFrame) -> DataFrame:
         near = materialize(_likely(pairs.join(left, "a").join(right, "b").where(fits), percent / 100), "likely")
         used = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
