@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own setting: a query's shuffle files are removed when it ends; lost ones are made again by stage retries.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
@@ -25,27 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The write's shuffle files go when it ends, as the table stands for them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a materialized table that no later step reads, and let Spark drop shuffle files nobody refers to."""
+    """Delete a materialized table that no later step reads."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._corpusloom_path)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    release(spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import buffers, discard, materialize, partitions, pieces, release
+from corpusloom.llm.common import buffers, discard, materialize, partitions, pieces
 from corpusloom.llm.hashing import mix, prefix, stretches
 
 _U = np.uint64
@@ -297,14 +297,11 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     rows = rows.withColumn("mark", F.xxhash64("text"))
     n = partitions(spark)
     shared = materialize(_shared(_anchors(rows.drop("mark"), length).repartition(n, "route").sortWithinPartitions("route", "doc")), "anchors")
-    release(spark)
     judged = _judged(_contexts(rows, shared, length).repartition(n, "route").sortWithinPartitions("route", "context", "doc"))
     judged = materialize(judged, "contexts")
     discard(shared)
     dealt = _windows(rows, judged.where("not whole"), length).repartition(n, "w1").sortWithinPartitions("w1", "w2", "doc")
     single = materialize(_later(dealt), "windows")
-    del dealt
-    release(spark)
     spans = judged.where("whole").select("doc", "mark", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi")).unionByName(
         single.select("doc", "mark", F.col("lo").cast("long").alias("lo"), (F.col("lo") + length).cast("long").alias("hi"))
     )
