@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import buffers, discard, materialize, partitions, pieces
@@ -36,9 +36,9 @@ GRAM = 20
 
 
 class Anchors:
-    """Sampled suffixes of a batch of texts, and the identifiers of its suffixes and windows."""
+    """Sampled suffixes of a batch of texts (none without ``sample``), and the identifiers of its suffixes and windows."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, length: int):
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, length: int, sample: bool = True):
         self.length, self.gram = length, max(1, min(GRAM, length // 2))
         self.sums, self.inverse = prefix(raw)
         q, n = self.gram, raw.size - length + 1
@@ -47,6 +47,8 @@ class Anchors:
             return
         at = np.arange(raw.size - q + 1)
         self.first = stretches(self.sums, self.inverse, at, at + q)
+        if not sample:
+            return
         # The least q-gram of a window, the leftmost of equals: the high half of the identifier, then the place.
         least = (self.first & _U(0xFFFFFFFF00000000)) | at.astype(_U)
         span, width = 1, length - q + 1
@@ -91,12 +93,26 @@ class Anchors:
         return mix(whole ^ mix(edge + ((self.at - self.lo) * 65536 + self.runs).astype(_U)))
 
 
+def _text_mark(text: str) -> Column:
+    """Tells rows of one doc_id apart: half a hash of the text."""
+    return F.shiftright(F.xxhash64(text), 32).cast("int")
+
+
+def _place(mark: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A row's mark and an offset in its text (under 2**31) as one number."""
+    return mark.astype(np.int64) << 32 | lo
+
+
+def _mark_and_lo(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (place >> 32).astype(np.int32), (place & 0xFFFFFFFF).astype(np.int32)
+
+
 def _owner(offs: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(offs, at, "right") - 1
 
 
 def _anchors(rows: DataFrame, length: int) -> DataFrame:
-    """route, doc, at, known: the anchors; rows with one route and several documents are shared, known ones are anyway."""
+    """route, doc, spot (2 * place + known): the anchors; rows with one route and several documents are shared, known ones are anyway."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -115,10 +131,10 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
             aside = many & ~head
             route[aside] = mix(route[aside] + np.flatnonzero(aside).astype(_U))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route.view(np.int64)), pa.array(doc), pa.array(at), pa.array(many)], ["route", "doc", "at", "known"]
+                [pa.array(route.view(np.int64)), pa.array(doc), pa.array(2 * at + many)], ["route", "doc", "spot"]
             )
 
-    return rows.mapInArrow(run, "route long, doc long, at long, known boolean")
+    return rows.mapInArrow(run, "route long, doc long, spot long")
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
@@ -133,8 +149,8 @@ def _shared(anchors: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            r, d, a = (b.column(k).to_numpy() for k in ("route", "doc", "at"))
-            known = b.column("known").to_numpy(zero_copy_only=False)
+            r, d, a = (b.column(k).to_numpy() for k in ("route", "doc", "spot"))
+            known, a = a & 1 == 1, a >> 1
             head = np.ones(r.size, bool)
             head[1:] = r[1:] != r[:-1]
             begin, group = np.flatnonzero(head), np.cumsum(head) - 1
@@ -174,7 +190,10 @@ def _heads(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _contexts(rows: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """route, context, doc, mark, lo, n, known: the shared anchors' windows, n from lo on; known where a smaller document of the task has the context."""
+    """route, context, doc, place, extent: the shared anchors' windows, n from lo on; known where a smaller document of the task has the context.
+
+    place holds the row's mark and lo, extent 2 * n + known.
+    """
     lists = shared.groupBy("doc").agg(F.collect_list("at").alias("ats"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +210,11 @@ def _contexts(rows: DataFrame, shared: DataFrame, length: int) -> DataFrame:
             order, known = _heads([route, context], doc)
             route = route[order]
             route[known] = mix(route[known] + np.flatnonzero(known).astype(_U))
-            cols = (route.view(np.int64), context[order].view(np.int64), doc[order], mark[order], (found.lo[good] - offs[owner])[order], found.runs[good][order], known)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["route", "context", "doc", "mark", "lo", "n", "known"])
+            place = _place(mark, found.lo[good] - offs[owner])[order]
+            cols = (route.view(np.int64), context[order].view(np.int64), doc[order], place, 2 * found.runs[good][order] + known)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["route", "context", "doc", "place", "extent"])
 
-    return rows.join(lists, "doc").mapInArrow(run, "route long, context long, doc long, mark long, lo long, n long, known boolean")
+    return rows.join(lists, "doc").mapInArrow(run, "route long, context long, doc long, place long, extent long")
 
 
 def _judged(contexts: DataFrame) -> DataFrame:
@@ -203,20 +223,23 @@ def _judged(contexts: DataFrame) -> DataFrame:
     The rows come sorted by route, context and document; only the rows of a route's last context that lead it are
     held from batch to batch.
     """
-    names = ["route", "context", "doc", "mark", "lo", "n", "known"]
+    names = ["route", "context", "doc", "place", "extent"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, several = [np.zeros(0, np.int64)] * 6, False  # leaders of the last context; several: they have gone out
+        held, several = [np.zeros(0, np.int64)] * 5, False  # leaders of the last context; several: they have gone out
 
         def out(cols: list[np.ndarray], pick: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in cols[2:6]] + [pa.array(whole[pick])], ["doc", "mark", "lo", "n", "whole"])
+            doc, place, n = (c[pick] for c in cols[2:])
+            out = [pa.array(c) for c in (doc, *_mark_and_lo(place), n, whole[pick])]
+            return pa.RecordBatch.from_arrays(out, ["doc", "mark", "lo", "n", "whole"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
-            cols, old = [np.concatenate(x) for x in zip(held, new[:6], strict=True)], held[0].size
-            known = np.concatenate([np.zeros(old, bool), new[6]])
+            new = [b.column(c).to_numpy() for c in names]
+            new, known = [*new[:4], new[4] >> 1], new[4] & 1 == 1
+            cols, old = [np.concatenate(x) for x in zip(held, new, strict=True)], held[0].size
+            known = np.concatenate([np.zeros(old, bool), known])
             route, context, doc = cols[:3]
             next_route, head = np.ones(route.size, bool), np.ones(route.size, bool)
             next_route[1:] = route[1:] != route[:-1]
@@ -234,21 +257,21 @@ def _judged(contexts: DataFrame) -> DataFrame:
             lead = np.arange(route.size) >= begin[-1]
             lead &= ~whole
             several = bool(many[-1])
-            held = [c[lead] for c in cols] if lead.any() else [np.zeros(0, np.int64)] * 6
+            held = [c[lead] for c in cols] if lead.any() else [np.zeros(0, np.int64)] * 5
 
-    return contexts.mapInArrow(run, "doc long, mark long, lo long, n long, whole boolean")
+    return contexts.mapInArrow(run, "doc long, mark int, lo int, n long, whole boolean")
 
 
 def _windows(rows: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
-    """w1, w2, doc, mark, lo: an identifier of 96 bits for each window of the open runs."""
+    """w1, w2, doc, place (mark and lo): an identifier of 96 bits for each window of the open runs."""
     lists = open_runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             raw, offs = buffers(b.column("text"))
-            found = Anchors(raw, offs, length)
-            if not found.at.size:
+            if raw.size < length:
                 continue
+            found = Anchors(raw, offs, length, sample=False)
             row, runs = _lists(b, "runs")
             lo, n = runs.field("lo").to_numpy() + offs[row], runs.field("n").to_numpy()
             at, row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(row, n)
@@ -256,12 +279,12 @@ def _windows(rows: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(found.refined(at).view(np.int64)), pa.array(short), pa.array(b.column("doc").to_numpy()[row]),
-                    pa.array(b.column("mark").to_numpy()[row]), pa.array((at - offs[row]).astype(np.int32)),
+                    pa.array(_place(b.column("mark").to_numpy()[row], at - offs[row])),
                 ],
-                ["w1", "w2", "doc", "mark", "lo"],
+                ["w1", "w2", "doc", "place"],
             )
 
-    return rows.join(lists, ["doc", "mark"]).mapInArrow(run, "w1 long, w2 int, doc long, mark long, lo int")
+    return rows.join(lists, ["doc", "mark"]).mapInArrow(run, "w1 long, w2 int, doc long, place long")
 
 
 def _later(windows: DataFrame) -> DataFrame:
@@ -282,19 +305,20 @@ def _later(windows: DataFrame) -> DataFrame:
             later = doc > least[group]
             last = (w1[-1], w2[-1], least[-1])
             if later.any():
-                yield b.select(["doc", "mark", "lo"]).filter(pa.array(later))
+                mark, lo = _mark_and_lo(b.column("place").to_numpy()[later])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(mark), pa.array(lo)], ["doc", "mark", "lo"])
 
-    return windows.mapInArrow(run, "doc long, mark long, lo int")
+    return windows.mapInArrow(run, "doc long, mark int, lo int")
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc, mark (xxhash64 of the text), spans (array of struct lo, hi): byte stretches of a document that strings of ``length`` bytes cover which also start in a document with a smaller id.
+    """doc, mark (see _text_mark), spans (array of struct lo, hi): byte stretches of a document that strings of ``length`` bytes cover which also start in a document with a smaller id.
 
     Spans may overlap. Documents without any are left out, and so are rows with a null id.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).dropna()
-    rows = rows.withColumn("mark", F.xxhash64("text"))
+    rows = rows.withColumn("mark", _text_mark("text"))
     n = partitions(spark)
     shared = materialize(_shared(_anchors(rows.drop("mark"), length).repartition(n, "route").sortWithinPartitions("route", "doc")), "anchors")
     judged = _judged(_contexts(rows, shared, length).repartition(n, "route").sortWithinPartitions("route", "context", "doc"))
@@ -302,8 +326,9 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     discard(shared)
     dealt = _windows(rows, judged.where("not whole"), length).repartition(n, "w1").sortWithinPartitions("w1", "w2", "doc")
     single = materialize(_later(dealt), "windows")
-    spans = judged.where("whole").select("doc", "mark", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi")).unionByName(
-        single.select("doc", "mark", F.col("lo").cast("long").alias("lo"), (F.col("lo") + length).cast("long").alias("hi"))
+    lo = F.col("lo").cast("long")
+    spans = judged.where("whole").select("doc", "mark", lo.alias("lo"), (lo + F.col("n") - 1 + length).alias("hi")).unionByName(
+        single.select("doc", "mark", lo.alias("lo"), (lo + length).alias("hi"))
     )
     return spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -329,7 +354,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry
     )
-    here = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
+    here = (F.col("doc_id") == F.col("_doc")) & (_text_mark("text") == F.col("_mark"))
     both = rows.join(spans.toDF("_doc", "_mark", "spans"), here, "left").select("doc_id", "text", "spans", *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
