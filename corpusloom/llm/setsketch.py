@@ -97,7 +97,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     rows = _rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text"):
             values, offs = shingles(*buffers(b.column("text")), size)
             n, keys, regs = np.diff(offs), set_keys(values, offs), registers(values, offs)
             bands = np.zeros((n.size, BANDS), np.uint64)
@@ -152,7 +152,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """key, set (sorted hashes) of the wanted classes (key, doc_id, mark), made anew from that document's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text"):
             values, offs = shingles(*buffers(b.column("text")), size)
             sets = [values[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)]
             own = [k == m for k, m in zip(b.column("key").to_pylist(), set_keys(values, offs), strict=True)]
@@ -167,7 +167,7 @@ def _against_hub(members: DataFrame, sets: DataFrame) -> DataFrame:
     """members (hub, key, root, main) with n, the set's size, a, how many of it the hub has, and own, those the hub lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "set_key", 4 << 20):
+        for b in pieces(batches, "set_key"):
             n, a, own = [], [], []
             for x, h in zip(b.column("set_key").to_pylist(), b.column("set_hub").to_pylist(), strict=True):
                 x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
