@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import buffers, discard, materialize, pieces
@@ -209,7 +209,14 @@ def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFra
     split = materialize(_against_hub(many, sets), "split")
     n, a = F.col("x.n") + F.col("y.n"), F.least("x.a", "y.a")
     apart = pairs(split.drop("own"), split.drop("own"), ["hub"], (100 + percent) * a >= percent * n)
-    own = split.select("hub", "key", "root", "main", "n", F.explode("own").alias("s"))
+    # Linked members that don't come by size share ceil(percent * n / 100) - a at least of their own, so the first one in
+    # a common order is among each one's first n - a - that + 1; the order has what few members have first.
+    own = materialize(split.select("hub", "key", "root", "main", "n", "a", F.explode("own").alias("s")), "own")
+    often = own.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("hub", "key").orderBy("often", "s"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("a"))
+    own = own.join(often, ["hub", "s"]).withColumn("place", place).where((F.col("place") <= F.col("n") - F.col("a") - least + 1) & (F.col("often") > 1))
+    own = materialize(own.select("hub", "key", "root", "main", "n", "s"), "first")
     fits = (100 * F.least("x.n", "y.n")) >= (percent * F.greatest("x.n", "y.n"))
     shared = pairs(own, own, ["hub", "s"], fits)
     return pairs(few, few, ["hub"], F.lit(True)).unionByName(apart).unionByName(shared).distinct()
