@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of full token sequences."""
-    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), 1, 2048)
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), 1, 2048, added=True)
 
 
 STAGES = [

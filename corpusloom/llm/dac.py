@@ -89,12 +89,13 @@ class Segment:
         return out
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, added: bool = False) -> DataFrame:
     """Tokenize every whole text, append end_id, write segments in ascending doc_id order; the written table is returned.
 
     Columns: part (ascending with doc_id), seg and start (the segment's number and first token within its part),
     n_docs, n_tokens, image. Null texts count as empty; a null doc_id comes first and stays null; rows with one doc_id
-    follow each other in the order of their texts.
+    follow each other in the order of their texts. With ``added``, tokens of the file that stand in a text have their
+    own id (see Encoder).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -103,7 +104,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, added), TaskContext.get().partitionId()
         doc_ids, held, seg, start, n = [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:

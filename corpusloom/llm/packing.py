@@ -110,9 +110,11 @@ class Packer:
                 size -= tier
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, step_tokens: int = 1 << 16) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, step_tokens: int = 1 << 16, added: bool = False) -> DataFrame:
     """Tokenize every whole text with end_id behind it and pack all ids; one row for each piece (see SCHEMA).
 
+    With ``added``, tokens of the file that stand in a text have their own id (see Encoder).
+
     Tasks pack what they read, without a shuffle: a piece needs nothing of other tasks, and only a task's last
     sequences are short. Null texts count as empty and give the end id alone; repeated rows and null ids are packed
     like others; an empty table gives no pieces. window must be a power of two.
@@ -124,7 +126,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, packer = encoder(tokenizer), Packer(window, step_tokens, TaskContext.get().partitionId())
+        enc, packer = encoder(tokenizer, added), Packer(window, step_tokens, TaskContext.get().partitionId())
         kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 

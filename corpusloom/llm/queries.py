@@ -34,7 +34,7 @@ def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1, 2048)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1, 2048, added=True)
 
 
 #: The rules of op4: host, path, verdict.
@@ -69,7 +69,7 @@ def op5_setsketch_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dac.read_tokens(dac.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 0))
+    return dac.read_tokens(dac.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 0, added=True))
 
 
 def op7_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token ids of texts by a public tokenizer file, with ids of recurring words kept per worker process.
 
 Both kinds of vocabulary split a text before white space and never join across it, so a text's ids are the ids of its
-parts in order. Texts with a separator on which Python and the tokenizer may disagree go whole.
+parts in order. Texts with a separator on which Python and the tokenizer may disagree, or with an added token, go whole.
 """
 
 from __future__ import annotations
@@ -26,15 +26,21 @@ _WIDE = re.compile(r"[^\x00-\xff]")
 class Encoder:
     """encode(texts) gives one uint32 array of ids for each text, as tokenizers' encode_batch(add_special_tokens=False).
 
+    With ``added`` the library is as its file leaves it: the file's added tokens (<|endoftext|>) standing in a text are
+    one id each, and texts that hold one go whole. Without, encode_special_tokens is set: they are text like any other.
+
     Parts end before white space, and in texts up to U+00FF also behind a run of letters: neither vocabulary joins
     across such a place. Kept parts have two generations, so that recurring ones stay and rare ones go.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        # A file may look for a token in the normalized text, so case is left aside: a text too many going whole is right as well.
+        self.added = re.compile("|".join(map(re.escape, names)), re.IGNORECASE) if names else None
         self.drops_space = "</w>" in (self.tokenizer.model.end_of_word_suffix or "")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -43,6 +49,8 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, text: str) -> list[str]:
+        if self.added and self.added.search(text):
+            return [text]
         if self.drops_space:
             if _ODD_CONTROL.search(text):
                 return [text]
@@ -74,9 +82,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    """One Encoder for each file and worker process; the library's own threads stay off, as Spark deals the work."""
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One Encoder for each file, way and worker process; the library's own threads stay off, as Spark deals the work."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, added)
