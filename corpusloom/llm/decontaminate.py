@@ -1,7 +1,7 @@
-"""Benchmark decontamination: rare word n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word n-grams as seeds lead documents to test items, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits of the lower-cased text, compared by 64-bit hashes. Tasks keep only passages
-around n-grams that some item has; everything after works on those passages.
+Words are runs of letters and digits of the lower-cased text, compared by 64-bit hashes. Tasks align the stretches
+around n-grams that some item has with that item at once, so only pairs that score enough are dealt out.
 """
 
 from __future__ import annotations
@@ -10,16 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import hashing
 from corpusloom.llm.common import buffers, materialize, pieces
 
-#: Items are taken in blocks of about so many seeds; a block's seeds are sent to the tasks.
+#: Items are taken in blocks of about so many seeds; a block's seeds and words are sent to the tasks.
 BLOCK_SEEDS = 2_000_000
-#: A seed is rare if no more than this share of documents has it in a passage, or no more than RARE_LEAST.
-RARE, RARE_LEAST = 0.001, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _WORD = np.zeros(256, bool)
@@ -63,101 +62,102 @@ def item_words(items: DataFrame, size: int) -> DataFrame:
     return low.where("item_id is not null").mapInArrow(run, "item_id long, words array<long>, seeds array<long>")
 
 
-def _passages(docs: DataFrame, seeds: np.ndarray, size: int, reach: int) -> DataFrame:
-    """doc_id, start (word), words, hits (seed hashes) of passages: hits at most ``reach`` words apart, ``reach`` words around."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(seeds))
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and the offsets of each."""
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    return pc.list_flatten(lists).to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
+    """The best local alignment's score (MATCH, MISMATCH, GAP a word), and the passage's word where it ends (exclusive)."""
+    steps = np.arange(passage.size + 1) * -GAP
+    row, best, end = np.zeros(passage.size + 1, np.int64), 0, 0
+    for w in item:
+        new = np.zeros_like(row)
+        new[1:] = np.maximum(np.maximum(row[:-1] + np.where(passage == w, MATCH, MISMATCH), row[1:] + GAP), 0)
+        row = np.maximum.accumulate(new + steps) - steps
+        at = int(row.argmax())
+        if row[at] > best:
+            best, end = int(row[at]), at
+    return best, end
+
+
+def _scored(docs: DataFrame, items: pa.Table, size: int, least: float, reach: int) -> DataFrame:
+    """doc_id, item_id, score, end_word of every stretch around shared seeds whose best alignment has the score."""
+    seeds, at = _flat(items["seeds"])
+    order = np.argsort(seeds, kind="stable")
+    known, first = np.unique(seeds[order], return_index=True)
+    holders = np.repeat(np.arange(items.num_rows), np.diff(at))[order]
+    texts, starts = _flat(items["words"])
+    names = items["item_id"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast((known, np.append(first, seeds.size), holders, texts, starts, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known, first, holders, texts, starts, names = sent.value
+        # An alignment that scores enough is no longer than its item and as many words put in as its score allows.
+        wide = np.maximum(reach, np.diff(starts) + np.ceil(np.diff(starts) * MATCH * (1 - least) / -GAP).astype(np.int64))
         bits = np.zeros(1 << 20, bool)
         bits[(known.view(np.uint64) >> np.uint64(44)).astype(np.int64)] = True
         for b in pieces(batches, "text"):
             words, at = _words(*buffers(b.column("text")))
             grams, whole = _seeds(words, at, size)
+            words = words.view(np.int64)
             maybe = np.flatnonzero(whole & bits[(grams >> np.uint64(44)).astype(np.int64)])
             value = grams[maybe].view(np.int64)
-            hit = maybe[known[np.minimum(np.searchsorted(known, value), known.size - 1)] == value] if known.size else maybe[:0]
+            place = np.minimum(np.searchsorted(known, value), max(known.size - 1, 0))
+            same = known[place] == value if known.size else np.zeros(0, bool)
+            hit, place = maybe[same], place[same]
             if not hit.size:
                 continue
             owner = np.searchsorted(at, hit, "right") - 1
-            new = np.ones(hit.size, bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (hit[1:] - hit[:-1] > reach)
-            begin = np.append(np.flatnonzero(new), hit.size)
+            begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             ids, out = b.column("doc_id"), ([], [], [], [])
-            for x, y in zip(begin[:-1], begin[1:], strict=True):
-                found = np.unique(grams[hit[x:y]].view(np.int64))
-                d = owner[x]
-                lo, hi = max(at[d], hit[x] - reach), min(at[d + 1], hit[y - 1] + size + reach)
-                for c, v in zip(out, (ids[int(d)].as_py(), lo - at[d], words[lo:hi].view(np.int64), found), strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "start", "words", "hits"])
+            for x, y in zip(begin, np.append(begin[1:], hit.size), strict=True):
+                d, at_seed = owner[x], place[x:y]
+                n = first[at_seed + 1] - first[at_seed]  # one row for each hit and item that has its seed
+                item = holders[np.repeat(first[at_seed] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                spot = np.repeat(hit[x:y], n)
+                order = np.lexsort((spot, item))
+                item, spot = item[order], spot[order]
+                new = np.ones(item.size, bool)
+                new[1:] = (item[1:] != item[:-1]) | (spot[1:] - spot[:-1] > 2 * wide[item[1:]] + size)
+                edge = np.append(np.flatnonzero(new), item.size)
+                for i, j in zip(edge[:-1], edge[1:], strict=True):
+                    k = item[i]
+                    lo, hi = max(at[d], spot[i] - wide[k]), min(at[d + 1], spot[j - 1] + size + wide[k])
+                    text, here = texts[starts[k] : starts[k + 1]], words[lo:hi]
+                    if np.isin(text, here).sum() / text.size < least:  # no alignment can match more words
+                        continue
+                    best, end = align(text, here)
+                    if (score := best / (MATCH * text.size)) >= least:
+                        for c, v in zip(out, (ids[int(d)].as_py(), int(names[k]), score, int(lo - at[d]) + end), strict=True):
+                            c.append(v)
+            if out[0]:
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+                cols = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "score", "end_word"])
 
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    return low.mapInArrow(run, "doc_id long, start long, words array<long>, hits array<long>")
-
-
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
-    """The best local alignment's score (MATCH, MISMATCH, GAP a word), and the passage's word where it ends (exclusive)."""
-    steps = np.arange(passage.size + 1) * -GAP
-    row, best, end = np.zeros(passage.size + 1, np.int64), 0, 0
-    for w in item:
-        new = np.zeros_like(row)
-        new[1:] = np.maximum(np.maximum(row[:-1] + np.where(passage == w, MATCH, MISMATCH), row[1:] + GAP), 0)
-        row = np.maximum.accumulate(new + steps) - steps
-        at = int(row.argmax())
-        if row[at] > best:
-            best, end = int(row[at]), at
-    return best, end
+    return low.mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 3, least: float = 0.5, reach: int = 64) -> DataFrame:
     """doc_id, item_id, score, end_word: pairs whose best alignment has at least ``least`` of the item's full score.
 
-    A passage is aligned with an item when they share a rare seed and another one, or four seeds of any kind; an item
-    with fewer seeds needs all of them. So words changed here and there, left out or put in don't hide a copy, and a
-    passage copied into very many documents is still found. Items of fewer than ``size`` words have no seeds. Null and
-    empty texts match nothing, null item ids are left out; rows that share a doc_id give its best score once; a null
-    doc_id stays null. Empty tables give no rows.
+    A document is aligned with every item it shares a seed with, however many documents or items have that seed,
+    around all shared seeds: so far (``reach`` words at least) that no alignment with that score around one is cut off.
+    Words changed here and there, left out or put in don't hide a copy in which one n-gram of ``size`` words is whole;
+    a copy without any isn't found. Items of fewer than ``size`` words have no seeds. Null and empty texts match
+    nothing, null item ids are left out; rows that share a doc_id give its best score once; a null doc_id stays null.
+    Empty tables give no rows.
     """
     made = materialize(item_words(items, size), "items")
     total = made.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // BLOCK_SEEDS))
-    n_docs = docs.count()
     found = None
     for k in range(blocks):
-        part = made.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        seeds = part.select(F.explode("seeds").alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)
-        mine = _passages(docs, seeds, size, reach).where(F.size("hits") > 0)
-        mine = materialize(mine.withColumn("passage", F.xxhash64("doc_id", "start", "words")), "passages")
-        hits = mine.select("doc_id", "passage", F.explode("hits").alias("s")).distinct()
-        spread = hits.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-        wanted = part.select("item_id", F.size("seeds").alias("m"), F.explode("seeds").alias("s")).join(spread, "s")
-        rare = (F.col("df") <= F.greatest(F.lit(RARE * n_docs), F.lit(RARE_LEAST))).cast("int")
-        pairs = (
-            hits.join(wanted, "s").groupBy("doc_id", "passage", "item_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.max(rare).alias("rare"), F.max("m").alias("m"))
-            .where("(n >= 2 and rare = 1) or n >= 4 or n >= m").select("doc_id", "passage", "item_id")
-        )
-        text = mine.select("doc_id", "passage", "start", "words").dropDuplicates(["doc_id", "passage"])
-        here = (F.col("p.passage") == F.col("t.passage")) & F.col("p.doc_id").eqNullSafe(F.col("t.doc_id"))
-        ready = (
-            pairs.alias("p").join(text.alias("t"), here).select("t.doc_id", "start", "words", "item_id")
-            .join(part.select("item_id", F.col("words").alias("item")), "item_id").select("doc_id", "item_id", "start", "words", "item")
-        )
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                score, end = [], []
-                for start, words, item in zip(*(b.column(c) for c in ("start", "words", "item")), strict=True):
-                    words, item = np.array(words.as_py(), np.int64), np.array(item.as_py(), np.int64)
-                    best, at = align(item, words)
-                    score.append(best / (MATCH * item.size))
-                    end.append(start.as_py() + at)
-                out = [b.column("doc_id"), b.column("item_id"), pa.array(score, pa.float64()), pa.array(end, pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "item_id", "score", "end_word"])
-
-        scored = ready.mapInArrow(run, "doc_id long, item_id long, score double, end_word long").where(F.col("score") >= least)
+        part = made.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow()
+        scored = _scored(docs, part, size, least, reach)
         found = scored if found is None else found.unionByName(scored)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", F.round("b.score", 6).alias("score"), F.col("b.end_word").alias("end_word"))
