@@ -148,9 +148,11 @@ def _scored(docs: DataFrame, logp: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: float = 2.0, folds: int = 5, least: int = 50) -> Model:
     """Model of the n-grams of all docs, trained on trusted ones (quality 1), with each language's limit.
 
-    One trusted document in ``folds`` (by hash of doc_id) isn't trained on; limits come from those. A language's limit
-    lies ``stretch`` times as far over its median as its quantile does. A language with fewer than ``least`` such
+    One trusted document in ``folds`` (by hash of doc_id) isn't trained on; limits come from those: a language's
+    limit is their quantile. A language with fewer than ``least`` such
     documents has its own mean, but the spread of all languages together; the row with lang null is for the others.
+    Only if all together are fewer than ``least``, so that their quantile is no more than the largest of a few, the
+    spread is taken ``stretch`` times as far over the median.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = _with_trust(rows, labels)
@@ -160,11 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: flo
     mean = (F.sum("_nll") / F.greatest(F.sum("_n"), F.lit(1))).alias("mean")
     overall = scored.agg(mean).first()["mean"] or 0.0
     over = (F.col("_nll") + PRIOR * F.col("mean")) / (F.col("_n") + PRIOR) - F.col("mean")
-    low, high = (F.percentile_approx("over", q, 100_000) for q in (0.5, quantile))
-    limit = (low + stretch * (high - low)).alias("limit")
+    limit = F.percentile_approx("over", quantile, 100_000).alias("limit")
     far = scored.join(scored.where("lang is not null").groupBy("lang").agg(mean), "lang").withColumn("over", over)
-    spread = far.agg(limit).first()["limit"]
-    spread = None if spread is None else float(spread)
+    half = F.percentile_approx("over", 0.5, 100_000).alias("half")
+    r = far.agg(limit, half, F.count(F.lit(1)).alias("n")).first()
+    spread = None
+    if r["n"]:
+        spread = float(r["limit"]) if r["n"] >= least else float(r["half"] + stretch * (r["limit"] - r["half"]))
     by_lang = far.groupBy("lang").agg(F.max("mean").alias("mean"), F.when(F.count(F.lit(1)) >= least, limit).alias("limit"))
     by_lang = by_lang.select("lang", "mean", (F.col("mean") + F.coalesce("limit", F.lit(spread))).alias("limit"))
     rest = scored.sparkSession.createDataFrame(
