@@ -164,6 +164,18 @@ def p01_skip_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("reason", T.skip_reason(F.col("path")))
 
 
+@query("""SELECT page_id, path, CASE
+ WHEN list_has_any(string_split(lower(path), '/'), ['node_modules','vendor','dist','build','coverage','.next','.venv']) THEN 'generated_or_dependency_path'
+ WHEN regexp_matches(path, '\\.min\\.(js|mjs|cjs)$') THEN 'minified_file'
+ WHEN list_contains(['7z','avi','bmp','class','doc','docx','eot','gif','gz','ico','jar','jpeg','jpg','lockb','mov','mp3','mp4','o','obj','otf','pdf','png','pyc',
+  'so','tar','ttf','wav','webm','webp','woff','woff2','xls','xlsx','zip'], lower(regexp_extract(path, '\\.([^./]+)$', 1))) THEN 'unsupported_language' END AS reason
+FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) AS path FROM pages)""")
+def p01_page_skip_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p01_skip_reason, for the path of every page's own url."""
+    path = F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1)
+    return read(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("reason", T.skip_reason(F.col("path")))
+
+
 @query("""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty_file'
  WHEN regexp_matches(lower(array_to_string(list_slice(string_split_regex(text, '\\r?\\n'), 1, 6), chr(10))), '@generated|code generated|do not edit') THEN 'generated_file'
  WHEN length(text) > 20000 AND list_max(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: length(x))) > 10000 THEN 'minified_file' END AS problem FROM documents) GROUP BY 1""")
