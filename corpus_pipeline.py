@@ -56,7 +56,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Language models, alignments and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: Language models, alignments and tokenizers are beyond SQL; tests hold the operators, not their chain, against brute force.
 ORACLE_SQL = None
 
 
