@@ -29,7 +29,7 @@ def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of lower-cased texts, and the offsets of each text's."""
     spaced = np.where(_WORD[raw], raw, np.uint8(32)) if raw.size else raw
     starts, ends, at = hashing.words(spaced, offs)
-    return hashing.stretches(*hashing.prefix(raw), starts, ends), at
+    return hashing.word_hashes(raw, starts, ends), at
 
 
 def _seeds(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
@@ -42,6 +44,25 @@ def stretches(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, ends: n
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U) * _LANES[0])
 
 
+#: Longer words are hashed by a digest: sums modulo 2**64 can be made to agree for long regular strings.
+LONG_WORD = 64
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the stretches; another lane gives independent ones."""
+    if lane:
+        keyed = mix(_BYTE + _U(lane))
+        sums = np.zeros(raw.size + 1, _U)
+        np.cumsum(keyed[raw] * powers(raw.size, _BASE + 2 * lane), out=sums[1:])
+        h = stretches(sums, powers(raw.size + 1, pow(_BASE + 2 * lane, -1, 1 << 64)), starts, ends)
+    else:
+        h = stretches(*prefix(raw), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        digest = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest()
+        h[i] = np.frombuffer(digest, _U)[0]
+    return h
+
+
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of each text, and the place in them where each text's words begin."""
     inside = ~SPACE[raw]
@@ -58,29 +79,33 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def shingles(raw: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(raw: np.ndarray, offs: np.ndarray, size: int, lanes: int = 1) -> tuple[np.ndarray, ...]:
     """Distinct hashes of each text's word shingles, sorted, and the offsets of each text's.
 
     A-Z count as a-z. A text with fewer words than size has its whole sequence as one; a text without words has none.
+    With two lanes there are second hashes too, independent of the first and in their order: (first, second, offsets).
     """
     low = LOWER[raw]
     starts, ends, at = words(low, offs)
     if not starts.size:
-        return np.zeros(0, _U), np.zeros(offs.size, np.int64)
-    h = stretches(*prefix(low), starts, ends)
+        return (*[np.zeros(0, _U)] * lanes, np.zeros(offs.size, np.int64))
     n_words = np.diff(at)
     doc = np.repeat(np.arange(n_words.size), n_words)
-    left = at[1:][doc] - np.arange(h.size)  # words from this one to the text's end
+    left = at[1:][doc] - np.arange(starts.size)  # words from this one to the text's end
     whole = np.minimum(n_words, size)[doc]
-    total = np.zeros(h.size, _U)
-    padded = np.concatenate([h, np.zeros(size, _U)])
-    for k in range(size):
-        total += np.where(k < whole, padded[k : k + h.size] * _LANES[k + 1], _U(0))
     begins = left >= whole
-    value, owner = mix(total[begins] + whole[begins].astype(_U)), doc[begins]
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
-    new = np.ones(value.size, bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[new], owner[new]
-    return value, np.searchsorted(owner, np.arange(n_words.size + 1))
+    values, owner = [], doc[begins]
+    for lane in range(lanes):
+        padded = np.concatenate([word_hashes(low, starts, ends, lane), np.zeros(size, _U)])
+        total = np.zeros(starts.size, _U)
+        for k in range(size):
+            total += np.where(k < whole, padded[k : k + starts.size] * _LANES[k + 1], _U(0))
+        values.append(mix(total[begins] + whole[begins].astype(_U)))
+    order = np.lexsort((*values[::-1], owner))
+    values, owner = [v[order] for v in values], owner[order]
+    new = np.ones(owner.size, bool)
+    new[1:] = owner[1:] != owner[:-1]
+    for v in values:
+        new[1:] |= v[1:] != v[:-1]
+    values, owner = [v[new] for v in values], owner[new]
+    return (*values, np.searchsorted(owner, np.arange(n_words.size + 1)))

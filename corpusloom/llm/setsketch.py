@@ -6,8 +6,9 @@ candidates. A candidate pair is first judged by a likelihood over the counts of
 then confirmed on the full shingle sets.
 
 Texts with equal sets form one class. In a band's bucket every class is compared with one hub, the class that shares
-most buckets; only classes that are still in different components are then compared with each other (see _across). A
-group of near copies thus costs about one comparison a member, and no link between components is lost.
+most buckets; classes that are still in different components are then described by their differences from the group's
+center, and meet by those (see _across). A group of near copies thus costs some rows a member, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import buffers, discard, materialize, pieces
@@ -31,7 +32,9 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: A pair is verified unless its likelihood estimate lies so far under the threshold (over six standard errors).
 SLACK = 0.22
 #: In groups of up to so many members, classes of different components are all compared.
-DIRECT = 16
+DIRECT = 8
+#: Members of a group that one task compares with its center, and groups whose nearest members are sent to all tasks.
+PER_TASK, BROADCAST_GROUPS = 512, 100_000
 
 _LANES = np.random.default_rng(7).integers(0, 1 << 64, (2, REGISTERS), dtype=np.uint64)
 _LANES[0] |= np.uint64(1)
@@ -129,18 +132,24 @@ def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
+def _first_lane(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First hashes of packed sets (see _sets), one behind the other, and the offsets of each set's."""
+    raw, offs = buffers(arr)
+    return raw.view(np.uint64).reshape(-1, 2)[:, 0], offs // 16
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+    """Pairs whose full sets have 100 * intersection >= percent * union; shingles are compared by 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                x, y = (x, y) if x.size <= y.size else (y, x)
-                at = np.minimum(np.searchsorted(y, x), y.size - 1)
-                both = int((y[at] == x).sum())
-                good.append(100 * both >= percent * (x.size + y.size - both))
+                x, y = (np.frombuffer(v, np.uint64).reshape(-1, 2) for v in (x, y))
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.minimum(np.searchsorted(y[:, 0], x[:, 0]), len(y) - 1)
+                both = int((y[at] == x).all(axis=1).sum())
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     a = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
@@ -149,12 +158,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """key, set (sorted hashes) of the wanted classes (key, doc_id, mark), made anew from that document's whole text."""
+    """key, set of the wanted classes (key, doc_id, mark), made anew from that document's whole text.
+
+    A set is packed as two 64-bit hashes a shingle, in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            values, offs = shingles(*buffers(b.column("text")), size)
-            sets = [values[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)]
+            values, second, offs = shingles(*buffers(b.column("text")), size, 2)
+            packed = np.stack([values, second], axis=1)
+            sets = [packed[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)]
             own = [k == m for k, m in zip(b.column("key").to_pylist(), set_keys(values, offs), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.binary())], ["key", "set"]).filter(pa.array(own, pa.bool_()))
 
@@ -163,63 +176,116 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return mine.select("key", "text").mapInArrow(run, "key binary, set binary").dropDuplicates(["key"])
 
 
-def _against_hub(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members (hub, key, root, main) with n, the set's size, a, how many of it the hub has, and own, those the hub lacks."""
+def _centers(big: DataFrame, sets: DataFrame) -> DataFrame:
+    """gid, c, center: the shingles that more than half of a group's c members have; at most twice the members' average number."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "set"):
+            values, offs = _first_lane(b.column("set"))
+            row = pa.array(np.repeat(np.arange(b.num_rows), np.diff(offs)))
+            yield pa.RecordBatch.from_arrays([b.column("gid").take(row), pa.array(values.view(np.int64))], ["gid", "s"])
+
+    each = big.join(sets, "key").select("gid", "set").mapInArrow(spread, "gid binary, s long")
+    often = each.groupBy("gid", "s").agg(F.count(F.lit(1)).alias("often"))
+    sizes = big.groupBy("gid").agg(F.first("c").alias("c"))
+    common = often.join(sizes, "gid").where("2 * often > c").groupBy("gid").agg(F.collect_list("s").alias("center"))
+    return sizes.join(common, "gid", "left").withColumn("center", F.coalesce("center", F.array().cast("array<long>")))
+
+
+def _differences(big: DataFrame, sets: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
+    """gid, key, root, far, slack, n, diff: in which shingles a member differs from its group's center.
+
+    Members i and j that have k of their differences in common are linked exactly if
+    far_i + far_j <= slack + (100 + percent) * k, where far is 100 for each shingle lacking and percent for each added
+    one, and slack is (100 - percent) times the center's size.
+    """
+    salts = F.ceil(F.col("c") / PER_TASK)
+    left = big.join(sets, "key").withColumn("salt", F.pmod(F.xxhash64("key"), salts))
+    right = centers.select("gid", "center", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "set_key"):
-            n, a, own = [], [], []
-            for x, h in zip(b.column("set_key").to_pylist(), b.column("set_hub").to_pylist(), strict=True):
-                x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
-                rest = x[h[np.minimum(np.searchsorted(h, x), h.size - 1)] != x]
-                n.append(x.size)
-                a.append(x.size - rest.size)
-                own.append(rest.view(np.int64))
-            cols = [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(own, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("hub", "key", "root", "main")), *cols], ["hub", "key", "root", "main", "n", "a", "own"])
-
-    x, h = sets.select("key", F.col("set").alias("set_key")), sets.select(F.col("key").alias("hub"), F.col("set").alias("set_hub"))
-    both = members.join(x, "key").join(h, "hub").select("hub", "key", "root", "main", "set_key", "set_hub")
-    return both.mapInArrow(run, "hub binary, key binary, root binary, main binary, n long, a long, own array<long>")
+        for b in pieces(batches, "set"):
+            values, offs = _first_lane(b.column("set"))
+            far, slack, n, diff = [], [], [], []
+            for i, j, center in zip(offs[:-1], offs[1:], b.column("center"), strict=True):
+                x, c = values[i:j], np.sort(center.values.to_numpy().view(np.uint64))
+                at = np.searchsorted(c, x)
+                has = np.zeros(x.size, bool)
+                inside = at < c.size
+                has[inside] = c[at[inside]] == x[inside]
+                lacks = np.ones(c.size, bool)
+                lacks[at[has]] = False
+                own, gone = x[~has], c[lacks]
+                far.append(100 * gone.size + percent * own.size)
+                slack.append((100 - percent) * c.size)
+                n.append(own.size + gone.size)
+                diff.append(np.concatenate([own, mix(gone ^ np.uint64(0x5BD1E995))]).view(np.int64))
+            cols = [pa.array(v, pa.int64()) for v in (far, slack, n)] + [pa.array(diff, pa.list_(pa.int64()))]
+            names = ["gid", "key", "root", "far", "slack", "n", "diff"]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names[:3]), *cols], names)
+
+    both = left.join(right, ["gid", "salt"]).select("gid", "key", "root", "set", "center")
+    return both.mapInArrow(run, "gid binary, key binary, root binary, far long, slack long, n long, diff array<long>")
+
+
+def _smaller_groups(differ: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) with each group's member nearest to the center, and groups (gid, key) of members with one difference in common.
+
+    All members that can be linked without a common difference are linked to the nearest one. Any other link needs as
+    many common differences as far and slack tell, so it is found by the rarest of each member's (prefix filter).
+    """
+    near = differ.groupBy("gid").agg(F.min(F.struct("far", "key")).alias("near")).select("gid", F.col("near.far").alias("least"), F.col("near.key").alias("hub"))
+    placed = differ.join(F.broadcast(near) if near.count() <= BROADCAST_GROUPS else near, "gid")
+    star = placed.where((F.col("far") + F.col("least") <= F.col("slack")) & (F.col("key") != F.col("hub")))
+    star = star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    need = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("least") - F.col("slack")) / (100 + percent)))
+    each = placed.select("gid", "key", "root", "n", (F.col("n") - need + 1).alias("shown"), F.explode("diff").alias("s")).where("shown > 0")
+    each = materialize(each, "each")
+    tally = lambda df: df.groupBy("gid", "s").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    # Rare differences first; those that a member has alone come before all others and lead nowhere.
+    order = Window.partitionBy("gid", "key").orderBy("often", "s")
+    shown = each.join(tally(each).where("often > 1"), ["gid", "s"])
+    several = shown.groupBy("gid", "key").agg(F.count(F.lit(1)).alias("several"))
+    shown = shown.join(several, ["gid", "key"]).withColumn("place", F.row_number().over(order) + F.col("n") - F.col("several"))
+    shown = materialize(shown.where("place <= shown and lo <> hi").select("gid", "s", "key", "root"), "shown")
+    again = tally(shown).where("often > 1 and lo <> hi").select("gid", "s")
+    name = F.unhex(F.md5(F.concat("gid", F.col("s").cast("string").cast("binary"))))
+    groups = materialize(shown.join(again, ["gid", "s"]).select(name.alias("gid"), "key"), "groups")
+    # Differences often come together: of groups with the same members one is enough.
+    same = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    one = same.groupBy("c", "x", "y").agg(F.min("gid").alias("gid")).select("gid")
+    return star, groups.join(one, "gid", "left_semi")
 
 
 def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs a, b of a hub's members in different components that can still be linked; no link between components is left out.
 
-    In a group of up to DIRECT members all such pairs come. In a larger one each member is split into what the hub has
-    of it and what it has of its own. Two members that share something of their own meet by it. Two that don't have at
-    most the smaller of their parts of the hub in common, so their sizes alone rule nearly all of them out.
+    In a group of up to DIRECT members all such pairs come. A larger one is described by its center and by what each
+    member has otherwise: members near the center meet its nearest one, and the others meet in groups that have a
+    difference in common. At most half of a group has one, so these are smaller, and the step is repeated on them.
     """
-    rooted = members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    roots = rooted.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = roots.groupBy("hub").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("c"))
-    rest = materialize(rooted.join(main.where("roots > 1"), "hub").select("hub", "key", "root", "main", "c"), "rest")
-
-    def pairs(x: DataFrame, y: DataFrame, on: list[str], such: Column) -> DataFrame:
-        """A hub's largest component only meets the classes outside it."""
-        x, y = x.where("root <> main").alias("x"), y.alias("y")
-        here = (F.col("x.root") != F.col("y.root")) & such
-        for c in on:
-            here &= F.col(f"x.{c}") == F.col(f"y.{c}")
-        return x.join(y, here).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-
-    few, many = rest.where(F.col("c") <= DIRECT), rest.where(F.col("c") > DIRECT)
-    wanted = many.select("key").unionByName(many.select(F.col("hub").alias("key"))).distinct()
-    sets = materialize(_sets(docs, reps.select("key", "doc_id", "mark").join(wanted, "key"), size), "members")
-    split = materialize(_against_hub(many, sets), "split")
-    n, a = F.col("x.n") + F.col("y.n"), F.least("x.a", "y.a")
-    apart = pairs(split.drop("own"), split.drop("own"), ["hub"], (100 + percent) * a >= percent * n)
-    # Linked members that don't come by size share ceil(percent * n / 100) - a at least of their own, so the first one in
-    # a common order is among each one's first n - a - that + 1; the order has what few members have first.
-    own = materialize(split.select("hub", "key", "root", "main", "n", "a", F.explode("own").alias("s")), "own")
-    often = own.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("often"))
-    place = F.row_number().over(Window.partitionBy("hub", "key").orderBy("often", "s"))
-    least = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("a"))
-    own = own.join(often, ["hub", "s"]).withColumn("place", place).where((F.col("place") <= F.col("n") - F.col("a") - least + 1) & (F.col("often") > 1))
-    own = materialize(own.select("hub", "key", "root", "main", "n", "s"), "first")
-    fits = (100 * F.least("x.n", "y.n")) >= (percent * F.greatest("x.n", "y.n"))
-    shared = pairs(own, own, ["hub", "s"], fits)
-    return pairs(few, few, ["hub"], F.lit(True)).unionByName(apart).unionByName(shared).distinct()
+    groups, out = members.select(F.col("hub").alias("gid"), "key"), []
+    while True:
+        rooted = groups.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        mixed = rooted.groupBy("gid").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        live = materialize(rooted.join(mixed.where("lo <> hi").select("gid", "c"), "gid").select("gid", "key", "root", "c"), "live")
+        few = live.where(F.col("c") <= DIRECT)
+        x, y = few.alias("x"), few.alias("y")
+        here = (F.col("x.gid") == F.col("y.gid")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+        out.append(x.join(y, here).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
+        big = live.where(F.col("c") > DIRECT)
+        if big.isEmpty():
+            break
+        wanted = reps.select("key", "doc_id", "mark").join(big.select("key").distinct(), "key")
+        sets = materialize(_sets(docs, wanted, size), "members")
+        centers = materialize(_centers(big, sets), "centers")
+        differ = materialize(_differences(big, sets, centers, percent), "differences")
+        star, groups = _smaller_groups(differ, percent)
+        out.append(star)
+    pairs = out[0]
+    for more in out[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

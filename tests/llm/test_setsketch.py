@@ -81,3 +81,44 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7), (None, 3), (200, 150), (150, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 200: 150, 150: 150}
+
+
+def crowd(n, words, changed, seed):
+    """n copies of one text that isn't among them, each with ``changed`` words of its own, all with one passage less or more."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(words)]
+    rows = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(changed[k % len(changed)]):
+            w[rng.randrange(words)] = f"own{rng.randrange(10**9)}"
+        if k % 3 == 1:
+            w[10:14] = ["one", "common", "passage", "here"]
+        rows.append((seed * 10_000 + k, " ".join(w)))
+    return rows
+
+
+def test_large_groups_of_near_copies_lose_no_link(spark):
+    # Copies that lie near, at and beyond the threshold from each other; more than the pairs of one group are compared at once.
+    rows = crowd(90, 60, [1, 2, 3, 4], 1) + crowd(70, 80, [3], 2) + crowd(60, 40, [2, 0, 9], 3)
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 4, 80))
+
+
+def test_candidates_grow_with_the_group_not_its_square(spark, monkeypatch):
+    made = []
+    across = setsketch._across
+    monkeypatch.setattr(setsketch, "_across", lambda *a: made.append(across(*a)) or made[-1])
+    rows = crowd(800, 80, [4], 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert setsketch.near_duplicates(docs, 4).count() == len(rows)
+    assert made[0].count() < 25 * len(rows)
+
+
+def test_regular_long_words_differ(spark):
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate({97: 98, 98: 97})
+    other = thue.translate({97: 98, 98: 97})
+    docs = spark.createDataFrame([(1, f"p {thue} q r"), (2, f"p {other} q r")], "doc_id long, text string")
+    assert sorted(r.component_id for r in setsketch.near_duplicates(docs, 4).collect()) == [1, 2]
