@@ -1,9 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model over character n-grams of trusted text.
 
-Symbols are UTF-16 units. Counts of all trusted text, continuation counts, discounts and probabilities are Spark
-aggregates and joins on the n-gram or its context. Every distinct n-gram of the corpus gets its log probability in the
-same way; documents look those up, and their perplexity is held against a quantile of the trusted documents of their
-language.
+Symbols are UTF-16 units. Counts of trusted text, continuation counts, discounts and probabilities are Spark aggregates
+and joins on the n-gram or its context. To score documents, each part of them lists its distinct n-grams once, these
+are joined with the counts, level by level, and the answers return to their part: one row for each part and distinct
+n-gram, however large the corpus is, and nothing of it goes through the driver. A document's perplexity is held against
+a quantile of the trusted documents of its language.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialize, pieces
 
 ORDER = 4
-#: Tables up to so many rows are sent to the tasks; beyond, documents join them by n-gram.
-LOOKUP_ROWS, BROADCAST_IDS = 4_000_000, 2_000_000
-#: Symbols of average text that a document's perplexity starts from, so that very short texts aren't judged by chance.
+#: Trusted ids (8 bytes each) up to so many are sent to the tasks.
+BROADCAST_IDS = 2_000_000
+#: Symbols of average text that a document's judged perplexity starts from, so that very short texts aren't judged by chance.
 PRIOR = 40
 UNSEEN = 1e-4  # the share of probability for symbols that trusted text lacks
 
@@ -48,17 +49,15 @@ def _with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """key, n (in trusted text, 0 for other n-grams) over all of text, _trusted."""
+    """key, n: the n-grams of all texts with their numbers, counted within a task's pieces first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 1 << 20):
-            keys, n = _grams(b.column("text").to_pylist())
+            keys, _ = _grams(b.column("text").to_pylist())
             code, uniques = pd.factorize(keys)
-            trusted = np.repeat(b.column("_trusted").to_numpy(zero_copy_only=False), n)
-            got = np.bincount(code[trusted], minlength=uniques.size)
-            yield pa.RecordBatch.from_arrays([pa.array(uniques), pa.array(got.astype(np.int64))], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(uniques), pa.array(np.bincount(code, minlength=uniques.size))], ["key", "n"])
 
-    parts = docs.select(F.col("text").cast("string"), "_trusted").mapInArrow(run, "key long, n long")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long")
     return parts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -66,130 +65,153 @@ def _last(key: Column, order: int) -> Column:
     return key if order >= ORDER else key.bitwiseAND(F.lit((1 << (16 * order)) - 1))
 
 
-def probabilities(grams: DataFrame) -> DataFrame:
-    """key, logp for each row of grams (key, n): interpolated modified Kneser-Ney over the rows with n > 0."""
-    counts = {ORDER: grams.where("n > 0")}
-    for order in range(ORDER - 1, 0, -1):  # lower orders count the different symbols before
-        counts[order] = materialize(counts[order + 1].groupBy(_last(F.col("key"), order).alias("key")).agg(F.count(F.lit(1)).alias("n")), f"grams{order}")
-    total = counts[1].agg(F.sum("n")).first()[0] or 1
-    out = grams.select("key").withColumn("_1", _last(F.col("key"), 1))
-    first = counts[1].select(F.col("key").alias("_1"), (F.col("n") / total * (1 - UNSEEN)).alias("p"))
-    out = out.join(first, "_1", "left").select("key", F.coalesce("p", F.lit(UNSEEN / 65536)).alias("p"))
-    # p(order) of seen n-grams isn't stored apart: a key carries its own probability from the lowest order up.
+@dataclass(frozen=True)
+class Model:
+    """What training leaves: counts (key, n) and three discounts by order, and the limits.
+
+    limits: lang, mean, limit (logarithms of perplexities); the row with lang null is for other languages.
+    """
+
+    counts: dict[int, DataFrame]
+    discounts: dict[int, tuple[float, float, float]]
+    total: int
+    limits: DataFrame | None = None
+
+
+def train(texts: DataFrame) -> Model:
+    """Counts of the n-grams of texts (column text); lower orders count the different symbols before."""
+    counts = {ORDER: materialize(_counts(texts), f"grams{ORDER}")}
+    for order in range(ORDER - 1, 0, -1):
+        own = _last(F.col("key"), order).alias("key")
+        counts[order] = materialize(counts[order + 1].groupBy(own).agg(F.count(F.lit(1)).alias("n")), f"grams{order}")
+    discounts = {}
     for order in range(2, ORDER + 1):
-        c = counts[order]
-        r = c.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
+        r = counts[order].agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
         y = r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] else 0.5
-        d = [
+        discounts[order] = tuple(
             min(max(i - (i + 1) * y * r[f"n{i + 1}"] / r[f"n{i}"], 0.05), i - 0.05) if r[f"n{i}"] else i / 2 for i in (1, 2, 3)
-        ]
+        )
+    return Model(counts, discounts, counts[1].agg(F.sum("n")).first()[0] or 1)
+
+
+def probabilities(keys: DataFrame, model: Model) -> DataFrame:
+    """key, logp for each row of keys, seen in training or not: an n-gram that it lacks backs off to shorter ones."""
+    first = model.counts[1].select(F.col("key").alias("_1"), (F.col("n") / model.total * (1 - UNSEEN)).alias("p"))
+    out = keys.select("key", _last(F.col("key"), 1).alias("_1")).join(first, "_1", "left")
+    out = out.select("key", F.coalesce("p", F.lit(UNSEEN / 65536)).alias("p"))
+    for order in range(2, ORDER + 1):
+        c, d = model.counts[order], model.discounts[order]
         discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         context = F.shiftrightunsigned("key", 16).alias("_c")
         held = c.groupBy(context).agg(F.sum("n").alias("_total"), (F.sum(discount) / F.sum("n")).alias("_gamma"))
         seen = c.select(F.col("key").alias("_k"), (F.col("n") - discount).alias("_rest"))
-        own = _last(F.col("key"), order)
-        out = (
-            out.withColumn("_k", own).withColumn("_c", F.shiftrightunsigned("_k", 16))
-            .join(held, "_c", "left").join(seen, "_k", "left")
-            .select(
-                "key",
-                (F.coalesce(F.col("_rest") / F.col("_total"), F.lit(0.0)) + F.coalesce("_gamma", F.lit(1.0)) * F.col("p")).alias("p"),
-            )
-        )
-        out = materialize(out, f"logp{order}")
+        own = out.withColumn("_k", _last(F.col("key"), order)).withColumn("_c", F.shiftrightunsigned("_k", 16))
+        more = F.coalesce(F.col("_rest") / F.col("_total"), F.lit(0.0)) + F.coalesce("_gamma", F.lit(1.0)) * F.col("p")
+        out = own.join(held, "_c", "left").join(seen, "_k", "left").select("key", more.alias("p"))
     return out.select("key", F.log("p").alias("logp"))
 
 
-@dataclass(frozen=True)
-class Model:
-    """logp: key, logp for all n-grams of the corpus it was made on; limits: lang, mean, limit (perplexities' logarithms)."""
-
-    logp: DataFrame
-    limits: DataFrame | None = None
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """row (all of a row of docs, as a struct), nll (sum of negative log probabilities) and n (symbols) of the whole text.
 
+    Documents stay in the part they are read in. The rows of a part, its n-grams' probabilities first, are dealt and
+    sorted together, so a task holds one part's table and streams through its documents.
+    """
+    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    placed = materialize(placed.withColumn("part", F.spark_partition_id()), "placed")
 
-def _scored(docs: DataFrame, logp: DataFrame) -> DataFrame:
-    """docs with _nll, the sum of negative log probabilities, and _n, the number of symbols of the whole text."""
-    spark = docs.sparkSession
-    if logp.count() <= LOOKUP_ROWS:
-        table = logp.toPandas().sort_values("key")
-        sent = spark.sparkContext.broadcast((table.key.to_numpy(), table.logp.to_numpy(np.float64)))
-        names = docs.columns
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, values = sent.value
-            for b in pieces(batches, "text", 1 << 20):
-                grams, n = _grams(b.column("text").to_pylist())
-                code, uniques = pd.factorize(grams)
-                value = values[np.minimum(np.searchsorted(keys, uniques), max(keys.size - 1, 0))] if uniques.size else np.zeros(0)
-                sums = np.concatenate([[0.0], np.cumsum(-value[code])])
-                ends = np.cumsum(n)
-                cols = [pa.array(sums[ends] - sums[ends - n], pa.float64()), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*names, "_nll", "_n"])
-
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(run, f"{fields}, _nll double, _n long")
-    # One row for each document and distinct n-gram; a row's own hash names it, equal rows score alike.
-    name = F.xxhash64("text")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, known = None, np.zeros(0, np.int64)
         for b in pieces(batches, "text", 1 << 20):
-            grams, n = _grams(b.column("text").to_pylist())
-            t = pd.DataFrame({"t": np.repeat(b.column("_t").to_numpy(), n), "key": grams}).groupby(["t", "key"], as_index=False).size()
-            yield pa.RecordBatch.from_arrays([pa.array(t.t), pa.array(t.key), pa.array(t["size"])], ["_t", "key", "m"])
+            parts = b.column("part").to_numpy()
+            for p in np.unique(parts):
+                keys = np.unique(_grams(b.filter(pa.array(parts == p)).column("text").to_pylist())[0])
+                if p != part:
+                    part, known = p, np.zeros(0, np.int64)
+                new = np.setdiff1d(keys, known, assume_unique=True)
+                known = np.union1d(known, new)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(new.size, p, np.int32)), pa.array(new)], ["part", "key"])
+
+    wanted = materialize(placed.select("part", "text").mapInArrow(asked, "part int, key long").distinct(), "asked")
+    logp = materialize(probabilities(wanted.select("key").distinct(), model), "logp")
+    answers = wanted.join(logp, "key").select("part", "key", "logp")
+    both = answers.unionByName(placed.drop("text"), allowMissingColumns=True)
+    dealt = both.repartition("part").sortWithinPartitions("part", F.col("logp").isNull())
+    place = docs.columns.index("text")
 
-    texts = docs.select(F.col("text"), name.alias("_t")).dropDuplicates(["_t"])
-    many = texts.mapInArrow(spread, "_t long, key long, m long").join(logp, "key")
-    sums = many.groupBy("_t").agg(F.sum(-F.col("logp") * F.col("m")).alias("_nll"), F.sum("m").alias("_n"))
-    out = docs.withColumn("_t", name).join(sums, "_t", "left").drop("_t")
-    return out.withColumns({"_nll": F.coalesce("_nll", F.lit(0.0)), "_n": F.coalesce("_n", F.lit(0))})
-
-
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: float = 2.0, folds: int = 5, least: int = 50) -> Model:
-    """Model of the n-grams of all docs, trained on trusted ones (quality 1), with each language's limit.
-
-    One trusted document in ``folds`` (by hash of doc_id) isn't trained on; limits come from those: a language's
-    limit is their quantile. A language with fewer than ``least`` such
-    documents has its own mean, but the spread of all languages together; the row with lang null is for the others.
-    Only if all together are fewer than ``least``, so that their quantile is no more than the largest of a few, the
-    spread is taken ``stretch`` times as far over the median.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, keys, values, held = None, None, None, []
+        for b in batches:
+            parts, new = b.column("part").to_numpy(), b.column("logp").is_valid().to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]) | (new[1:] != new[:-1]))) if b.num_rows else []
+            for i, j in zip(edge, [*edge[1:], b.num_rows], strict=True):
+                if parts[i] != part:
+                    part, keys, held = parts[i], None, []
+                here = b.slice(i, j - i)
+                if new[i]:
+                    held.append((here.column("key").to_numpy(), here.column("logp").to_numpy()))
+                    continue
+                if keys is None:
+                    keys, values = (np.concatenate([h[k] for h in held] or [np.zeros(0)]) for k in (0, 1))
+                    order = np.argsort(keys)
+                    keys, values, held = keys[order], values[order], []
+                rows = pa.RecordBatch.from_arrays([here.column("row"), here.column("row").field(place).cast(pa.string())], ["row", "text"])
+                for piece in pieces([rows], "text", 1 << 20):
+                    grams, n = _grams(piece.column("text").to_pylist())
+                    code, uniques = pd.factorize(grams)
+                    sums = np.concatenate([[0.0], np.cumsum(-values[np.searchsorted(keys, uniques)][code])])
+                    ends = np.cumsum(n)
+                    cols = [piece.column("row"), pa.array(sums[ends] - sums[ends - n], pa.float64()), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, ["row", "nll", "n"])
+
+    return dealt.mapInArrow(run, f"row {placed.schema['row'].dataType.simpleString()}, nll double, n long")
+
+
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: float = 1.0, folds: int = 5, least: int = 50) -> Model:
+    """Model trained on the trusted documents of docs (quality 1), with each language's limit.
+
+    One trusted document in ``folds`` (by hash of doc_id) isn't trained on; limits come from those: a language's limit
+    is their quantile. A language with fewer than ``least`` such documents has its own mean, but the spread of all
+    languages together; the row with lang null is for the others. With a ``stretch`` other than 1 limits lie that many
+    times as far over the median as the quantile does. Labels that clash trust a document; null ids, texts and labels
+    train nothing; without trusted text there are no limits.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = _with_trust(rows, labels)
+    trusted = materialize(_with_trust(rows, labels).where("_trusted"), "trusted")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
-    logp = materialize(probabilities(materialize(_counts(rows.withColumn("_trusted", F.col("_trusted") & ~held)), "grams")), "logp")
-    scored = materialize(_scored(rows.where(F.col("_trusted") & held).select("text", "lang"), logp).select("lang", "_nll", "_n"), "trusted")
-    mean = (F.sum("_nll") / F.greatest(F.sum("_n"), F.lit(1))).alias("mean")
+    model = train(trusted.where(~held))
+    scored = materialize(_scored(trusted.where(held).select("text", "lang"), model).select("row.lang", "nll", "n"), "held")
+    mean = (F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("mean")
     overall = scored.agg(mean).first()["mean"] or 0.0
-    over = (F.col("_nll") + PRIOR * F.col("mean")) / (F.col("_n") + PRIOR) - F.col("mean")
-    limit = F.percentile_approx("over", quantile, 100_000).alias("limit")
+    over = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR) - F.col("mean")
+    half, limit = (F.percentile_approx("over", q, 100_000) for q in (0.5, quantile))
+    limit = (half + stretch * (limit - half)).alias("limit") if stretch != 1 else limit.alias("limit")
     far = scored.join(scored.where("lang is not null").groupBy("lang").agg(mean), "lang").withColumn("over", over)
-    half = F.percentile_approx("over", 0.5, 100_000).alias("half")
-    r = far.agg(limit, half, F.count(F.lit(1)).alias("n")).first()
-    spread = None
-    if r["n"]:
-        spread = float(r["limit"]) if r["n"] >= least else float(r["half"] + stretch * (r["limit"] - r["half"]))
+    spread = far.agg(limit).first()["limit"]
     by_lang = far.groupBy("lang").agg(F.max("mean").alias("mean"), F.when(F.count(F.lit(1)) >= least, limit).alias("limit"))
     by_lang = by_lang.select("lang", "mean", (F.col("mean") + F.coalesce("limit", F.lit(spread))).alias("limit"))
     rest = scored.sparkSession.createDataFrame(
         [(None, float(overall), None if spread is None else float(overall) + spread)], "lang string, mean double, limit double"
     )
-    return Model(logp, materialize(by_lang.unionByName(rest), "limits"))
+    return Model(model.counts, model.discounts, model.total, materialize(by_lang.unionByName(rest), "limits"))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with perplexity, limit and rejected (perplexity over limit), for every row; columns of these names are replaced.
+    """docs with perplexity, judged, limit and rejected, for every row; columns of these names are replaced.
 
-    Null and empty texts have the average perplexity and aren't rejected; without trusted text nothing is. Repeated
-    rows are judged alike; an empty table gives no rows. docs must have only n-grams the model was made on.
+    perplexity is the text's own, null for null and empty texts; judged starts from PRIOR symbols of the language's
+    average text, and a row is rejected where it is over limit. So null and empty texts aren't rejected; without trusted
+    text nothing is. Repeated rows are judged alike; other columns may have any name; an empty table gives no rows.
     """
-    base = docs.drop("perplexity", "limit", "rejected").withColumn("text", F.col("text").cast("string"))
-    rest = model.limits.where("lang is null").select(F.col("mean").alias("_mean"), F.col("limit").alias("_limit"))
-    own = model.limits.where("lang is not null").select(F.col("lang").alias("_lang"), "mean", F.col("limit").alias("_own"))
-    out = _scored(base, model.logp).join(own, F.col("lang").cast("string") == F.col("_lang"), "left").join(F.broadcast(rest))
-    mean = F.coalesce("mean", "_mean")
-    smooth = (F.col("_nll") + PRIOR * mean) / (F.col("_n") + PRIOR)
-    limit = F.coalesce("_own", "_limit")
+    base = docs.drop("perplexity", "judged", "limit", "rejected")
+    rest = model.limits.where("lang is null").select(F.col("mean").alias("mean_"), F.col("limit").alias("limit_"))
+    own = model.limits.where("lang is not null")
+    scored = _scored(base, model)
+    # As many rows as there are languages with trusted text, and one.
+    out = scored.join(F.broadcast(own), scored["row.lang"].cast("string") == own["lang"], "left").join(F.broadcast(rest))
+    mean, limit = F.coalesce("mean", "mean_"), F.coalesce("limit", "limit_")
+    judged = (F.col("nll") + PRIOR * mean) / (F.col("n") + PRIOR)
     return out.select(
-        *base.columns, F.exp(smooth).alias("perplexity"), F.exp(limit).alias("limit"), F.coalesce(smooth > limit, F.lit(False)).alias("rejected")
-    )
+        F.exp(F.col("nll") / F.when(F.col("n") > 0, F.col("n"))).alias("perplexity"), F.exp(judged).alias("judged"), F.exp(limit).alias("limit"),
+        F.coalesce(judged > limit, F.lit(False)).alias("rejected"), *[F.col(f"row.`{c}`").alias(c) for c in base.columns],
+    ).select(*[F.col(f"`{c}`") for c in base.columns], "perplexity", "judged", "limit", "rejected")

@@ -90,7 +90,7 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = kneserney.fit(docs, table(spark, sf_dir, "labels"))
-    return kneserney.classify(docs, model).select("doc_id", "lang", "perplexity", "limit", "rejected", (~F.col("rejected")).alias("kept"))
+    return kneserney.classify(docs, model).select("doc_id", "lang", "perplexity", "judged", "limit", "rejected", (~F.col("rejected")).alias("kept"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom.llm import decontaminate, kneserney, toxicity
 from tests.llm.fixtures import empty, odd, odd_rows
 
@@ -60,25 +62,46 @@ def reference_model(texts):
     return lambda t: sum(-math.log(p(("\0\0\0" + t)[i : i + 4])) for i in range(len(t)))
 
 
-def test_kneser_ney_against_dictionaries(spark, corpus, monkeypatch):
-    rows = [*corpus[0][:40], (500, "été Ünknown 漢😀", "xx", "s", 1, 1, "x")]
-    docs = spark.createDataFrame(rows, odd(spark).schema)
-    trusted = spark.createDataFrame([(i, 1, 0) for i in range(30)], LABELS)
-    seen = kneserney._with_trust(docs, trusted)
-    logp = kneserney.probabilities(kneserney._counts(seen))
-    want = reference_model([r[1].encode("utf-16-le").decode("utf-16-le") for r in rows[:30]])
-    for bound in (kneserney.LOOKUP_ROWS, 0):
-        monkeypatch.setattr(kneserney, "LOOKUP_ROWS", bound)
-        got = {r.doc_id: r for r in kneserney._scored(docs, logp).collect()}
-        for r in rows[:40]:
-            assert got[r[0]]._n == len(r[1]) and math.isclose(got[r[0]]._nll, want(r[1]), rel_tol=1e-6)
-        assert got[500]._n == len(rows[-1][1]) + 1  # a character beyond U+FFFF has two units
+def test_kneser_ney_against_dictionaries(spark, corpus):
+    rows = [*corpus[0][:40], (500, "zzqqxxyyww", "xx", "s", 1, 1, "x"), (501, "été Ünknown 漢😀", "xx", "s", 1, 1, "x"), (502, None, "xx", "s", 1, 1, "x")]
+    docs = spark.createDataFrame(rows, odd(spark).schema).repartition(5)
+    units = lambda t: t.encode("utf-16-le").decode("utf-16-le")
+    model = kneserney.train(docs.where("doc_id < 30"))
+    want = reference_model([units(r[1]) for r in rows[:30]])
+    got = {r.row.doc_id: r for r in kneserney._scored(docs, model).collect()}
+    assert len(got) == len(rows) and got[502].n == got[502].nll == 0
+    for r in rows[:41]:  # texts that trained, others, and one of n-grams that training lacks
+        assert got[r[0]].n == len(r[1]) and math.isclose(got[r[0]].nll, want(r[1]), rel_tol=1e-6)
+    assert got[501].n == len(rows[-2][1]) + 1  # a character beyond U+FFFF has two units
+    assert got[500].nll / got[500].n > 2 * got[0].nll / got[0].n
+
+
+def test_limits_and_rejections_by_brute_force(spark, corpus):
+    rows, labels = corpus
+    docs = spark.createDataFrame(rows, odd(spark).schema).withColumn("mean", F.lit(1)).withColumn("_limit", F.lit("x")).withColumn("nll", F.lit(2)).withColumn("part", F.lit(3))
+    good = {d for d, q, _ in labels if q}
+    held = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()}
+    want = reference_model([r[1] for r in rows if r[0] in good - held])
+    nll = {r[0]: want(r[1]) for r in rows}
+    mean, far = {}, defaultdict(list)
+    for lang in ("xx", "yy"):
+        mine = [r for r in rows if r[2] == lang and r[0] in good & held]
+        mean[lang] = sum(nll[r[0]] for r in mine) / sum(len(r[1]) for r in mine)
+        far[lang] = sorted((nll[r[0]] - mean[lang] * len(r[1])) / (len(r[1]) + kneserney.PRIOR) for r in mine)
+    limit = {k: mean[k] + v[math.ceil(0.9 * len(v)) - 1] for k, v in far.items()}
+    got = kneserney.classify(docs, kneserney.fit(docs, spark.createDataFrame(labels, LABELS), 0.9, least=5)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        judged = (nll[r.doc_id] + kneserney.PRIOR * mean[r.lang]) / (len(r.text) + kneserney.PRIOR)
+        assert math.isclose(math.log(r.limit), limit[r.lang], rel_tol=1e-6) and math.isclose(math.log(r.judged), judged, rel_tol=1e-6)
+        assert math.isclose(math.log(r.perplexity), nll[r.doc_id] / len(r.text), rel_tol=1e-6)
+        assert r.rejected == (judged > limit[r.lang] + 1e-9) and (r["mean"], r["_limit"], r["nll"], r["part"]) == (1, "x", 2, 3)
 
 
 def test_quality_classifier(spark, corpus):
     docs = spark.createDataFrame(corpus[0], odd(spark).schema)
     labels = spark.createDataFrame(corpus[1], LABELS)
-    got = kneserney.classify(docs, kneserney.fit(docs, labels)).collect()
+    got = kneserney.classify(docs, kneserney.fit(docs, labels, stretch=2.0)).collect()
     assert len(got) == len(corpus[0])
     assert all(r.rejected == (r.doc_id % 6 == 5) for r in got)
 
