@@ -111,33 +111,51 @@ def probabilities(keys: DataFrame, model: Model) -> DataFrame:
     return out.select("key", F.log("p").alias("logp"))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """part, rows: the rows of docs in blocks of about 1 MB of text, as compressed Arrow streams; part is the reading task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for b in pieces(batches, "text", 1 << 20):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["part", "rows"])
+
+    return materialize(docs.mapInArrow(run, "part int, rows binary"), "blocks", "none")
+
+
+def _opened(block: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(block.as_buffer()).read_next_batch()
+
+
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """row (all of a row of docs, as a struct), nll (sum of negative log probabilities) and n (symbols) of the whole text.
+    """docs with nll_ (sum of negative log probabilities) and n_ (symbols) of the whole text.
 
-    Documents stay in the part they are read in. The rows of a part, its n-grams' probabilities first, are dealt and
-    sorted together, so a task holds one part's table and streams through its documents.
+    Documents stay in the part they are read in, in packed blocks. The n-grams' probabilities of a part and its blocks
+    are dealt and sorted together, so a task holds one part's table and streams through its documents.
     """
-    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    placed = materialize(placed.withColumn("part", F.spark_partition_id()), "placed")
+    base = docs.withColumn("text", F.col("text").cast("string"))
+    blocks = _packed(base)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, known = None, np.zeros(0, np.int64)
-        for b in pieces(batches, "text", 1 << 20):
-            parts = b.column("part").to_numpy()
-            for p in np.unique(parts):
-                keys = np.unique(_grams(b.filter(pa.array(parts == p)).column("text").to_pylist())[0])
+        for b in batches:
+            for p, rows in zip(b.column("part").to_pylist(), b.column("rows"), strict=True):
                 if p != part:
                     part, known = p, np.zeros(0, np.int64)
+                keys = np.unique(_grams(_opened(rows).column("text").to_pylist())[0])
                 new = np.setdiff1d(keys, known, assume_unique=True)
                 known = np.union1d(known, new)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(new.size, p, np.int32)), pa.array(new)], ["part", "key"])
 
-    wanted = materialize(placed.select("part", "text").mapInArrow(asked, "part int, key long").distinct(), "asked")
+    wanted = materialize(blocks.mapInArrow(asked, "part int, key long").distinct(), "asked")
     logp = materialize(probabilities(wanted.select("key").distinct(), model), "logp")
     answers = wanted.join(logp, "key").select("part", "key", "logp")
-    both = answers.unionByName(placed.drop("text"), allowMissingColumns=True)
+    both = answers.unionByName(blocks, allowMissingColumns=True)
     dealt = both.repartition("part").sortWithinPartitions("part", F.col("logp").isNull())
-    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, keys, values, held = None, None, None, []
@@ -155,16 +173,17 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                     keys, values = (np.concatenate([h[k] for h in held] or [np.zeros(0)]) for k in (0, 1))
                     order = np.argsort(keys)
                     keys, values, held = keys[order], values[order], []
-                rows = pa.RecordBatch.from_arrays([here.column("row"), here.column("row").field(place).cast(pa.string())], ["row", "text"])
-                for piece in pieces([rows], "text", 1 << 20):
-                    grams, n = _grams(piece.column("text").to_pylist())
+                for block in here.column("rows"):
+                    rows = _opened(block)
+                    grams, n = _grams(rows.column("text").to_pylist())
                     code, uniques = pd.factorize(grams)
                     sums = np.concatenate([[0.0], np.cumsum(-values[np.searchsorted(keys, uniques)][code])])
                     ends = np.cumsum(n)
-                    cols = [piece.column("row"), pa.array(sums[ends] - sums[ends - n], pa.float64()), pa.array(n.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, ["row", "nll", "n"])
+                    cols = [*rows.columns, pa.array(sums[ends] - sums[ends - n], pa.float64()), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, [*rows.schema.names, "nll_", "n_"])
 
-    return dealt.mapInArrow(run, f"row {placed.schema['row'].dataType.simpleString()}, nll double, n long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    return dealt.mapInArrow(run, f"{fields}, nll_ double, n_ long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: float = 1.0, folds: int = 5, least: int = 50) -> Model:
@@ -180,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: flo
     trusted = materialize(_with_trust(rows, labels).where("_trusted"), "trusted")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
     model = train(trusted.where(~held))
-    scored = materialize(_scored(trusted.where(held).select("text", "lang"), model).select("row.lang", "nll", "n"), "held")
+    scored = materialize(_scored(trusted.where(held).select("text", "lang"), model).select("lang", F.col("nll_").alias("nll"), F.col("n_").alias("n")), "held")
     mean = (F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("mean")
     overall = scored.agg(mean).first()["mean"] or 0.0
     over = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR) - F.col("mean")
@@ -203,15 +222,18 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     average text, and a row is rejected where it is over limit. So null and empty texts aren't rejected; without trusted
     text nothing is. Repeated rows are judged alike; other columns may have any name; an empty table gives no rows.
     """
-    base = docs.drop("perplexity", "judged", "limit", "rejected")
+    names = [c for c in docs.columns if c not in ("perplexity", "judged", "limit", "rejected")]
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").cast("string").alias("text"))
+    lang = F.col(f"c{names.index('lang')}").cast("string")
     rest = model.limits.where("lang is null").select(F.col("mean").alias("mean_"), F.col("limit").alias("limit_"))
-    own = model.limits.where("lang is not null")
-    scored = _scored(base, model)
+    own = model.limits.where("lang is not null").select(F.col("lang").alias("lang_"), "mean", "limit")
     # As many rows as there are languages with trusted text, and one.
-    out = scored.join(F.broadcast(own), scored["row.lang"].cast("string") == own["lang"], "left").join(F.broadcast(rest))
+    out = _scored(base.drop(f"c{names.index('text')}"), model)
+    out = out.join(F.broadcast(own), lang == F.col("lang_"), "left").join(F.broadcast(rest))
     mean, limit = F.coalesce("mean", "mean_"), F.coalesce("limit", "limit_")
-    judged = (F.col("nll") + PRIOR * mean) / (F.col("n") + PRIOR)
+    judged = (F.col("nll_") + PRIOR * mean) / (F.col("n_") + PRIOR)
     return out.select(
-        F.exp(F.col("nll") / F.when(F.col("n") > 0, F.col("n"))).alias("perplexity"), F.exp(judged).alias("judged"), F.exp(limit).alias("limit"),
-        F.coalesce(judged > limit, F.lit(False)).alias("rejected"), *[F.col(f"row.`{c}`").alias(c) for c in base.columns],
-    ).select(*[F.col(f"`{c}`") for c in base.columns], "perplexity", "judged", "limit", "rejected")
+        *[F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)],
+        F.exp(F.col("nll_") / F.when(F.col("n_") > 0, F.col("n_"))).alias("perplexity"), F.exp(judged).alias("judged"), F.exp(limit).alias("limit"),
+        F.coalesce(judged > limit, F.lit(False)).alias("rejected"),
+    )

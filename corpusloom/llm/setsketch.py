@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import buffers, discard, materialize, pieces
@@ -32,7 +32,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: A pair is verified unless its likelihood estimate lies so far under the threshold (over six standard errors).
 SLACK = 0.22
 #: In groups of up to so many members, classes of different components are all compared.
-DIRECT = 8
+DIRECT = 16
 #: Members of a group that one task compares with its center, and groups whose nearest members are sent to all tasks.
 PER_TASK, BROADCAST_GROUPS = 512, 100_000
 
@@ -132,12 +132,6 @@ def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def _first_lane(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """First hashes of packed sets (see _sets), one behind the other, and the offsets of each set's."""
-    raw, offs = buffers(arr)
-    return raw.view(np.uint64).reshape(-1, 2)[:, 0], offs // 16
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union; shingles are compared by 128 bits."""
 
@@ -157,18 +151,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a binary, b binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, size: int, lanes: int = 2) -> DataFrame:
     """key, set of the wanted classes (key, doc_id, mark), made anew from that document's whole text.
 
-    A set is packed as two 64-bit hashes a shingle, in order.
+    A set is packed as ``lanes`` 64-bit hashes a shingle, in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            values, second, offs = shingles(*buffers(b.column("text")), size, 2)
-            packed = np.stack([values, second], axis=1)
+            *values, offs = shingles(*buffers(b.column("text")), size, lanes)
+            packed = np.stack(values, axis=1)
             sets = [packed[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)]
-            own = [k == m for k, m in zip(b.column("key").to_pylist(), set_keys(values, offs), strict=True)]
+            own = [k == m for k, m in zip(b.column("key").to_pylist(), set_keys(values[0], offs), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.binary())], ["key", "set"]).filter(pa.array(own, pa.bool_()))
 
     w = wanted.select("key", F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"))
@@ -176,85 +170,111 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return mine.select("key", "text").mapInArrow(run, "key binary, set binary").dropDuplicates(["key"])
 
 
-def _centers(big: DataFrame, sets: DataFrame) -> DataFrame:
-    """gid, c, center: the shingles that more than half of a group's c members have; at most twice the members' average number."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "set"):
-            values, offs = _first_lane(b.column("set"))
-            row = pa.array(np.repeat(np.arange(b.num_rows), np.diff(offs)))
-            yield pa.RecordBatch.from_arrays([b.column("gid").take(row), pa.array(values.view(np.int64))], ["gid", "s"])
-
-    each = big.join(sets, "key").select("gid", "set").mapInArrow(spread, "gid binary, s long")
-    often = each.groupBy("gid", "s").agg(F.count(F.lit(1)).alias("often"))
-    sizes = big.groupBy("gid").agg(F.first("c").alias("c"))
-    common = often.join(sizes, "gid").where("2 * often > c").groupBy("gid").agg(F.collect_list("s").alias("center"))
-    return sizes.join(common, "gid", "left").withColumn("center", F.coalesce("center", F.array().cast("array<long>")))
+def _from_hub(big: DataFrame, sets: DataFrame) -> DataFrame:
+    """gid, key, root, c, n (the member's shingles), hub_n, own and lacks: how each member differs from one of its group, the hub.
 
-
-def _differences(big: DataFrame, sets: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
-    """gid, key, root, far, slack, n, diff: in which shingles a member differs from its group's center.
-
-    Members i and j that have k of their differences in common are linked exactly if
-    far_i + far_j <= slack + (100 + percent) * k, where far is 100 for each shingle lacking and percent for each added
-    one, and slack is (100 - percent) times the center's size.
+    The hub is the member that the group is named after, else its least.
     """
+    named = F.max(F.when(F.col("key") == F.col("gid"), F.col("key")))
+    hubs = big.groupBy("gid").agg(F.coalesce(named, F.min("key")).alias("hub"), F.first("c").alias("c"))
     salts = F.ceil(F.col("c") / PER_TASK)
     left = big.join(sets, "key").withColumn("salt", F.pmod(F.xxhash64("key"), salts))
-    right = centers.select("gid", "center", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    right = hubs.join(sets.select(F.col("key").alias("hub"), F.col("set").alias("hub_set")), "hub")
+    right = right.select("gid", "hub_set", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "set"):
-            values, offs = _first_lane(b.column("set"))
-            far, slack, n, diff = [], [], [], []
-            for i, j, center in zip(offs[:-1], offs[1:], b.column("center"), strict=True):
-                x, c = values[i:j], np.sort(center.values.to_numpy().view(np.uint64))
-                at = np.searchsorted(c, x)
-                has = np.zeros(x.size, bool)
-                inside = at < c.size
-                has[inside] = c[at[inside]] == x[inside]
-                lacks = np.ones(c.size, bool)
-                lacks[at[has]] = False
-                own, gone = x[~has], c[lacks]
-                far.append(100 * gone.size + percent * own.size)
-                slack.append((100 - percent) * c.size)
-                n.append(own.size + gone.size)
-                diff.append(np.concatenate([own, mix(gone ^ np.uint64(0x5BD1E995))]).view(np.int64))
-            cols = [pa.array(v, pa.int64()) for v in (far, slack, n)] + [pa.array(diff, pa.list_(pa.int64()))]
-            names = ["gid", "key", "root", "far", "slack", "n", "diff"]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names[:3]), *cols], names)
-
-    both = left.join(right, ["gid", "salt"]).select("gid", "key", "root", "set", "center")
-    return both.mapInArrow(run, "gid binary, key binary, root binary, far long, slack long, n long, diff array<long>")
-
-
-def _smaller_groups(differ: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) with each group's member nearest to the center, and groups (gid, key) of members with one difference in common.
-
-    All members that can be linked without a common difference are linked to the nearest one. Any other link needs as
-    many common differences as far and slack tell, so it is found by the rarest of each member's (prefix filter).
+            n, hub_n, own, lacks = [], [], [], []
+            for x, h in zip(b.column("set").to_pylist(), b.column("hub_set").to_pylist(), strict=True):
+                x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+                at = np.minimum(np.searchsorted(h, x), h.size - 1)
+                has = h[at] == x
+                without = np.ones(h.size, bool)
+                without[at[has]] = False
+                n.append(x.size)
+                hub_n.append(h.size)
+                own.append(x[~has].view(np.int64))
+                lacks.append(h[without].view(np.int64))
+            cols = [pa.array(v, pa.int64()) for v in (n, hub_n)] + [pa.array(v, pa.list_(pa.int64())) for v in (own, lacks)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("gid", "key", "root", "c")), *cols], ["gid", "key", "root", "c", "n", "hub_n", "own", "lacks"])
+
+    both = left.join(right, ["gid", "salt"]).select("gid", "key", "root", "c", "set", "hub_set")
+    return both.mapInArrow(run, "gid binary, key binary, root binary, c long, n long, hub_n long, own array<long>, lacks array<long>")
+
+
+def _from_center(differ: DataFrame, percent: int) -> DataFrame:
+    """differ (see _from_hub) against the group's center, the shingles that more than half of the members have; with far and slack.
+
+    Members i and j that have k of their differences (own and lacks) in common are linked exactly if
+    far_i + far_j <= slack + (100 + percent) * k: far is 100 for each shingle lacking and percent for each own one, slack
+    is (100 - percent) times the center's size.
     """
+    kinds = [differ.select("gid", "c", F.lit(k).alias("kind"), F.explode(k).alias("s")) for k in ("own", "lacks")]
+    often = kinds[0].unionByName(kinds[1]).groupBy("gid", "c", "kind", "s").agg(F.count(F.lit(1)).alias("often"))
+    changed = often.where((2 * F.col("often") > F.col("c")) | ((F.col("kind") == "lacks") & (2 * F.col("often") == F.col("c"))))
+    # At most the hub's shingles and twice the members' average of own ones in a row.
+    changed = changed.groupBy("gid").agg(
+        F.collect_list(F.when(F.col("kind") == "own", F.col("s"))).alias("add"), F.collect_list(F.when(F.col("kind") == "lacks", F.col("s"))).alias("drop")
+    )
+    none = F.array().cast("array<long>")
+    both = differ.join(changed, "gid", "left").withColumns({"add": F.coalesce("add", none), "drop": F.coalesce("drop", none)})
+    own = F.concat(F.array_except("own", "add"), F.array_except("drop", "lacks"))
+    lacks = F.concat(F.array_except("lacks", "drop"), F.array_except("add", "own"))
+    center = F.col("hub_n") - F.size("drop") + F.size("add")
+    out = both.select("gid", "key", "root", "n", own.alias("own"), lacks.alias("lacks"), ((100 - percent) * center).alias("slack"))
+    return out.withColumn("far", 100 * F.size("lacks").cast("long") + percent * F.size("own").cast("long"))
+
+
+def _nearest(differ: DataFrame) -> DataFrame:
+    """differ with hub, the member of the group that is nearest to the center, and least, how far it is."""
     near = differ.groupBy("gid").agg(F.min(F.struct("far", "key")).alias("near")).select("gid", F.col("near.far").alias("least"), F.col("near.key").alias("hub"))
-    placed = differ.join(F.broadcast(near) if near.count() <= BROADCAST_GROUPS else near, "gid")
-    star = placed.where((F.col("far") + F.col("least") <= F.col("slack")) & (F.col("key") != F.col("hub")))
-    star = star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    need = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("least") - F.col("slack")) / (100 + percent)))
-    each = placed.select("gid", "key", "root", "n", (F.col("n") - need + 1).alias("shown"), F.explode("diff").alias("s")).where("shown > 0")
-    each = materialize(each, "each")
+    return differ.join(F.broadcast(near) if near.count() <= BROADCAST_GROUPS else near, "gid")
+
+
+def _smaller_groups(placed: DataFrame, percent: int) -> DataFrame:
+    """gid, key: groups of members of several components with one difference in common.
+
+    placed: the members against their center and its nearest member. All that can be linked without a common
+    difference are linked to that one. Any other link needs as many common differences as far and slack tell, or as
+    many common own shingles as a member's size tells; so it is found by the first of each member's, in an order with
+    own ones first and rare ones before others (prefix filter). Of a pair the one nearer to the center may be met by
+    still fewer (first), as the other is at least as far.
+    """
+
+    def needed(other: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil((F.col("far") + other - F.col("slack")) / (100 + percent)))
+
+    n_all, least_common = F.size("own") + F.size("lacks"), F.ceil(F.col("n") * percent / 100)
+    by_own = F.when(least_common > F.col("n") - F.size("own"), F.col("n") - least_common + 1)
+    shown, first = (F.least(n_all - needed(F.col(c)) + 1, by_own) for c in ("least", "far"))  # least skips nulls
+    each = placed.withColumns({"shown": shown, "first": first}).where("shown > 0")
+    names = ["gid", "key", "root", "far", "shown", "first"]
+    own = each.select(*names, F.lit(0).alias("kind"), F.explode("own").alias("s"))
+    lacks = each.where(F.col("shown") > F.size("own")).select(*names, F.lit(1).alias("kind"), F.explode("lacks").alias("s"))
+    each = materialize(own.unionByName(lacks), "each")
     tally = lambda df: df.groupBy("gid", "s").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    # Rare differences first; those that a member has alone come before all others and lead nowhere.
-    order = Window.partitionBy("gid", "key").orderBy("often", "s")
-    shown = each.join(tally(each).where("often > 1"), ["gid", "s"])
-    several = shown.groupBy("gid", "key").agg(F.count(F.lit(1)).alias("several"))
-    shown = shown.join(several, ["gid", "key"]).withColumn("place", F.row_number().over(order) + F.col("n") - F.col("several"))
-    shown = materialize(shown.where("place <= shown and lo <> hi").select("gid", "s", "key", "root"), "shown")
-    again = tally(shown).where("often > 1 and lo <> hi").select("gid", "s")
+    order = Window.partitionBy("gid", "key").orderBy("kind", "often", "s")
+    met = each.join(tally(each).where("often > 1"), ["gid", "s"])
+    # What a member alone has leads nowhere, but takes its place before the others of its kind.
+    alone = each.groupBy("gid", "key", "kind").agg(F.count(F.lit(1)).alias("all"))
+    alone = alone.join(met.groupBy("gid", "key", "kind").agg(F.count(F.lit(1)).alias("several")), ["gid", "key", "kind"], "left")
+    alone = alone.select("gid", "key", "kind", (F.col("all") - F.coalesce("several", F.lit(0))).alias("alone"))
+    alone = alone.groupBy("gid", "key").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("alone")).otherwise(0)).alias("alone_0"), F.sum("alone").alias("alone_1")
+    )
+    before = F.when(F.col("kind") == 0, F.col("alone_0")).otherwise(F.col("alone_1"))
+    met = met.join(alone, ["gid", "key"]).withColumn("place", F.row_number().over(order) + before)
+    met = met.where("place <= shown and lo <> hi").select("gid", "s", "key", "root", "far", (F.col("place") <= F.col("first")).alias("first"))
+    met = materialize(met, "shown")
+    nearest = met.where("first").groupBy("gid", "s").agg(F.min("far").alias("least"))
+    met = met.join(nearest, ["gid", "s"]).where("far >= least")
+    again = tally(met).where("often > 1 and lo <> hi").select("gid", "s")
     name = F.unhex(F.md5(F.concat("gid", F.col("s").cast("string").cast("binary"))))
-    groups = materialize(shown.join(again, ["gid", "s"]).select(name.alias("gid"), "key"), "groups")
+    groups = materialize(met.join(again, ["gid", "s"]).select(name.alias("gid"), "key"), "groups")
     # Differences often come together: of groups with the same members one is enough.
     same = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     one = same.groupBy("c", "x", "y").agg(F.min("gid").alias("gid")).select("gid")
-    return star, groups.join(one, "gid", "left_semi")
+    return groups.join(one, "gid", "left_semi")
 
 
 def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
@@ -265,6 +285,7 @@ def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFra
     difference in common. At most half of a group has one, so these are smaller, and the step is repeated on them.
     """
     groups, out = members.select(F.col("hub").alias("gid"), "key"), []
+
     while True:
         rooted = groups.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         mixed = rooted.groupBy("gid").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -277,11 +298,13 @@ def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFra
         if big.isEmpty():
             break
         wanted = reps.select("key", "doc_id", "mark").join(big.select("key").distinct(), "key")
-        sets = materialize(_sets(docs, wanted, size), "members")
-        centers = materialize(_centers(big, sets), "centers")
-        differ = materialize(_differences(big, sets, centers, percent), "differences")
-        star, groups = _smaller_groups(differ, percent)
-        out.append(star)
+        sets = materialize(_sets(docs, wanted, size, 1), "members")
+        differ = materialize(_from_hub(big, sets), "differences")
+        placed = _nearest(materialize(_from_center(differ, percent), "centered"))
+        # Members so near to the center are linked, whatever they have in common otherwise.
+        star = placed.where((F.col("far") + F.col("least") <= F.col("slack")) & (F.col("key") != F.col("hub")))
+        out.append(star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")))
+        groups = _smaller_groups(placed, percent)
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.unionByName(more)

@@ -68,12 +68,12 @@ def test_kneser_ney_against_dictionaries(spark, corpus):
     units = lambda t: t.encode("utf-16-le").decode("utf-16-le")
     model = kneserney.train(docs.where("doc_id < 30"))
     want = reference_model([units(r[1]) for r in rows[:30]])
-    got = {r.row.doc_id: r for r in kneserney._scored(docs, model).collect()}
-    assert len(got) == len(rows) and got[502].n == got[502].nll == 0
+    got = {r.doc_id: r for r in kneserney._scored(docs, model).collect()}
+    assert len(got) == len(rows) and got[502].n_ == got[502].nll_ == 0
     for r in rows[:41]:  # texts that trained, others, and one of n-grams that training lacks
-        assert got[r[0]].n == len(r[1]) and math.isclose(got[r[0]].nll, want(r[1]), rel_tol=1e-6)
-    assert got[501].n == len(rows[-2][1]) + 1  # a character beyond U+FFFF has two units
-    assert got[500].nll / got[500].n > 2 * got[0].nll / got[0].n
+        assert got[r[0]].n_ == len(r[1]) and math.isclose(got[r[0]].nll_, want(r[1]), rel_tol=1e-6)
+    assert got[501].n_ == len(rows[-2][1]) + 1  # a character beyond U+FFFF has two units
+    assert got[500].nll_ / got[500].n_ > 2 * got[0].nll_ / got[0].n_
 
 
 def test_limits_and_rejections_by_brute_force(spark, corpus):
