@@ -1,21 +1,18 @@
 """Suffix-array deduplication by bucket-pointer refinement over sampled suffixes.
 
-A suffix's first bucket is its q-gram. Buckets are refined by the bucket identifiers of later offsets: pairs of q-gram
-identifiers order suffixes by 2q bytes, pairs of those by up to 4q, until the repeat length is reached; every step
-reuses the identifiers that the step before has just updated. Identifiers are content hashes, so a task refines what
-it holds without asking others, and Spark groups equal identifiers.
-
-Only suffixes that some window of the repeat length chooses (its least q-gram) are sorted, about one in seventeen.
-Two equal windows choose the same suffix at the same offset, so this loses nothing:
-
-1. First buckets: anchors whose q-gram occurs in one document only are settled and leave. A task itself settles
-   anchors that several of its documents share, and sends one of them on; so a frequent passage costs a few rows a task.
-2. Context buckets: the windows around an anchor, as one identifier. If a smaller document has the whole context, all
-   its windows go.
-3. Window buckets, only where a q-gram bucket still holds several contexts: each context's first document gives an
-   identifier for each window, and the least document of each decides.
-
-Every step deals its rows once, sorted, and streams through them.
+1. Sampling: every window of the repeat length chooses one suffix, its least q-gram by a hash, about one suffix in
+   seventeen. Equal windows choose the same suffix at the same offset, so this loses nothing. Suffixes whose q-gram
+   occurs in one document only are settled and leave.
+2. Equal surroundings: the windows that chose one suffix form its context. Of equal contexts only the least document's
+   goes on; all windows of the others are settled.
+3. Bucket-pointer refinement, only where a q-gram still has several contexts: these are dealt by q-gram, and a task
+   orders all their suffixes. First buckets hold suffixes with the same eight bytes; each suffix points to the first
+   slot of its bucket. A bucket is refined by sorting its suffixes on the bucket pointers of the suffixes ``reach``
+   bytes later; the pointers so updated are what the next pass sorts on, so reach doubles until it is the repeat length.
+   Buckets of one suffix are settled. Windows in one bucket at the end are equal, and the least document keeps them.
+
+Hashes choose suffixes and deal them; which windows are equal in a bucket is decided by their bytes. Every step deals
+its rows once, sorted, and streams through them; very long texts are taken in overlapping stretches.
 """
 
 from __future__ import annotations
@@ -31,26 +28,29 @@ from corpusloom.llm.common import buffers, discard, materialize, partitions, pie
 from corpusloom.llm.hashing import mix, prefix, stretches
 
 _U = np.uint64
-#: Bytes of a first bucket; at most half the repeat length is used.
+#: Bytes of the q-gram that a suffix is chosen and dealt by; at most half the repeat length is used.
 GRAM = 20
+#: Bytes of a first bucket, as one number.
+FIRST = 8
+#: Bytes of a text that are looked at together, and bytes of contexts that are refined together (one q-gram's at least).
+STRETCH, REFINED = 4 << 20, 2 << 20
 
 
 class Anchors:
-    """Sampled suffixes of a batch of texts (none without ``sample``), and the identifiers of its suffixes and windows."""
+    """Sampled suffixes of a batch of texts: at; first window lo, number of windows runs, q-gram's hash route, for each."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, length: int, sample: bool = True):
-        self.length, self.gram = length, max(1, min(GRAM, length // 2))
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, length: int):
+        self.length = length
         self.sums, self.inverse = prefix(raw)
-        q, n = self.gram, raw.size - length + 1
+        q, n = max(1, min(GRAM, length // 2)), raw.size - length + 1
         self.runs = self.lo = self.at = np.zeros(0, np.int64)
+        self.route = np.zeros(0, _U)
         if n <= 0:
             return
         at = np.arange(raw.size - q + 1)
-        self.first = stretches(self.sums, self.inverse, at, at + q)
-        if not sample:
-            return
-        # The least q-gram of a window, the leftmost of equals: the high half of the identifier, then the place.
-        least = (self.first & _U(0xFFFFFFFF00000000)) | at.astype(_U)
+        first = stretches(self.sums, self.inverse, at, at + q)
+        # The least q-gram of a window, the leftmost of equals: the high half of the hash, then the place.
+        least = (first & _U(0xFFFFFFFF00000000)) | at.astype(_U)
         span, width = 1, length - q + 1
         while 2 * span <= width:
             least = np.minimum(least[:-span], least[span:])
@@ -67,32 +67,58 @@ class Anchors:
         self.at = chosen[begin]
         self.lo = start[begin]
         self.runs = np.diff(np.append(begin, start.size))
-
-    def refined(self, at: np.ndarray) -> np.ndarray:
-        """Identifiers of the windows that start at ``at``: buckets refined to the whole repeat length."""
-        ids, reach, offs = self.first, self.gram, at
-        steps = []
-        while reach < self.length:
-            steps.append(step := min(reach, self.length - reach))
-            reach += step
-        def level(k: int, p: np.ndarray) -> np.ndarray:  # noqa: E306
-            if not k:
-                return ids[p]
-            near, later = level(k - 1, p), level(k - 1, p + steps[k - 1])
-            return mix(near * _U(0x9E3779B97F4A7C15) + (later ^ (later >> _U(29))) * _U(0xD6E8FEB86659FD93) + _U(k))
-        return level(len(steps), offs)  # noqa: E306
-
-    def window(self, at: np.ndarray) -> np.ndarray:
-        return stretches(self.sums, self.inverse, at, at + self.length)
+        self.route = first[self.at]
 
     def contexts(self) -> np.ndarray:
-        """An identifier of all that an anchor's windows cover, and where in it the anchor is."""
-        last = self.lo + self.runs - 1
-        whole = stretches(self.sums, self.inverse, self.lo, last + self.length)
-        edge = self.refined(self.lo) * _U(0x9E3779B97F4A7C15) + self.refined(last)
+        """A hash of all that an anchor's windows cover, and where in it the anchor is."""
+        end = self.lo + self.runs - 1 + self.length
+        whole = stretches(self.sums, self.inverse, self.lo, end)
+        edge = stretches(self.sums, self.inverse, self.at, end) * _U(0x9E3779B97F4A7C15)
         return mix(whole ^ mix(edge + ((self.at - self.lo) * 65536 + self.runs).astype(_U)))
 
 
+def refine(raw: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
+    """Bucket pointers of all suffixes of the texts raw[offs[i]:offs[i+1]], refined to ``length`` bytes.
+
+    Suffixes with so many bytes left in their text have the same pointer exactly if these bytes are the same, and
+    pointers are in the order of the bytes; the others have none (-1).
+    """
+    left = np.repeat(offs[1:], np.diff(offs)) - np.arange(raw.size)
+    reach = min(FIRST, length)
+    code = np.zeros(max(raw.size - reach + 1, 0), _U)
+    for k in range(reach):
+        code |= raw[k : k + code.size].astype(_U) << _U(8 * (reach - 1 - k))
+    pointer = np.full(raw.size, -1, np.int64)
+
+    def assign(place: np.ndarray, new: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Point the suffixes, in order, to the first slot of their buckets; returns those that share one."""
+        slot = np.maximum.accumulate(np.where(new, base, 0))
+        pointer[place] = slot
+        alone = new & np.append(new[1:], True)
+        return place[~alone]
+
+    active = np.flatnonzero(left >= reach)
+    active = active[np.argsort(code[active], kind="stable")]
+    new = np.ones(active.size, bool)
+    new[1:] = code[active[1:]] != code[active[:-1]]
+    active = assign(active, new, np.arange(active.size))
+    while reach < length:
+        step = min(reach, length - reach)
+        active = active[left[active] >= reach + step]  # shorter ones stay as they are: no later pass reads them
+        order = np.lexsort((pointer[active + step], pointer[active]))
+        active = active[order]
+        own, later = pointer[active], pointer[active + step]
+        bucket, new = np.ones(active.size, bool), np.ones(active.size, bool)
+        bucket[1:] = own[1:] != own[:-1]
+        new[1:] = bucket[1:] | (later[1:] != later[:-1])
+        # A bucket keeps its slots: parts of it follow each other from its first slot on.
+        inside = np.arange(active.size) - np.maximum.accumulate(np.where(bucket, np.arange(active.size), 0))
+        active = assign(active, new, own + inside)
+        reach += step
+    pointer[left < length] = -1
+    return pointer
+
+
 def _text_mark(text: str) -> Column:
     """Tells rows of one doc_id apart: half a hash of the text."""
     return F.shiftright(F.xxhash64(text), 32).cast("int")
@@ -107,74 +133,95 @@ def _mark_and_lo(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (place >> 32).astype(np.int32), (place & 0xFFFFFFFF).astype(np.int32)
 
 
+def _extent(before: np.ndarray, n: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Of a context: bytes before the anchor, windows, and how often it follows itself (a text of one short period)."""
+    return before << 48 | n << 32 | times
+
+
+def _windows(extent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a context, and how often it follows itself."""
+    return (extent >> 32) & 0xFFFF, extent & 0xFFFFFFFF
+
+
 def _owner(offs: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(offs, at, "right") - 1
 
 
+def _stretched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """Slices of the batches, their bytes and offsets, and where these begin in the text: 0 but in a text longer than STRETCH."""
+    for b in pieces(batches, "text"):
+        raw, offs = buffers(b.column("text"))
+        if raw.size <= STRETCH:
+            yield b, raw, offs, 0
+            continue
+        for base in range(0, raw.size, STRETCH):
+            part = raw[base : base + STRETCH + length - 1]
+            yield b, part, np.array([0, part.size]), base
+
+
 def _anchors(rows: DataFrame, length: int) -> DataFrame:
-    """route, doc, spot (2 * place + known): the anchors; rows with one route and several documents are shared, known ones are anyway."""
+    """route, doc, tag: the q-grams of anchors, once a document and piece.
+
+    tag 1: other documents of the piece have it too; 2 and more: so it is, and the row needn't meet others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            raw, offs = buffers(b.column("text"))
+        for b, raw, offs, _ in _stretched(batches, length):
             found = Anchors(raw, offs, length)
             if not found.at.size:
                 continue
-            owner = _owner(offs, found.lo)
-            doc, route, at = b.column("doc").to_numpy()[owner], found.first[found.at].copy(), found.at - offs[owner]
+            doc, route = b.column("doc").to_numpy()[_owner(offs, found.lo)], found.route
             order = np.lexsort((doc, route))
-            doc, route, at = doc[order], route[order], at[order]
-            head = np.ones(route.size, bool)
+            doc, route = doc[order], route[order]
+            head, once = np.ones(route.size, bool), np.ones(route.size, bool)
             head[1:] = route[1:] != route[:-1]
+            once[1:] = head[1:] | (doc[1:] != doc[:-1])
+            doc, route, head = doc[once], route[once], head[once]
             group, begin = np.cumsum(head) - 1, np.flatnonzero(head)
-            many = (np.maximum.reduceat(doc, begin) != doc[begin])[group]
-            aside = many & ~head
-            route[aside] = mix(route[aside] + np.flatnonzero(aside).astype(_U))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(route.view(np.int64)), pa.array(doc), pa.array(2 * at + many)], ["route", "doc", "spot"]
-            )
+            many = np.diff(np.append(begin, route.size))[group] > 1
+            tag = np.where(many, np.where(head, 1, 2 + np.arange(route.size)), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(doc), pa.array(tag)], ["route", "doc", "tag"])
 
-    return rows.mapInArrow(run, "route long, doc long, spot long")
+    return rows.mapInArrow(run, "route long, doc long, tag int")
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
-    """doc, at of the shared anchors, from rows dealt and sorted by route and document; groups stream through."""
+    """doc, route of the q-grams that several documents have, from rows dealt and sorted by route and document; groups stream through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        route, several, held = None, False, None  # the last route; held: its rows so far, while they are of one document
+        route, doc, several = None, None, False  # the last route, its last document, and whether it is known as shared
 
-        def out(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at)], ["doc", "at"])
+        def out(doc: np.ndarray, route: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(route)], ["doc", "route"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            r, d, a = (b.column(k).to_numpy() for k in ("route", "doc", "spot"))
-            known, a = a & 1 == 1, a >> 1
+            r, d, known = (b.column(k).to_numpy() for k in ("route", "doc", "tag"))
             head = np.ones(r.size, bool)
             head[1:] = r[1:] != r[:-1]
             begin, group = np.flatnonzero(head), np.cumsum(head) - 1
-            many = (np.maximum.reduceat(d, begin) != np.minimum.reduceat(d, begin)) | np.logical_or.reduceat(known, begin)
-            goes_on = route is not None and r[0] == route
-            if goes_on:
-                many[0] |= several or held[0][0] != d[0]
+            many = (np.maximum.reduceat(d, begin) != d[begin]) | (np.maximum.reduceat(known, begin) > 0)
+            if route is not None and r[0] == route:
+                many[0] |= several or doc != d[0]
                 if many[0] and not several:
-                    yield out(*held)
-            good = many[group]
-            if good.any():
-                yield out(d[good], a[good])
-            tail = slice(begin[-1], None)
-            joins = goes_on and begin.size == 1 and not several
-            route, several = r[-1], bool(many[-1])
-            held = (np.concatenate([held[0], d[tail]]), np.concatenate([held[1], a[tail]])) if joins else (d[tail], a[tail])
+                    yield out(np.array([doc]), np.array([route]))
+            once = many[group]
+            once[1:] &= head[1:] | (d[1:] != d[:-1])
+            if once.any():
+                yield out(d[once], r[once])
+            route, doc, several = r[-1], d[-1], bool(many[-1])
 
-    return anchors.mapInArrow(run, "doc long, at long")
+    return anchors.mapInArrow(run, "doc long, route long")
 
 
-def _lists(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
+def _flat(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
     """Row numbers and values of a list column, flat."""
     lists = b.column(name)
-    return np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten()
+    sizes = np.diff(lists.offsets.to_numpy())
+    if lists.null_count:
+        sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+    return np.repeat(np.arange(b.num_rows), sizes), lists.flatten()
 
 
 def _heads(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,36 +236,49 @@ def _heads(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, doc[order] > first
 
 
+def _pair(row: np.ndarray, route: np.ndarray) -> np.ndarray:
+    return mix(route + row.astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
 def _contexts(rows: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """route, context, doc, place, extent: the shared anchors' windows, n from lo on; known where a smaller document of the task has the context.
+    """route, context, doc, place, extent: the contexts of the shared anchors; settled where a smaller document of the piece has the context.
 
-    place holds the row's mark and lo, extent 2 * n + known.
+    place holds the row's mark and the first window, extent see _extent. Settled ones needn't meet others.
     """
-    lists = shared.groupBy("doc").agg(F.collect_list("at").alias("ats"))
+    lists = shared.groupBy("doc").agg(F.collect_set("route").alias("routes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            raw, offs = buffers(b.column("text"))
+        for b, raw, offs, base in _stretched(batches, length):
             found = Anchors(raw, offs, length)
             if not found.at.size:
                 continue
-            row, ats = _lists(b, "ats")
-            good = np.isin(found.at, ats.to_numpy() + offs[row])
-            owner = _owner(offs, found.lo)[good]
-            route, context = found.first[found.at][good], found.contexts()[good]
+            row, routes = _flat(b, "routes")
+            owner = _owner(offs, found.lo)
+            good = np.flatnonzero(np.isin(_pair(owner, found.route), _pair(row, routes.to_numpy().view(_U))))
+            if not good.size:
+                continue
+            owner, route, context = owner[good], found.route[good], found.contexts()[good]
+            lo, n, before = found.lo[good], found.runs[good], (found.at - found.lo)[good]
+            # In a text of one short period a context follows itself: one row for all.
+            new = np.ones(good.size, bool)
+            new[1:] = (route[1:] != route[:-1]) | (context[1:] != context[:-1]) | (lo[1:] != lo[:-1] + n[:-1]) | (owner[1:] != owner[:-1])
+            begin = np.flatnonzero(new)
+            times = np.diff(np.append(begin, good.size))
+            owner, route, context, lo, n, before = (x[begin] for x in (owner, route, context, lo, n, before))
             doc, mark = b.column("doc").to_numpy()[owner], b.column("mark").to_numpy()[owner]
-            order, known = _heads([route, context], doc)
+            order, settled = _heads([route, context], doc)
             route = route[order]
-            route[known] = mix(route[known] + np.flatnonzero(known).astype(_U))
-            place = _place(mark, found.lo[good] - offs[owner])[order]
-            cols = (route.view(np.int64), context[order].view(np.int64), doc[order], place, 2 * found.runs[good][order] + known)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["route", "context", "doc", "place", "extent"])
+            route[settled] = mix(route[settled] + np.flatnonzero(settled).astype(_U))
+            place = _place(mark, base + lo - offs[owner])[order]
+            cols = (route.view(np.int64), context[order].view(np.int64), doc[order], place, _extent(before, n, times)[order])
+            names = ["route", "context", "doc", "place", "extent", "settled"]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(settled)], names)
 
-    return rows.join(lists, "doc").mapInArrow(run, "route long, context long, doc long, place long, extent long")
+    return rows.join(lists, "doc").mapInArrow(run, "route long, context long, doc long, place long, extent long, settled boolean")
 
 
 def _judged(contexts: DataFrame) -> DataFrame:
-    """doc, mark, lo, n, whole: runs that a smaller document has wholly, and runs that are open (first of one of several contexts).
+    """route, doc, mark, lo, extent, whole: contexts that a smaller document has too, and the first of each where a route has several.
 
     The rows come sorted by route, context and document; only the rows of a route's last context that lead it are
     held from batch to batch.
@@ -229,23 +289,23 @@ def _judged(contexts: DataFrame) -> DataFrame:
         held, several = [np.zeros(0, np.int64)] * 5, False  # leaders of the last context; several: they have gone out
 
         def out(cols: list[np.ndarray], pick: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
-            doc, place, n = (c[pick] for c in cols[2:])
-            out = [pa.array(c) for c in (doc, *_mark_and_lo(place), n, whole[pick])]
-            return pa.RecordBatch.from_arrays(out, ["doc", "mark", "lo", "n", "whole"])
+            route, _, doc, place, extent = (c[pick] for c in cols)
+            out = (np.where(whole[pick], 0, route), doc, *_mark_and_lo(place), extent, whole[pick])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["route", "doc", "mark", "lo", "extent", "whole"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             new = [b.column(c).to_numpy() for c in names]
-            new, known = [*new[:4], new[4] >> 1], new[4] & 1 == 1
+            settled = b.column("settled").to_numpy(zero_copy_only=False)
             cols, old = [np.concatenate(x) for x in zip(held, new, strict=True)], held[0].size
-            known = np.concatenate([np.zeros(old, bool), known])
+            settled = np.concatenate([np.zeros(old, bool), settled])
             route, context, doc = cols[:3]
             next_route, head = np.ones(route.size, bool), np.ones(route.size, bool)
             next_route[1:] = route[1:] != route[:-1]
             head[1:] = next_route[1:] | (context[1:] != context[:-1])
             begin, in_route = np.flatnonzero(head), np.cumsum(next_route) - 1
-            whole = (doc > doc[begin][np.cumsum(head) - 1]) | known
+            whole = (doc > doc[begin][np.cumsum(head) - 1]) | settled
             many = np.bincount(in_route, head)[in_route] > 1
             if old and several:
                 many[in_route == 0] = True
@@ -259,56 +319,82 @@ def _judged(contexts: DataFrame) -> DataFrame:
             several = bool(many[-1])
             held = [c[lead] for c in cols] if lead.any() else [np.zeros(0, np.int64)] * 5
 
-    return contexts.mapInArrow(run, "doc long, mark int, lo int, n long, whole boolean")
+    return contexts.mapInArrow(run, "route long, doc long, mark int, lo int, extent long, whole boolean")
 
 
-def _windows(rows: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
-    """w1, w2, doc, place (mark and lo): an identifier of 96 bits for each window of the open runs."""
-    lists = open_runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+def _open_contexts(rows: DataFrame, judged: DataFrame, length: int) -> DataFrame:
+    """route, doc, place, extent, bytes of the contexts that are not settled."""
+    lists = judged.where("not whole").groupBy("doc", "mark").agg(F.collect_list(F.struct("route", "lo", "extent")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             raw, offs = buffers(b.column("text"))
-            if raw.size < length:
-                continue
-            found = Anchors(raw, offs, length, sample=False)
-            row, runs = _lists(b, "runs")
-            lo, n = runs.field("lo").to_numpy() + offs[row], runs.field("n").to_numpy()
-            at, row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(row, n)
-            short = (found.window(at) >> _U(32)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found.refined(at).view(np.int64)), pa.array(short), pa.array(b.column("doc").to_numpy()[row]),
-                    pa.array(_place(b.column("mark").to_numpy()[row], at - offs[row])),
-                ],
-                ["w1", "w2", "doc", "place"],
-            )
-
-    return rows.join(lists, ["doc", "mark"]).mapInArrow(run, "w1 long, w2 int, doc long, place long")
-
-
-def _later(windows: DataFrame) -> DataFrame:
-    """doc, mark, lo of the windows that a smaller document has; the rows come sorted by w1, w2 and document."""
+            row, runs = _flat(b, "runs")
+            lo, extent = (runs.field(k).to_numpy().astype(np.int64) for k in ("lo", "extent"))
+            size = _windows(extent)[0] - 1 + length
+            ends = np.cumsum(size)
+            take = np.repeat(lo + offs[row] - ends + size, size) + np.arange(size.sum())
+            data = pa.Array.from_buffers(
+                pa.binary(), size.size, [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[take]))]
+            )
+            place = _place(b.column("mark").to_numpy()[row], lo)
+            cols = [runs.field("route"), pa.array(b.column("doc").to_numpy()[row]), pa.array(place), pa.array(extent), data]
+            yield pa.RecordBatch.from_arrays(cols, ["route", "doc", "place", "extent", "bytes"])
+
+    return rows.join(lists, ["doc", "mark"]).mapInArrow(run, "route long, doc long, place long, extent long, bytes binary")
+
+
+def _later(contexts: DataFrame, length: int) -> DataFrame:
+    """doc, mark, lo, hi: stretches of windows that a smaller document has; contexts come dealt and sorted by route."""
+
+    def spans(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw, offs = buffers(b.column("bytes"))
+        doc, place = b.column("doc").to_numpy(), b.column("place").to_numpy()
+        n, times = _windows(b.column("extent").to_numpy())
+        pointer = refine(raw, offs, length)
+        begin = np.cumsum(n) - n
+        row = np.repeat(np.arange(n.size), n)
+        j = np.arange(row.size) - begin[row]
+        window = pointer[offs[:-1][row] + j]
+        # Windows of one bucket that belong to one route are equal with the anchor at the same place.
+        order, found = _heads([window], doc[row])
+        later = np.zeros(row.size, bool)
+        later[order] = found
+        edge = np.zeros(row.size + 1, np.int8)
+        edge[:-1] = later
+        first = later & ((j == 0) | ~np.append(False, later[:-1]))
+        last = later & ((j == n[row] - 1) | ~np.append(later[1:], False))
+        lo, hi, of = j[first], j[last] + 1, row[first]
+        # A whole context stands for all that follow it; of others each has its own part.
+        all_of = (hi - lo == n[of]) & (times[of] > 1)
+        again = np.where(all_of, 1, times[of])
+        k = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
+        lo, hi, of, all_of = (np.repeat(x, again) for x in (lo, hi, of, all_of))
+        mark, start = _mark_and_lo(place[of])
+        lo, hi = start + k * n[of] + lo, start + np.where(all_of, times[of] * n[of], k * n[of] + hi) - 1 + length
+        return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(mark), pa.array(lo), pa.array(hi)], ["doc", "mark", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        held, size = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            w1, w2, doc = (b.column(c).to_numpy() for c in ("w1", "w2", "doc"))
-            head = np.ones(w1.size, bool)
-            head[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-            least = doc[np.flatnonzero(head)]
-            if last is not None and last[:2] == (w1[0], w2[0]):
-                least[0] = last[2]
-            group = np.cumsum(head) - 1
-            later = doc > least[group]
-            last = (w1[-1], w2[-1], least[-1])
-            if later.any():
-                mark, lo = _mark_and_lo(b.column("place").to_numpy()[later])
-                yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(mark), pa.array(lo)], ["doc", "mark", "lo"])
-
-    return windows.mapInArrow(run, "doc long, mark int, lo int")
+            held.append(b)
+            size += b.nbytes
+            if size < REFINED:
+                continue
+            both = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            route = both.column("route").to_numpy()
+            cut = int(np.searchsorted(route, route[-1]))  # the last route may go on
+            if cut:
+                yield spans(both.slice(0, cut))
+            held, size = [both.slice(cut)], 0
+        if held:
+            both = pa.Table.from_batches(held).combine_chunks().to_batches()
+            if both:
+                yield spans(both[0])
+
+    return contexts.mapInArrow(run, "doc long, mark int, lo long, hi long")
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -320,27 +406,16 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).dropna()
     rows = rows.withColumn("mark", _text_mark("text"))
     n = partitions(spark)
-    shared = materialize(_shared(_anchors(rows.drop("mark"), length).repartition(n, "route").sortWithinPartitions("route", "doc")), "anchors")
+    dealt = _anchors(rows.drop("mark"), length).repartition(n, "route", F.greatest("tag", F.lit(1))).sortWithinPartitions("route", "doc")
+    shared = materialize(_shared(dealt), "anchors")
     judged = _judged(_contexts(rows, shared, length).repartition(n, "route").sortWithinPartitions("route", "context", "doc"))
     judged = materialize(judged, "contexts")
     discard(shared)
-    dealt = _windows(rows, judged.where("not whole"), length).repartition(n, "w1").sortWithinPartitions("w1", "w2", "doc")
-    single = materialize(_later(dealt), "windows")
-    lo = F.col("lo").cast("long")
-    spans = judged.where("whole").select("doc", "mark", lo.alias("lo"), (lo + F.col("n") - 1 + length).alias("hi")).unionByName(
-        single.select("doc", "mark", lo.alias("lo"), (lo + length).alias("hi"))
-    )
-    return spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-
-
-def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Disjoint maximal runs: spans that touch or overlap are joined."""
-    order = np.argsort(lo, kind="stable")
-    lo, hi = lo[order], np.maximum.accumulate(hi[order])
-    new = np.ones(lo.size, bool)
-    new[1:] = lo[1:] > hi[:-1]
-    begin = np.flatnonzero(new)
-    return lo[begin], hi[np.append(begin[1:], lo.size) - 1]
+    dealt = _open_contexts(rows, judged, length).repartition(n, "route").sortWithinPartitions("route")
+    single = materialize(_later(dealt, length), "windows")
+    lo, n, times = F.col("lo").cast("long"), F.shiftright("extent", 32).bitwiseAND(F.lit(0xFFFF)), F.col("extent").bitwiseAND(F.lit(0xFFFFFFFF))
+    whole = judged.where("whole").select("doc", "mark", lo.alias("lo"), (lo + n * times - 1 + length).alias("hi"))
+    return whole.unionByName(single).groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -360,23 +435,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             raw, offs = buffers(b.column("text"))
-            spans = b.column("spans").to_pylist() if b.column("spans").null_count < b.num_rows else [None] * b.num_rows
-            removed, n_spans, kept = [], [], []
-            for i, j, s in zip(offs[:-1], offs[1:], spans, strict=True):
-                text = raw[i:j]
-                if s:
-                    lo, hi = _merged(*(np.array([x[k] for x in s], np.int64) for k in ("lo", "hi")))
-                    hi = np.minimum(hi, text.size)
-                    gone = np.zeros(text.size + 1, np.int32)
-                    np.add.at(gone, lo, 1)
-                    np.add.at(gone, hi, -1)
-                    text = text[np.cumsum(gone[:-1]) == 0]
-                    n_spans.append(lo.size)
-                else:
-                    n_spans.append(0)
-                removed.append(int(j - i) - text.size)
-                kept.append(text.tobytes())
-            cols = [b.column("doc_id"), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
+            row, spans = _flat(b, "spans")
+            lo, hi = (np.minimum(spans.field(k).to_numpy() + offs[row], offs[row + 1]) for k in ("lo", "hi"))
+            edge = np.bincount(lo, minlength=raw.size + 1)[: raw.size + 1] - np.bincount(hi, minlength=raw.size + 1)[: raw.size + 1]
+            gone = np.cumsum(edge[:-1]) > 0
+            removed = np.concatenate([[0], np.cumsum(gone)])
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            begins[offs[:-1][np.diff(offs) > 0]] = gone[offs[:-1][np.diff(offs) > 0]]  # a run ends with its text
+            runs = np.concatenate([[0], np.cumsum(begins)])
+            left, n = offs - removed[offs], np.diff(offs)
+            kept = pa.Array.from_buffers(
+                pa.binary(), b.num_rows, [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[~gone]))]
+            )
+            cols = [b.column("doc_id"), pa.array(n), pa.array(n - np.diff(left)), pa.array(np.diff(runs[offs])), kept]
             yield pa.RecordBatch.from_arrays([*cols, *[b.column(c) for c in carry]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name in carry)
@@ -388,4 +460,4 @@ def kept_digest(removed: DataFrame) -> DataFrame:
     return removed.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
-__all__ = ["Anchors", "kept_digest", "remove_repeats", "repeated_spans"]
+__all__ = ["Anchors", "kept_digest", "refine", "remove_repeats", "repeated_spans"]

@@ -4,6 +4,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom.llm import suffixdedup
 from tests.llm.fixtures import empty, odd, odd_rows
 
@@ -59,3 +61,35 @@ def test_odd_and_empty_tables(spark):
     got = suffixdedup.remove_repeats(odd(spark), 50, ("lang", "source", "n_chars")).collect()
     assert len(got) == len(odd_rows())
     assert suffixdedup.remove_repeats(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("length", [5, 8, 23, 50])
+def test_refined_pointers_order_suffixes(length):
+    rng = random.Random(length)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 150))) for _ in range(20)] + ["ab" * 60, "a" * 90]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *map(len, texts)])
+    pointer = suffixdedup.refine(raw, offs, length)
+    rows = [(texts[i][p : p + length], int(pointer[offs[i] + p])) for i in range(len(texts)) for p in range(len(texts[i]))]
+    assert all((q == -1) == (len(w) < length) for w, q in rows)
+    whole = [r for r in rows if r[1] >= 0]
+    assert len({w for w, _ in whole}) == len(set(whole)) == len({q for _, q in whole})
+    assert [w for w, _ in sorted(whole, key=lambda r: r[1])] == sorted(w for w, _ in whole)
+
+
+def test_periodic_texts_and_stretches(spark, monkeypatch):
+    rows = [(1, "x" * 900), (2, "x" * 1000 + "end of it"), (3, "start " + "abc" * 400), (4, "abc" * 100 + "tail"), (5, "bca" * 50 + "x" * 60)]
+    rows += [(6, rows[0][1]), (7, "one two three four five six seven eight nine ten " * 30), (8, "six seven eight nine ten one two three four five " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for stretch in (suffixdedup.STRETCH, 128):
+        monkeypatch.setattr(suffixdedup, "STRETCH", stretch)
+        got = suffixdedup.kept_digest(suffixdedup.remove_repeats(docs, 50)).collect()
+        assert sorted(map(tuple, got)) == brute(rows, 50)
+
+
+def test_a_very_long_text_of_one_character(spark):
+    n = 20 << 20
+    docs = spark.createDataFrame([(1, "y" + "x" * 200), (2, "short")], "doc_id long, text string")
+    long = spark.range(1).select((F.col("id") + 3).alias("doc_id"), F.expr(f"repeat('x', {n})").alias("text"))
+    got = {r.doc_id: r for r in suffixdedup.remove_repeats(docs.union(long), 50).drop("kept").collect()}
+    assert (got[3].n_removed, got[3].n_spans, got[1].n_removed, got[2].n_removed) == (n, 1, 0, 0)
