@@ -16,11 +16,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset and gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_corpusloom_dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark._corpusloom_dir = base
     return base.rstrip("/")

@@ -1,7 +1,7 @@
 """Media columns: Netpbm and BMP images in a binary column, decoded to numpy, area-resized, tiled and hashed.
 
-Decoding is per row inside Arrow batches; Spark partitions the work. Null media gives null features; a malformed
-image raises ValueError.
+Decoding is per row inside Arrow batches; Spark partitions the work. Null media gives null features; of a malformed
+image the column error tells what is wrong, and its features are null.
 """
 
 from __future__ import annotations
@@ -103,6 +103,14 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
+def decoded(data: bytes) -> tuple[np.ndarray | None, str | None]:
+    """The samples, or what is wrong with the image."""
+    try:
+        return decode(data), None
+    except (ValueError, IndexError, struct.error) as e:
+        return None, str(e) or type(e).__name__
+
+
 def area_resize(a: np.ndarray, rows: int, cols: int) -> np.ndarray:
     """Mean over each target cell's exact area, by an integral image read at fractional corners. Colours are averaged to grey first."""
     grey = a.astype(np.float64).mean(axis=2) if a.ndim == 3 else a
@@ -138,29 +146,34 @@ def npy(a: np.ndarray) -> bytes:
 
 
 def media_features(df: DataFrame, column: str = "media", tile: int = 16) -> DataFrame:
-    """df with media_bytes, media_sha256, feature (difference hash) and tile_npy (tile x tile grey samples as NPY).
+    """df with media_bytes, media_sha256, feature (difference hash), tile_npy (tile x tile grey samples as NPY) and error.
 
-    Columns of df by these names are replaced; null media gives nulls.
+    Columns of df by these names are replaced; null media gives nulls. A malformed image has its bytes counted and
+    hashed, null features and the reason in error, and doesn't stop the others.
     """
-    new = "media_bytes long, media_sha256 string, feature string, tile_npy binary"
-    keep = [c for c in df.columns if c not in ("media_bytes", "media_sha256", "feature", "tile_npy")]
-    base = df.select(*keep)
+    made = ["media_bytes", "media_sha256", "feature", "tile_npy", "error"]
+    new = "media_bytes long, media_sha256 string, feature string, tile_npy binary, error string"
+    keep = [c for c in df.columns if c not in made]
+    base = df.select(*[F.col(f"`{c}`") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, column):
             rows = []
             for data in b.column(column).to_pylist():
                 if data is None:
-                    rows.append((None,) * 4)
+                    rows.append((None,) * 5)
+                    continue
+                own = len(data), hashlib.sha256(data).hexdigest()
+                a, error = decoded(data)
+                if a is None:
+                    rows.append((*own, None, None, error))
                     continue
-                a = decode(data)
                 small = np.clip(np.rint(area_resize(a, tile, tile)), 0, 255).astype(np.uint8)
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), difference_hash(a), npy(small)))
+                rows.append((*own, difference_hash(a), npy(small), None))
             cols = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in range(len(keep))] + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                [*keep, "media_bytes", "media_sha256", "feature", "tile_npy"],
+                [b.column(i) for i in range(len(keep))] + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [*keep, *made]
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
@@ -217,4 +230,4 @@ def text_media(docs: DataFrame, kind: str = "pgm") -> DataFrame:
     back = stored.mapInArrow(
         run, "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long"
     )
-    return media_features(back).drop("media")
+    return media_features(back).drop("media", "error")

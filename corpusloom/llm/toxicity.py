@@ -198,7 +198,8 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _strings(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}-" for k in range(4, 9) if len(word) > k)]
+    """A word's pieces, and the beginnings of the word."""
+    return [*_cut(word), *(f"{word[:k]}-" for k in range(4, 9) if len(word) > k)]
 
 
 def _cover(members: pd.DataFrame, odds: pd.Series, most: int) -> list[str]:
@@ -224,16 +225,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, landmarks: int = 6
     """Train on at most ``most`` toxic and ``most`` other labelled documents that aren't held out, chosen by hash of the id.
 
     The driver gets at most 1000 candidate strings with their toxic documents, and 8 * ``most`` sentences of SENTENCE
-    words; all texts are read whole in the tasks. Without both kinds of label, or strings that tell them apart, the
-    model scores every text alike.
+    words; all texts are read whole in the tasks, and words longer than LONGEST in all their pieces, as in scoring.
+    Where labels of one doc_id clash, or those of equal texts, the text counts as toxic; null labels and ids are left
+    out. Without both kinds of label, or strings that tell them apart, the model scores every text alike.
     """
     none = Model(np.zeros((SYMBOLS**3, 0)), np.zeros(0))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")).dropna()
-    known = known.where(~is_held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = known.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("toxic"))
     chosen = known.where("toxic").orderBy(order).limit(most).unionByName(known.where("not toxic").orderBy(order).limit(most))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = materialize(text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]), "labelled")  # at most 2 * most rows
+    rows = text.join(F.broadcast(chosen), "doc_id")  # at most 2 * most ids
+    rows = materialize(rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "labelled")
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return none
@@ -241,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, landmarks: int = 6
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 1 << 20):
             for d, toxic, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
-                got = list({s for w in {normal(w) for w in units(t.split())} if w for s in _strings(w[:LONGEST])})
+                got = list({s for w in {normal(w) for w in units(t.split())} if w for s in _strings(w)})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d] * len(got), pa.int64()), pa.array([toxic] * len(got), pa.bool_()), pa.array(got, pa.string())],
                     ["doc_id", "toxic", "s"],
@@ -266,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, landmarks: int = 6
             for d, toxic, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
                 words = [n for n in map(normal, units(t.split())) if n]
                 cut = [words[i : i + SENTENCE] for i in range(0, len(words), SENTENCE)]
-                hit = [any(not marked.isdisjoint(_strings(w[:LONGEST])) for w in c) for c in cut]
+                hit = [any(not marked.isdisjoint(_strings(w)) for w in c) for c in cut]
                 kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.string()))
                 cols = ([d] * len(cut), [toxic] * len(cut), hit, cut)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "toxic", "hit", "words"])
@@ -289,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, landmarks: int = 6
     sample = positive + blurred + negative
     y = np.array([1] * (len(positive) + len(blurred)) + [-1] * len(negative))
     points = telling
-    flat = sorted({w[:LONGEST] for s in sample for w in s})
+    flat = sorted({x for s in sample for w in s for x in _cut(w)})
     table = _explicit(points).astype(np.float32)
     own = features(points, table)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
@@ -297,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, landmarks: int = 6
     root = vectors[:, keep] / np.sqrt(values[keep])
     near = features(flat, table) @ root
     place = {w: i for i, w in enumerate(flat)}
-    x = np.array([near[[place[w[:LONGEST]] for w in s]].sum(axis=0) for s in sample])
+    x = np.array([near[[place[x] for w in s for x in _cut(w)]].sum(axis=0) for s in sample])
     beta, bias = _svm(x, y)
     model = Model(table, root @ beta, bias)
     # The logistic function of documents' largest decisions, by Newton steps on the chosen documents.

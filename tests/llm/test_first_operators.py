@@ -170,3 +170,13 @@ def test_url_rule_inside_a_segment(spark):
     rules = spark.createDataFrame([("a.com", "/en", "block"), ("com", "", "block")], "host string, path string, verdict string")
     got = {r.page_id: r.rule for r in urlfilter.filter_pages(pages, rules).collect()}
     assert got == {1: "a.com/en", 2: "com"}
+
+
+def test_malformed_media_are_told_apart(spark):
+    good = media.encode_netpbm(np.arange(64, dtype=np.uint8).reshape(8, 8))
+    rows = [(1, good, "a"), (2, good[:-1], "b"), (3, b"BM", "c"), (4, None, "d"), (5, b"", "e"), (6, b"P5\n9", "f")]
+    frame = spark.createDataFrame(rows, "id long, media binary, error string")
+    got = {r.id: r for r in media.media_features(frame).collect()}
+    assert got[1].error is None and got[1].feature and got[4].media_bytes is None and got[4].error is None
+    assert all(got[i].error and got[i].feature is None and got[i].media_bytes == len(rows[i - 1][1]) for i in (2, 3, 5, 6))
+    assert got[1].feature == media.difference_hash(np.arange(64).reshape(8, 8))

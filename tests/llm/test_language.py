@@ -143,7 +143,7 @@ def test_decontamination(spark, monkeypatch):
         assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, tests).collect()} == want
     left = {r.doc_id for r in decontaminate.clean(frame, tests).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in want} | {None, 77}
-    assert decontaminate.contaminated(odd(spark), tests).collect() == []
+    assert decontaminate.contaminated(odd(spark), tests.where('item_id < 50')).collect() == []
     assert decontaminate.contaminated(frame, tests.limit(0)).collect() == []
     assert decontaminate.contaminated(empty(spark), tests).collect() == []
 
@@ -206,3 +206,13 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).collect() == []
     blank = toxicity.fit(docs, spark.createDataFrame([], LABELS))
     assert {r.score for r in toxicity.score(odd(spark), blank).collect()} == {0.5}
+
+
+def test_clashing_labels_are_toxic_whatever_their_order(spark):
+    rows = [(i, ("you blockhead fool number" if i % 3 == 0 else "good morning to all of you") + f" {i % 50}", "en", "s", 1, 1, "x") for i in range(300)]
+    docs = spark.createDataFrame(rows, odd(spark).schema)
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(300)] + [(i, 1, 0) for i in range(0, 60, 3)] + [(None, 1, 1), (7, 1, None)]
+    one = toxicity.fit(docs, spark.createDataFrame(labels, LABELS))
+    two = toxicity.fit(docs.repartition(3), spark.createDataFrame(labels[::-1], LABELS).repartition(5))
+    assert (one.table == two.table).all() and np.allclose(one.weights, two.weights) and math.isclose(one.bias, two.bias, abs_tol=1e-9)
+    assert len(toxicity._strings("a" * 60)) > 3

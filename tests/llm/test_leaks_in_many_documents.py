@@ -33,3 +33,44 @@ def test_edited_copies_of_a_common_item(spark):
     tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.score, r.end_word) for r in decontaminate.contaminated(frame, tests).collect()}
     assert got == want
+
+
+def test_every_pair_of_the_score_is_found(spark):
+    """200 documents x 20 items against alignment of all pairs: words changed at every place, left out and put in."""
+    rng = random.Random(9)
+    common = ["the", "of", "and", "to", "in", "is", "it", "was"]
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else "".join(rng.choice("abcdefghijk") for _ in range(5))
+    items = [(i, [word() for _ in range(rng.choice([4, 5, 7, 12, 30]))]) for i in range(20)]
+    docs = []
+    for d in range(200):
+        item, how = list(items[d % 20][1]), d // 20
+        if how == 0:
+            item = [word() if k % 3 == 2 else w for k, w in enumerate(item)]  # every third word replaced
+        elif how == 1:
+            item = [x for w in item for x in (w, word())]  # a word put in behind each
+        elif how == 2:
+            item = [w for k, w in enumerate(item) if k % 3 != 1]
+        elif how < 8:
+            for _ in range(rng.randint(0, len(item) // 2)):
+                k = rng.randrange(len(item))
+                item[k : k + 1] = rng.choice([[], [word()], [item[k], word()]])
+                item = item or [word()]
+        docs.append((d, [word() for _ in range(40)] + item + [word() for _ in range(40)]))
+    code = lambda words: np.array([hash(w) for w in words], np.int64)
+    want = {}
+    for d, w in docs:
+        for i, item in items:
+            score, _ = decontaminate.align(code(item), code(w))
+            if score >= len(item):
+                want[d, i] = round(score / (2 * len(item)), 6)
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(4)
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(frame, tests).collect()}
+    assert len(want) > 80 and got == want
+
+
+def test_short_items_stand_whole(spark):
+    docs = spark.createDataFrame([(1, "here is a unique phrase today"), (2, "unique thing, phrase"), (3, "Zyx."), (4, "one two three"), (5, "one two x three")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "unique phrase"), (2, "zyx"), (3, "one two three"), (4, "..."), (5, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)}
