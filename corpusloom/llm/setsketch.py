@@ -32,7 +32,9 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: A pair is verified unless its likelihood estimate lies so far under the threshold (over six standard errors).
 SLACK = 0.22
 #: In groups of up to so many members, classes of different components are all compared.
-DIRECT = 16
+DIRECT = 3
+#: Differences that up to so many members have lead to all pairs of these; members with more common ones make a group dense.
+RARE, DENSE = 16, 14
 #: Members of a group that one task compares with its center, and groups whose nearest members are sent to all tasks.
 PER_TASK, BROADCAST_GROUPS = 512, 100_000
 
@@ -226,35 +228,67 @@ def _from_center(differ: DataFrame, percent: int) -> DataFrame:
 
 
 def _nearest(differ: DataFrame) -> DataFrame:
-    """differ with hub, the member of the group that is nearest to the center, and least, how far it is."""
-    near = differ.groupBy("gid").agg(F.min(F.struct("far", "key")).alias("near")).select("gid", F.col("near.far").alias("least"), F.col("near.key").alias("hub"))
-    return differ.join(F.broadcast(near) if near.count() <= BROADCAST_GROUPS else near, "gid")
+    """differ with hub and hub_root, the member of the group that is nearest to the center, hub_far, and least.
 
-
-def _smaller_groups(placed: DataFrame, percent: int) -> DataFrame:
-    """gid, key: groups of members of several components with one difference in common.
-
-    placed: the members against their center and its nearest member. All that can be linked without a common
-    difference are linked to that one. Any other link needs as many common differences as far and slack tell, or as
-    many common own shingles as a member's size tells; so it is found by the first of each member's, in an order with
-    own ones first and rare ones before others (prefix filter). Of a pair the one nearer to the center may be met by
-    still fewer (first), as the other is at least as far.
+    least is how far a member of another component is at least: two of one component needn't meet.
+    """
+    near = differ.groupBy("gid").agg(F.min(F.struct("far", "key", "root")).alias("near"))
+    near = near.select("gid", F.col("near.far").alias("hub_far"), F.col("near.key").alias("hub"), F.col("near.root").alias("hub_root"))
+    placed = differ.join(F.broadcast(near) if near.count() <= BROADCAST_GROUPS else near, "gid")
+    others = placed.where("root <> hub_root").groupBy("gid").agg(F.min("far").alias("other_far"))
+    placed = placed.join(others, "gid")
+    return placed.withColumn("least", F.when(F.col("root") == F.col("hub_root"), F.col("other_far")).otherwise(F.col("hub_far")))
+
+
+def _once(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by, key, root) of the groups that have several components, only one group of those with the same members."""
+    same = rows.groupBy("gid", *by).agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+        F.min("root").alias("lo"), F.max("root").alias("hi"),
+    ).where("c > 1 and lo <> hi")
+    one = same.groupBy("gid", "c", "x", "y").agg(F.min(F.struct(*by)).alias("one")).select("gid", "one.*", "c")
+    return rows.join(one, ["gid", *by])
+
+
+def _meet(rows: DataFrame, by: list[str], such: Column) -> DataFrame:
+    """Pairs a, b of members of one group in different components, the nearer one (x) by what it shows first."""
+    x, y = rows.where("first").alias("x"), rows.alias("y")
+    here = (F.col("x.root") != F.col("y.root")) & (F.col("x.far") <= F.col("y.far")) & such
+    for c in ["gid", *by]:
+        here &= F.col(f"x.{c}") == F.col(f"y.{c}")
+    return x.join(y, here).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def _by_difference(placed: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """Pairs a, b that have enough differences in common, and groups (gid, key) that are too dense for that, split by one difference.
+
+    All members that can be linked without a common difference are linked to the nearest one. Any other link needs as
+    many common differences as far and slack tell, or as many common own shingles as a member's size tells; so it is
+    found by the first of each member's, in an order with own ones first and rare ones before others (prefix filter).
+    Of a pair the one nearer to the center may be met by still fewer, as the other is at least as far. Where the first
+    common difference isn't rare, members meet by two, or by one if one is enough.
     """
 
     def needed(other: Column) -> Column:
         return F.greatest(F.lit(1), F.ceil((F.col("far") + other - F.col("slack")) / (100 + percent)))
 
-    n_all, least_common = F.size("own") + F.size("lacks"), F.ceil(F.col("n") * percent / 100)
-    by_own = F.when(least_common > F.col("n") - F.size("own"), F.col("n") - least_common + 1)
-    shown, first = (F.least(n_all - needed(F.col(c)) + 1, by_own) for c in ("least", "far"))  # least skips nulls
-    each = placed.withColumns({"shown": shown, "first": first}).where("shown > 0")
-    names = ["gid", "key", "root", "far", "shown", "first"]
+    n_all, own_least = F.size("own") + F.size("lacks"), F.ceil(F.col("n") * percent / 100) - (F.col("n") - F.size("own"))
+    by_own = F.size("own") - own_least + 1
+    farther = F.greatest("far", "least")
+    cols = {}
+    for name, other in (("shown", F.col("least")), ("first", farther)):
+        by_all = n_all - needed(other) + 1
+        cols[name] = F.least(by_all, F.when(own_least >= 1, by_own))  # least skips nulls
+        cols[f"{name}2"] = F.least(by_all, F.when(own_least >= 2, by_own)) + 1
+    each = placed.withColumns(cols).where("shown > 0")
+    names = ["gid", "key", "root", "far", "slack", "least", *cols]
     own = each.select(*names, F.lit(0).alias("kind"), F.explode("own").alias("s"))
-    lacks = each.where(F.col("shown") > F.size("own")).select(*names, F.lit(1).alias("kind"), F.explode("lacks").alias("s"))
+    lacks = each.where(F.col("shown2") > F.size("own")).select(*names, F.lit(1).alias("kind"), F.explode("lacks").alias("s"))
     each = materialize(own.unionByName(lacks), "each")
-    tally = lambda df: df.groupBy("gid", "s").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    order = Window.partitionBy("gid", "key").orderBy("kind", "often", "s")
-    met = each.join(tally(each).where("often > 1"), ["gid", "s"])
+    often = each.groupBy("gid", "s").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    met = each.join(often, ["gid", "s"]).withColumn("rare", F.col("often") <= RARE)
+    # Rare ones by how often they are; others in no order, so that shingles of one place don't follow each other.
+    order = Window.partitionBy("gid", "key").orderBy("kind", F.when(F.col("rare"), F.col("often")).otherwise(RARE + 1), F.xxhash64("s"), "s")
     # What a member alone has leads nowhere, but takes its place before the others of its kind.
     alone = each.groupBy("gid", "key", "kind").agg(F.count(F.lit(1)).alias("all"))
     alone = alone.join(met.groupBy("gid", "key", "kind").agg(F.count(F.lit(1)).alias("several")), ["gid", "key", "kind"], "left")
@@ -263,29 +297,35 @@ def _smaller_groups(placed: DataFrame, percent: int) -> DataFrame:
         F.sum(F.when(F.col("kind") == 0, F.col("alone")).otherwise(0)).alias("alone_0"), F.sum("alone").alias("alone_1")
     )
     before = F.when(F.col("kind") == 0, F.col("alone_0")).otherwise(F.col("alone_1"))
-    met = met.join(alone, ["gid", "key"]).withColumn("place", F.row_number().over(order) + before)
-    met = met.where("place <= shown and lo <> hi").select("gid", "s", "key", "root", "far", (F.col("place") <= F.col("first")).alias("first"))
-    met = materialize(met, "shown")
-    nearest = met.where("first").groupBy("gid", "s").agg(F.min("far").alias("least"))
-    met = met.join(nearest, ["gid", "s"]).where("far >= least")
-    again = tally(met).where("often > 1 and lo <> hi").select("gid", "s")
+    met = met.join(alone, ["gid", "key"]).withColumn("place", F.row_number().over(order) + before).where("place <= shown2")
+    met = materialize(met.select("gid", "s", "key", "root", "far", "slack", "least", *cols, "rare", "place"), "shown")
+    by_one = met.where("place <= shown").withColumn("first", F.col("place") <= F.col("first"))
+    rare = _meet(_once(by_one.where("rare"), ["s"]), ["s"], F.lit(True))
+    one_left = F.col("far") + F.col("least") <= F.col("slack") + 100 + percent
+    enough = F.col("x.far") + F.col("y.far") <= F.col("x.slack") + 100 + percent
+    single = _meet(by_one.where(~F.col("rare") & one_left), ["s"], enough)
+    common = met.where("not rare")
+    dense = common.groupBy("gid", "key").agg(F.count(F.lit(1)).alias("f")).groupBy("gid").agg((F.max("f") > DENSE).alias("dense"))
+    common = materialize(common.join(dense, "gid"), "common")
+    # At most DENSE * (DENSE - 1) / 2 rows a member.
+    held = common.where("not dense").groupBy("gid", "key", "root", "far", "first2").agg(F.array_sort(F.collect_list(F.struct("place", "s"))).alias("t"))
+    two = held.select("*", F.posexplode("t").alias("i", "one")).select("*", F.explode(F.slice("t", F.col("i") + 2, DENSE)).alias("two"))
+    two = two.select("gid", "key", "root", "far", F.col("one.s").alias("s"), F.col("two.s").alias("z"), (F.col("two.place") <= F.col("first2")).alias("first"))
+    double = _meet(_once(two, ["s", "z"]), ["s", "z"], F.lit(True))
     name = F.unhex(F.md5(F.concat("gid", F.col("s").cast("string").cast("binary"))))
-    groups = materialize(met.join(again, ["gid", "s"]).select(name.alias("gid"), "key"), "groups")
-    # Differences often come together: of groups with the same members one is enough.
-    same = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
-    one = same.groupBy("c", "x", "y").agg(F.min("gid").alias("gid")).select("gid")
-    return groups.join(one, "gid", "left_semi")
+    groups = _once(common.where("dense and place <= shown"), ["s"]).select(name.alias("gid"), "key")
+    return [rare, single, double], materialize(groups, "groups")
 
 
 def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs a, b of a hub's members in different components that can still be linked; no link between components is left out.
 
     In a group of up to DIRECT members all such pairs come. A larger one is described by its center and by what each
-    member has otherwise: members near the center meet its nearest one, and the others meet in groups that have a
-    difference in common. At most half of a group has one, so these are smaller, and the step is repeated on them.
+    member has otherwise: members near the center meet its nearest one, and the others meet by differences they have in
+    common. Where members have very many of these with others, the step is repeated on the members that have one in
+    common: at most half of the group, so there are few repetitions.
     """
     groups, out = members.select(F.col("hub").alias("gid"), "key"), []
-
     while True:
         rooted = groups.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         mixed = rooted.groupBy("gid").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -300,11 +340,14 @@ def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFra
         wanted = reps.select("key", "doc_id", "mark").join(big.select("key").distinct(), "key")
         sets = materialize(_sets(docs, wanted, size, 1), "members")
         differ = materialize(_from_hub(big, sets), "differences")
-        placed = _nearest(materialize(_from_center(differ, percent), "centered"))
+        placed = materialize(_nearest(materialize(_from_center(differ, percent), "centered")), "placed")
         # Members so near to the center are linked, whatever they have in common otherwise.
-        star = placed.where((F.col("far") + F.col("least") <= F.col("slack")) & (F.col("key") != F.col("hub")))
+        star = placed.where((F.col("far") + F.col("hub_far") <= F.col("slack")) & (F.col("root") != F.col("hub_root")))
         out.append(star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")))
-        groups = _smaller_groups(placed, percent)
+        pairs, groups = _by_difference(placed, percent)
+        out.extend(pairs)
+        if groups.isEmpty():
+            break
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.unionByName(more)
