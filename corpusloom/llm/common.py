@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables materialized inside are deleted at the end, but for those put into the list it gives."""
+    _scratch.append([])
+    keep: list[DataFrame] = []
+    try:
+        yield keep
+    finally:
+        for df in _scratch.pop():
+            if df not in keep:
+                discard(df)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -43,6 +60,8 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, pieces
+from corpusloom.llm.common import materialize, pieces, scratch
 
 ORDER = 4
 #: Trusted ids (8 bytes each) up to so many are sent to the tasks.
@@ -120,7 +120,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         part = TaskContext.get().partitionId()
         for b in pieces(batches, "text", 1 << 20):
             out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as stream:
                 stream.write_batch(b)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["part", "rows"])
 
@@ -151,9 +151,10 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                 known = np.union1d(known, new)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(new.size, p, np.int32)), pa.array(new)], ["part", "key"])
 
-    wanted = materialize(blocks.mapInArrow(asked, "part int, key long").distinct(), "asked")
-    logp = materialize(probabilities(wanted.select("key").distinct(), model), "logp")
-    answers = wanted.join(logp, "key").select("part", "key", "logp")
+    with scratch() as keep:
+        wanted = materialize(blocks.mapInArrow(asked, "part int, key long").distinct(), "asked")
+        logp = materialize(probabilities(wanted.select("key").distinct(), model), "logp")
+        keep.append(answers := materialize(wanted.join(logp, "key").select("part", "key", "logp"), "answers"))
     both = answers.unionByName(blocks, allowMissingColumns=True)
     dealt = both.repartition("part").sortWithinPartitions("part", F.col("logp").isNull())
 
@@ -196,10 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: flo
     train nothing; without trusted text there are no limits.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    trusted = materialize(_with_trust(rows, labels).where("_trusted"), "trusted")
+    trusted = _with_trust(rows, labels).where("_trusted")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
     model = train(trusted.where(~held))
-    scored = materialize(_scored(trusted.where(held).select("text", "lang"), model).select("lang", F.col("nll_").alias("nll"), F.col("n_").alias("n")), "held")
+    with scratch() as keep:
+        scored = _scored(trusted.where(held).select("text", "lang"), model).select("lang", F.col("nll_").alias("nll"), F.col("n_").alias("n"))
+        keep.append(scored := materialize(scored, "held"))
     mean = (F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("mean")
     overall = scored.agg(mean).first()["mean"] or 0.0
     over = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR) - F.col("mean")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import buffers, discard, materialize, pieces
+from corpusloom.llm.common import buffers, materialize, pieces, scratch
 from corpusloom.llm.components import components
 from corpusloom.llm.hashing import mix, shingles
 
@@ -363,6 +363,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     their texts; a row with a null doc_id gets the component of its text, and is kept only where no row of it has an
     id. An empty table gives no rows.
     """
+    with scratch() as keep:
+        keep.append(out := materialize(_classes(docs, size, percent), "components"))
+    return out
+
+
+def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sketched = materialize(sketch(docs, size), "sketches")
     groups = sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     groups = materialize(groups, "classes")
@@ -378,7 +384,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     famed = shared.join(fame, "key")
     hubs = famed.groupBy("bucket").agg(F.max(F.struct("fame", "key"))["key"].alias("hub"))
     members = materialize(shared.join(hubs, "bucket").select("hub", "key").distinct(), "members")
-    discard(shared)
     star = members.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     regs = reps.select("key", "n_shingles", "regs")
     left = regs.select(F.col("key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"))

@@ -98,15 +98,14 @@ def refine(raw: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
         return place[~alone]
 
     active = np.flatnonzero(left >= reach)
-    active = active[np.argsort(code[active], kind="stable")]
+    active = active[np.argsort(code[active])]
     new = np.ones(active.size, bool)
     new[1:] = code[active[1:]] != code[active[:-1]]
     active = assign(active, new, np.arange(active.size))
     while reach < length:
         step = min(reach, length - reach)
         active = active[left[active] >= reach + step]  # shorter ones stay as they are: no later pass reads them
-        order = np.lexsort((pointer[active + step], pointer[active]))
-        active = active[order]
+        active = active[np.argsort(pointer[active] << 32 | pointer[active + step])]  # a batch has under 2**31 suffixes
         own, later = pointer[active], pointer[active + step]
         bucket, new = np.ones(active.size, bool), np.ones(active.size, bool)
         bucket[1:] = own[1:] != own[:-1]
