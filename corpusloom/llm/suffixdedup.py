@@ -417,7 +417,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     return whole.unionByName(single).groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """docs without the bytes that repeat a smaller document: doc_id, n_bytes, n_removed, n_spans, kept (binary) and the carried columns.
 
     Null texts count as empty; texts shorter than ``length`` stay. Rows with a null id neither lose bytes nor make
@@ -438,6 +438,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
             lo, hi = (np.minimum(spans.field(k).to_numpy() + offs[row], offs[row + 1]) for k in ("lo", "hi"))
             edge = np.bincount(lo, minlength=raw.size + 1)[: raw.size + 1] - np.bincount(hi, minlength=raw.size + 1)[: raw.size + 1]
             gone = np.cumsum(edge[:-1]) > 0
+            if characters:  # bytes of a character share its first byte's number
+                number = np.cumsum((raw & 0xC0) != 0x80)
+                gone = np.bincount(number, gone, minlength=number.size + 1)[number] > 0
             removed = np.concatenate([[0], np.cumsum(gone)])
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]

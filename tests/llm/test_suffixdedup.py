@@ -93,3 +93,13 @@ def test_a_very_long_text_of_one_character(spark):
     long = spark.range(1).select((F.col("id") + 3).alias("doc_id"), F.expr(f"repeat('x', {n})").alias("text"))
     got = {r.doc_id: r for r in suffixdedup.remove_repeats(docs.union(long), 50).drop("kept").collect()}
     assert (got[3].n_removed, got[3].n_spans, got[1].n_removed, got[2].n_removed) == (n, 1, 0, 0)
+
+
+def test_whole_characters_are_kept(spark):
+    shared = "é" + "z" * 60
+    rows = [(1, shared[0] + shared[1:]), (2, "own \ufffd sign è" + "z" * 60 + "漢字 end"), (3, "ê" + "z" * 59 + "\ufffd")]
+    got = {r.doc_id: bytes(r.kept).decode() for r in suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50, (), True).collect()}
+    assert got[1] == rows[0][1] and got[2] == "own \ufffd sign è漢字 end" and got[3] == "ê\ufffd"
+    cut = [(1, ("é" * 40)[0:40]), (2, "x" + "é" * 30 + "y")]  # the repeat starts inside no character, but ends where it may
+    kept = {r.doc_id: bytes(r.kept).decode() for r in suffixdedup.remove_repeats(spark.createDataFrame(cut, "doc_id long, text string"), 51, (), True).collect()}
+    assert kept[2] in ("xy", "x" + "é" + "y", "x" + "é" * 2 + "y")
