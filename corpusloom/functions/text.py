@@ -14,8 +14,9 @@ BINARY_SUFFIXES = [
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of A-Z, a-z, 0-9 and _; empty for null."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"([A-Za-z0-9_]+)"), F.lit(1)), F.array().cast("array<string>"))
+    """Runs of A-Z, a-z, 0-9 and _ of the text as it is, then lower-cased; empty for null."""
+    found = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))
+    return F.coalesce(F.transform(found, F.lower), F.array().cast("array<string>"))
 
 
 def words(text: Column) -> Column:

@@ -1,92 +1,107 @@
-"""Text chunking as table functions: one row in, its chunks out. Chunks of a text follow each other without gaps."""
+"""Text chunking as table functions: one row in, its chunks out, by offsets in the batch's buffers.
+
+A chunking is a set of places where a text may be cut and a longest stretch; ``hops`` takes the furthest place in reach,
+by binary search. Chunks of a text follow each other without gaps.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 CHUNK_SCHEMA = "doc_id long, chunk_index long, total_chunks long, byte_start long, byte_end long, line_start long, line_end long, chunk string"
+#: White space of ASCII; a line of nothing else is blank.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+def hops(start: int, end: int, places: np.ndarray, most: int, otherwise: np.ndarray) -> list[int]:
+    """Cuts from start to end: each the furthest of the sorted places within ``most``, else of ``otherwise``, else at ``most``."""
+    out = [start]
+    while end - out[-1] > most:
+        for stops in (places, otherwise):
+            at = int(stops[np.searchsorted(stops, out[-1] + most, "right") - 1]) if stops.size and stops[0] <= out[-1] + most else 0
+            if at > out[-1]:
+                break
+        else:
+            at = out[-1] + most
+        out.append(at)
+    if end > out[-1]:
+        out.append(end)
+    return out
 
 
-def _cut(raw: bytes, start: int, end: int, most: int) -> Iterator[tuple[int, int]]:
-    """Pieces of at most ``most`` bytes: behind the last line end that fits, else at the limit, but not within a character."""
-    while end - start > most:
-        at = raw.rfind(b"\n", start, start + most) + 1
-        if at <= start:
-            at = start + most
-            while at > start and raw[at] & 0xC0 == 0x80:
-                at -= 1
-            at = at if at > start else start + most
-        yield start, at
-        start = at
-    if end > start:
-        yield start, end
-
-
-def paragraph_spans(raw: bytes, most: int) -> list[tuple[int, int]]:
-    """Blocks that end behind blank lines, cut where too long, then joined while neighbours fit together."""
-    blocks, begin, at = [], 0, 0
-    for line in raw.splitlines(keepends=True) if b"\r" not in raw else [x + b"\n" for x in raw.split(b"\n")]:
-        at = min(at + len(line), len(raw))
-        if not line.decode("utf-8", "replace").strip() and at > begin:
-            blocks.append((begin, at))
-            begin = at
-    if begin < len(raw):
-        blocks.append((begin, len(raw)))
-    out: list[tuple[int, int]] = []
-    for block in blocks:
-        for lo, hi in _cut(raw, *block, most):
-            if out and hi - out[-1][0] <= most:
-                out[-1] = (out[-1][0], hi)
-            else:
-                out.append((lo, hi))
-    return out
+def paragraph_cuts(raw: np.ndarray, most: int) -> np.ndarray:
+    """Cuts of a text into chunks of at most ``most`` bytes: behind blank lines where such are in reach.
+
+    A paragraph that is too long is cut on its own, behind the last line that fits or else before a character; its
+    parts then count as places to cut, as the ends of paragraphs do.
+    """
+    lines = np.append(np.flatnonzero(raw == 10) + 1, raw.size)
+    lines = np.unique(lines)
+    filled = np.concatenate([[0], np.cumsum(~_BLANK[raw])])
+    empty = np.diff(filled[np.append(0, lines)]) == 0
+    ends = np.unique(np.append(lines[empty], raw.size))
+    characters = np.flatnonzero((raw & 0xC0) != 0x80)
+    places, begin = [ends], 0
+    for e in ends[np.diff(np.append(0, ends)) > most]:
+        begin = int(ends[np.searchsorted(ends, e) - 1]) if e > ends[0] else 0
+        places.append(np.array(hops(begin, int(e), lines, most, characters)))
+    return np.array(hops(0, raw.size, np.unique(np.concatenate(places)), most, characters))
 
 
 def chunk_text(docs: DataFrame, most: int = 1024) -> DataFrame:
     """Chunks of at most ``most`` UTF-8 bytes for every text of docs (doc_id, text); null and empty texts have none."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
-                raw = (text or "").encode()
-                spans = paragraph_spans(raw, most)
-                for i, (lo, hi) in enumerate(spans):
-                    first = raw.count(b"\n", 0, lo) + 1
-                    rows.append((doc_id, i, len(spans), lo, hi, first, first + raw.count(b"\n", lo, max(lo, hi - 1)), raw[lo:hi].decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
-
-    return docs.select("doc_id", "text").mapInPandas(run, CHUNK_SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text")
+            for i in range(b.num_rows):
+                data = (texts[i].as_py() or "").encode()
+                if not data:
+                    continue
+                raw = np.frombuffer(data, np.uint8)
+                cuts = paragraph_cuts(raw, most)
+                lo, hi, n = cuts[:-1], cuts[1:], cuts.size - 1
+                breaks = np.flatnonzero(raw == 10)
+                first, last = np.searchsorted(breaks, lo) + 1, np.searchsorted(breaks, hi - 1) + 1
+                chunks = pa.StringArray.from_buffers(n, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
+                cols = [np.full(n, b.column("doc_id")[i].as_py()), np.arange(n), np.full(n, n), lo, hi, first, last]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), chunks], [c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, CHUNK_SCHEMA)
+
+
+def window_lines(sizes: np.ndarray, target: int, overlap: float) -> list[tuple[int, int]]:
+    """Line ranges (first, behind the last): as many lines as ``target`` holds, one at least.
+
+    The next range begins so that at least ``overlap`` of the last one is repeated, but behind its first line.
+    """
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    out, lo = [], 0
+    while not out or out[-1][1] < sizes.size:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + target, "right")) - 1)
+        out.append((lo, hi))
+        again = max(round(float(upto[hi] - upto[lo]) * overlap), 1)
+        lo = max(lo + 1, int(np.searchsorted(upto, upto[hi] - again, "right")) - 1)
+    return out
 
 
 def line_windows(docs: DataFrame, target: int = 4000, overlap: float = 0.2) -> DataFrame:
-    """Windows of whole lines of at most ``target`` characters (one line at least): doc_id, chunk_index, start_line, end_line, chunk.
-
-    The next window steps back over whole lines until at least ``overlap`` of the last one is repeated, but always on.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
-                lines = (text or "").splitlines(keepends=True) or [text or ""]
-                lo = n = 0
-                while True:
-                    hi, size = lo + 1, len(lines[lo])
-                    while hi < len(lines) and size + len(lines[hi]) <= target:
-                        size += len(lines[hi])
-                        hi += 1
-                    rows.append((doc_id, n, lo + 1, hi, "".join(lines[lo:hi])))
-                    if hi >= len(lines):
-                        break
-                    again, back = 0, hi
-                    while back > lo + 1 and again < max(round(size * overlap), 1):
-                        back -= 1
-                        again += len(lines[back])
-                    lo, n = back, n + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start_line", "end_line", "chunk"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index long, start_line long, end_line long, chunk string")
+    """Windows of whole lines of at most ``target`` characters (see window_lines): doc_id, chunk_index, start_line, end_line, chunk."""
+    names = ["doc_id", "chunk_index", "start_line", "end_line", "chunk"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                lines = (text or "").splitlines(keepends=True) or [""]
+                ranges = window_lines(np.fromiter(map(len, lines), np.int64), target, overlap)
+                lo, hi = (np.array(x) for x in zip(*ranges, strict=True))
+                chunks = pa.array(["".join(lines[x:y]) for x, y in ranges], pa.string())
+                cols = [pa.array([doc_id] * lo.size, pa.int64()), pa.array(np.arange(lo.size)), pa.array(lo + 1), pa.array(hi), chunks]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index long, start_line long, end_line long, chunk string")

@@ -44,16 +44,20 @@ def reciprocal_ranks(ranked: DataFrame, hit: Column) -> DataFrame:
     )
 
 
-def balanced_sample(rows: DataFrame, group: str, key: str, count: int, groups: int, seed: str) -> DataFrame:
-    """count rows spread evenly over the groups, chosen and ordered by sha256 of seed and key, dealt round-robin.
+def balanced_sample(rows: DataFrame, group: str, key: str, count: int, seed: str) -> DataFrame:
+    """count rows spread evenly over all groups there are, chosen and ordered by sha256 of seed and key, dealt round-robin.
 
-    The first count % groups groups in the order of their seeded hash get one more.
+    The first count % groups groups in the order of their seeded hash get one more. Of each group only as many rows as
+    any may give are ranked.
     """
     h = lambda c: F.sha2(F.concat_ws("|", F.lit(seed), c.cast("string")), 256)
     order = rows.select(group).distinct().withColumn("g", F.row_number().over(Window.orderBy(h(F.col(group)), group)))  # one row a group
-    quota = order.withColumn("quota", F.lit(count // groups) + F.when(F.col("g") <= count % groups, 1).otherwise(0))
+    groups = order.count()
+    quota = order.withColumn("quota", F.lit(count // max(groups, 1)) + F.when(F.col("g") <= count % max(groups, 1), 1).otherwise(0))
     w = Window.partitionBy(group).orderBy(h(F.col(key)), key)
-    taken = rows.withColumn("n", F.row_number().over(w).cast("long")).join(quota, group).where("n <= quota")
+    most = -(-count // max(groups, 1))
+    first = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)  # literal bound: rows beyond go before the sort
+    taken = first.withColumn("n", F.col("n").cast("long")).join(F.broadcast(quota), group).where("n <= quota")
     return taken.withColumn("position", F.row_number().over(Window.orderBy("n", "g")).cast("long")).drop("quota", "g")
 
 

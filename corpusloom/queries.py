@@ -60,8 +60,8 @@ def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     asked = read(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select("item_id", F.col("embedding").alias("qvec"))
-    hits = Q.dense(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), asked)
-    return Q.rank_channel(hits, _quality(spark, sf_dir), 32)
+    vectors = Q.with_quality(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), _quality(spark, sf_dir))
+    return Q.rank_channel(Q.dense_top(vectors, asked, 32), None, 32)
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +73,13 @@ def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BM25_CTE = """
-tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9_]+') AS t, regexp_extract_all(lower(concat_ws(' ', source, lang)), '[A-Za-z0-9_]+') AS m FROM documents),
+tok AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t, list_transform(regexp_extract_all(concat_ws(' ', source, lang), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS m FROM documents),
 lens AS (SELECT doc_id, len(t) + 2.0 * len(m) AS dl FROM tok),
 stats AS (SELECT count(*) AS n, avg(dl) AS al FROM lens),
 bag AS (SELECT doc_id, unnest(t) AS term, 1.0 AS w FROM tok UNION ALL SELECT doc_id, unnest(m), 2.0 FROM tok),
 tf AS (SELECT doc_id, term, sum(w)::DOUBLE AS tf FROM bag GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS term FROM benchmark) GROUP BY ALL),
+asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS term FROM benchmark) GROUP BY ALL),
 kw AS (SELECT item_id, doc_id, round(sum(q * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(al, 1.0)))), 6) AS score
   FROM asked JOIN tf USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id), stats GROUP BY ALL HAVING score > 0),
 qual AS (SELECT doc_id, quality::BIGINT AS quality FROM labels),
@@ -362,7 +362,7 @@ def a09_reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT doc_id, d.lang, g, row_number() OVER (PARTITION BY d.lang ORDER BY sha256('42|' || doc_id), doc_id) AS n FROM documents d JOIN o USING (lang))
 SELECT doc_id, lang, n, row_number() OVER (ORDER BY n, g) AS position FROM r WHERE n <= 30 // 4 + CASE WHEN g <= 30 % 4 THEN 1 ELSE 0 END""")
 def m02_balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.balanced_sample(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 30, 4, "42")
+    return E.balanced_sample(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 30, "42")
 
 
 @query("""WITH b AS (SELECT doc_id, (n_chars % 40)::BIGINT AS lo, (n_chars % 40 + 20)::BIGINT AS hi, text FROM documents)

@@ -1,4 +1,8 @@
-"""Source snapshots: tar archives to file tables, manifests to entries, and their comparison."""
+"""Source snapshots: tar archives to file tables, manifests to entries, and their comparison.
+
+A task only lists an archive's members; which of them are files of the snapshot, and whether the archive is sound, are
+column expressions and aggregates over the member rows.
+"""
 
 from __future__ import annotations
 
@@ -7,50 +11,78 @@ import io
 import tarfile
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRY_SCHEMA = "archive string, path string, size long, sha256 string, content binary"
-
-
-def _entries(raw: bytes, most_files: int, most_bytes: int) -> list[tuple[str, int, str, bytes]]:
-    out, seen, total, root = [], set(), 0, None
-    with tarfile.open(fileobj=io.BytesIO(raw), mode="r:*") as tar:
-        for m in tar:
-            name = m.name
-            parts = name.rstrip("/").split("/")
-            if name.startswith("/") or "\\" in name or ".." in parts or "" in parts:
-                raise ValueError(f"unsafe path: {name}")
-            root = root or parts[0]
-            if parts[0] != root:
-                raise ValueError("more than one root")
-            if m.isdir() or m.issym() or m.islnk():
-                continue
-            if not m.isfile() or len(parts) < 2:
-                raise ValueError(f"unsupported entry: {name}")
-            path = "/".join(parts[1:])
-            total += m.size
-            if path in seen or len(seen) >= most_files or total > most_bytes:
-                raise ValueError(f"duplicate or too many entries: {name}")
-            seen.add(path)
-            content = tar.extractfile(m).read()
-            out.append((path, len(content), hashlib.sha256(content).hexdigest(), content))
-    if not out:
-        raise ValueError("empty archive")
-    return out
+_MEMBERS = "archive string, name string, kind string, size long, sha256 string, content binary"
 
 
-def read_archives(spark: SparkSession, path: str, most_files: int = 100_000, most_bytes: int = 1 << 30) -> DataFrame:
-    """Files of all tar archives (any compression) under path: archive, path, size, sha256, content. Links are skipped, unsafe or doubled names are errors."""
+def unsafe_path(path: Column) -> Column:
+    """Whether a path is empty or absolute, has a backslash, or goes up."""
+    return F.coalesce((path == "") | path.startswith("/") | path.contains("\\") | path.rlike(r"(^|/)\.\.(/|$)"), F.lit(True))
+
+
+def file_problem(path: Column, size: Column, content: Column, largest: int) -> Column:
+    """Why a file isn't taken, or null: its path, a size other than the manifest's, too many bytes, or no UTF-8."""
+    return (
+        F.when(unsafe_path(path), "unsafe_path")
+        .when(F.octet_length(content) != size, "manifest_size_mismatch")
+        .when(size > largest, "file_too_large_for_chunking")
+        .when(~F.is_valid_utf8(content.cast("string")), "invalid_utf8")
+    )
+
+
+def members(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each member of the tar archives (any compression) under path; kind is file, link, directory or other."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, raw in zip(frame.path, frame.content, strict=True):
-                rows = [(name, *e) for e in _entries(raw, most_files, most_bytes)]
-                yield pd.DataFrame(rows, columns=["archive", "path", "size", "sha256", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _MEMBERS.split(", ")]
+        for b in batches:
+            for archive, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(raw.as_buffer()), mode="r:*") as tar:
+                    for m in tar:
+                        kind = "link" if m.issym() or m.islnk() else "directory" if m.isdir() else "file" if m.isfile() else "other"
+                        content = tar.extractfile(m).read() if kind == "file" else None
+                        digest = hashlib.sha256(content).hexdigest() if kind == "file" else None
+                        row = (archive, m.name.removeprefix("./"), kind, m.size, digest, content)
+                        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ENTRY_SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _MEMBERS)
+
+
+def files(rows: DataFrame, most_files: int = 100_000, most_bytes: int = 1 << 30, largest: int = 20 << 20) -> DataFrame:
+    """archive, path, size, sha256, content of the members (see members) that are files, without the root folder.
+
+    Directories, links and files outside a root are left out. Unsafe names, other kinds, more than one root, a path
+    that stands twice, a file over ``largest``, and too many files or bytes are errors of the whole archive.
+    """
+    path = F.regexp_replace("name", "^[^/]+/", "")
+    inside = rows.withColumn("root", F.when(F.col("name").contains("/"), F.substring_index("name", "/", 1)))
+    taken = (F.col("kind") == "file") & F.col("name").contains("/")
+    each = inside.groupBy("archive", path.alias("path")).agg(
+        F.max(F.when(unsafe_path(F.col("name")), F.concat(F.lit("unsafe path: "), "name"))).alias("unsafe"),
+        F.max(F.when(F.col("kind") == "other", F.concat(F.lit("unsupported entry: "), "name"))).alias("other"),
+        F.max(F.when(taken & (F.col("size") > largest), F.concat(F.lit("file too large: "), "name"))).alias("large"),
+        F.count_if(taken).alias("n"), F.sum(F.when(taken, F.col("size")).otherwise(0)).alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+    )
+    whole = each.groupBy("archive").agg(
+        F.coalesce(
+            F.max("unsafe"), F.max("other"), F.max("large"), F.max(F.when(F.col("n") > 1, F.concat(F.lit("duplicate entry: "), "path"))),
+            F.when(F.min("lo") != F.max("hi"), "more than one root"), F.when(F.sum("n") > most_files, "too many files"),
+            F.when(F.sum("bytes") > most_bytes, "too many bytes"), F.when(F.sum("n") == 0, "no files"),
+        ).alias("problem")
+    )
+    # From the archives' side, so that one without files is judged too.
+    both = whole.join(rows.where(taken).select("archive", path.alias("_path"), "size", "sha256", "content"), "archive", "left")
+    checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("string")).otherwise(F.col("_path"))
+    return both.select("archive", checked.alias("path"), "size", "sha256", "content").where("path is not null")
+
+
+def read_archives(spark: SparkSession, path: str, most_files: int = 100_000, most_bytes: int = 1 << 30) -> DataFrame:
+    """Files of all tar archives under path (see files)."""
+    return files(members(spark, path), most_files, most_bytes)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
