@@ -35,8 +35,8 @@ SLACK = 0.22
 DIRECT = 3
 #: Differences that up to so many members have lead to all pairs of these; members with more common ones make a group dense.
 RARE, DENSE = 16, 14
-#: Members of a group that one task compares with its center, and groups whose nearest members are sent to all tasks.
-PER_TASK, BROADCAST_GROUPS = 512, 100_000
+#: Members of a group that one task compares with its hub.
+PER_TASK = 512
 
 _LANES = np.random.default_rng(7).integers(0, 1 << 64, (2, REGISTERS), dtype=np.uint64)
 _LANES[0] |= np.uint64(1)
@@ -234,7 +234,7 @@ def _nearest(differ: DataFrame) -> DataFrame:
     """
     near = differ.groupBy("gid").agg(F.min(F.struct("far", "key", "root")).alias("near"))
     near = near.select("gid", F.col("near.far").alias("hub_far"), F.col("near.key").alias("hub"), F.col("near.root").alias("hub_root"))
-    placed = differ.join(F.broadcast(near) if near.count() <= BROADCAST_GROUPS else near, "gid")
+    placed = differ.join(near, "gid")
     others = placed.where("root <> hub_root").groupBy("gid").agg(F.min("far").alias("other_far"))
     placed = placed.join(others, "gid")
     return placed.withColumn("least", F.when(F.col("root") == F.col("hub_root"), F.col("other_far")).otherwise(F.col("hub_far")))
@@ -246,7 +246,8 @@ def _once(rows: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
         F.min("root").alias("lo"), F.max("root").alias("hi"),
     ).where("c > 1 and lo <> hi")
-    one = same.groupBy("gid", "c", "x", "y").agg(F.min(F.struct(*by)).alias("one")).select("gid", "one.*", "c")
+    way = [c for c in by if c == "way"]
+    one = same.groupBy("gid", *way, "c", "x", "y").agg(F.min(F.struct(*by)).alias("one")).select("gid", "one.*")
     return rows.join(one, ["gid", *by])
 
 
@@ -259,8 +260,8 @@ def _meet(rows: DataFrame, by: list[str], such: Column) -> DataFrame:
     return x.join(y, here).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
-def _by_difference(placed: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
-    """Pairs a, b that have enough differences in common, and groups (gid, key) that are too dense for that, split by one difference.
+def _by_difference(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs a, b that have enough differences in common, and groups (gid, key) too dense for that, if any, split by one difference.
 
     All members that can be linked without a common difference are linked to the nearest one. Any other link needs as
     many common differences as far and slack tell, or as many common own shingles as a member's size tells; so it is
@@ -285,36 +286,32 @@ def _by_difference(placed: DataFrame, percent: int) -> tuple[list[DataFrame], Da
     own = each.select(*names, F.lit(0).alias("kind"), F.explode("own").alias("s"))
     lacks = each.where(F.col("shown2") > F.size("own")).select(*names, F.lit(1).alias("kind"), F.explode("lacks").alias("s"))
     each = materialize(own.unionByName(lacks), "each")
-    often = each.groupBy("gid", "s").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    met = each.join(often, ["gid", "s"]).withColumn("rare", F.col("often") <= RARE)
-    # Rare ones by how often they are; others in no order, so that shingles of one place don't follow each other.
+    often = F.count(F.lit(1)).over(Window.partitionBy("gid", "s"))  # as many rows as the group has members, at most
+    met = each.withColumn("often", often).withColumn("rare", F.col("often") <= RARE)
+    # Rare ones by how often they are; others in no order, so that shingles of one place don't follow each other. What
+    # a member alone has leads nowhere, but takes its place before the others of its kind.
     order = Window.partitionBy("gid", "key").orderBy("kind", F.when(F.col("rare"), F.col("often")).otherwise(RARE + 1), F.xxhash64("s"), "s")
-    # What a member alone has leads nowhere, but takes its place before the others of its kind.
-    alone = each.groupBy("gid", "key", "kind").agg(F.count(F.lit(1)).alias("all"))
-    alone = alone.join(met.groupBy("gid", "key", "kind").agg(F.count(F.lit(1)).alias("several")), ["gid", "key", "kind"], "left")
-    alone = alone.select("gid", "key", "kind", (F.col("all") - F.coalesce("several", F.lit(0))).alias("alone"))
-    alone = alone.groupBy("gid", "key").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("alone")).otherwise(0)).alias("alone_0"), F.sum("alone").alias("alone_1")
-    )
-    before = F.when(F.col("kind") == 0, F.col("alone_0")).otherwise(F.col("alone_1"))
-    met = met.join(alone, ["gid", "key"]).withColumn("place", F.row_number().over(order) + before).where("place <= shown2")
+    met = met.withColumn("place", F.row_number().over(order)).where("often > 1 and place <= shown2")
     met = materialize(met.select("gid", "s", "key", "root", "far", "slack", "least", *cols, "rare", "place"), "shown")
     by_one = met.where("place <= shown").withColumn("first", F.col("place") <= F.col("first"))
-    rare = _meet(_once(by_one.where("rare"), ["s"]), ["s"], F.lit(True))
     one_left = F.col("far") + F.col("least") <= F.col("slack") + 100 + percent
-    enough = F.col("x.far") + F.col("y.far") <= F.col("x.slack") + 100 + percent
-    single = _meet(by_one.where(~F.col("rare") & one_left), ["s"], enough)
+    single = by_one.where(F.col("rare") | one_left).withColumn("z", F.lit(0).cast("long"))
     common = met.where("not rare")
     dense = common.groupBy("gid", "key").agg(F.count(F.lit(1)).alias("f")).groupBy("gid").agg((F.max("f") > DENSE).alias("dense"))
     common = materialize(common.join(dense, "gid"), "common")
     # At most DENSE * (DENSE - 1) / 2 rows a member.
-    held = common.where("not dense").groupBy("gid", "key", "root", "far", "first2").agg(F.array_sort(F.collect_list(F.struct("place", "s"))).alias("t"))
+    held = common.where("not dense").groupBy("gid", "key", "root", "far", "slack", "first2").agg(F.array_sort(F.collect_list(F.struct("place", "s"))).alias("t"))
     two = held.select("*", F.posexplode("t").alias("i", "one")).select("*", F.explode(F.slice("t", F.col("i") + 2, DENSE)).alias("two"))
-    two = two.select("gid", "key", "root", "far", F.col("one.s").alias("s"), F.col("two.s").alias("z"), (F.col("two.place") <= F.col("first2")).alias("first"))
-    double = _meet(_once(two, ["s", "z"]), ["s", "z"], F.lit(True))
-    name = F.unhex(F.md5(F.concat("gid", F.col("s").cast("string").cast("binary"))))
-    groups = _once(common.where("dense and place <= shown"), ["s"]).select(name.alias("gid"), "key")
-    return [rare, single, double], materialize(groups, "groups")
+    two = two.select("*", F.col("one.s").alias("s"), F.col("two.s").alias("z"), (F.col("two.place") <= F.col("first2")).alias("first"))
+    names = ["gid", "s", "z", "way", "key", "root", "far", "slack", "first"]
+    rows = single.withColumn("way", F.when(F.col("rare"), 0).otherwise(1)).select(*names).unionByName(two.withColumn("way", F.lit(2)).select(*names))
+    enough = (F.col("x.way") != 1) | (F.col("x.far") + F.col("y.far") <= F.col("x.slack") + 100 + percent)
+    pairs = _meet(_once(rows, ["way", "s", "z"]), ["way", "s", "z"], enough)
+    if not common.where("dense").isEmpty():
+        name = F.unhex(F.md5(F.concat("gid", F.col("s").cast("string").cast("binary"))))
+        groups = _once(common.where("dense and place <= shown"), ["s"]).select(name.alias("gid"), "key")
+        return pairs, materialize(groups, "groups")
+    return pairs, None
 
 
 def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
@@ -345,8 +342,8 @@ def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFra
         star = placed.where((F.col("far") + F.col("hub_far") <= F.col("slack")) & (F.col("root") != F.col("hub_root")))
         out.append(star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")))
         pairs, groups = _by_difference(placed, percent)
-        out.extend(pairs)
-        if groups.isEmpty():
+        out.append(pairs)
+        if groups is None:
             break
     pairs = out[0]
     for more in out[1:]:

@@ -1,10 +1,12 @@
-"""Sharding by balanced label propagation over groups of linked documents.
+"""Sharding by balanced label propagation over linked documents.
 
-Documents that share a group are neighbours (a star around the group, so no pair is emitted). A round tallies each
-group's members per shard, lets the group's members in other shards ask for the neighbours' shard, weighs the wish by
-the room left there, and admits moves up to the shard's quota, the largest gain first. Unlinked documents fill what is
-left. Rounds work on (group, shard) counts, not on documents. At last documents are ordered by shard, group and id and
-cut into shards of equal row counts, so at most one group is split at each border.
+Documents are linked by the groups they share (equal texts, or groups that the caller names), so a group's members are
+neighbours and no pair is ever made. Every linked document starts with a label, dealt evenly. In a round the labels of
+each group are tallied, each member scores the labels its groups hold, weighs them by the room left in that shard, and
+asks to move where the score is higher than at home. Requests are met that cancel out between shards, and more as far
+as the quota leaves room; the largest gains go first.
+The labels so reached are the shards: unlinked documents, which are no one's neighbours, fill what is left of each
+quota, so row counts differ by one at most and no linked document is moved against its label.
 """
 
 from __future__ import annotations
@@ -12,87 +14,155 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import global_rank, materialize
+from corpusloom.llm.common import global_rank, materialize, scratch
 
-#: Moves are admitted by buckets: of gain, then of the group's hash.
-GAIN_BUCKETS, HASH_BUCKETS = 48, 512
+#: Members of a group that one task joins with its tally.
+PER_TASK = 100_000
 
 
-def propagate(counts: DataFrame, shards: int, quota: float, rounds: int = 4) -> DataFrame:
-    """counts: group, shard, n for groups of two or more. Returns the same columns after some rounds of moves.
+def cut_links(members: DataFrame) -> int:
+    """Links between different shards: pairs of a group's members, counted from the group's tallies. members: v, group, shard."""
+    tally = members.groupBy("group", "shard").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+    pairs = tally.groupBy("group").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cut"))
+    return int(pairs.agg(F.sum("cut")).first()[0] or 0)
 
-    Every shard's sum of n stays at or under the quota where it was so before; a group larger than the quota spreads.
-    Ties go to the shard with the smaller hash of group and shard.
+
+def _wishes(members: DataFrame, room: DataFrame, quota: int, r: int) -> DataFrame:
+    """v, shard, to, gain of the documents that would rather be in another shard.
+
+    A label's score is the sum over the document's groups of the share of the group's other members that have it; ties
+    go by a hash of group, label and round, so that a group's members agree. Half of the documents ask in a round, so
+    that neighbours don't only change places.
+    """
+    tally = members.groupBy("group", "c", "shard").agg(F.count(F.lit(1)).alias("n"))
+    luck = F.pmod(F.xxhash64("group", "to", F.lit(r)), F.lit(1 << 20)) / F.lit(4.0 * (1 << 20)) / F.col("c")
+    tally = tally.withColumnRenamed("shard", "to").join(F.broadcast(room.withColumnRenamed("shard", "to")), "to")  # one row a shard
+    value = F.col("n") / (F.col("c") - 1) * (1 + F.col("room") / (4.0 * max(quota, 1))) + luck
+    # At most ``shards`` labels a group; a group with very many members is joined in several tasks.
+    salts = F.ceil(F.col("c") / PER_TASK)
+    tally = tally.groupBy("group", "c").agg(F.collect_list(F.struct("to", value.alias("value"))).alias("values"))
+    tally = tally.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("c")
+    asking = members.where(F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2)) == 0).withColumn("salt", F.pmod(F.xxhash64("v"), salts))
+    asked = asking.join(tally, ["group", "salt"]).withColumn("self", 1 / (F.col("c") - 1))
+    one = asked.where("groups = 1").select("v", "shard", "values", "self")
+    several = asked.where("groups > 1")
+    labels = several.select("v", F.explode("values").alias("e")).groupBy("v", "e.to").agg(F.sum("e.value").alias("value"))
+    labels = labels.groupBy("v").agg(F.collect_list(F.struct("to", "value")).alias("values"))  # at most one a shard
+    several = several.groupBy("v", "shard").agg(F.sum("self").alias("self")).join(labels, "v").select("v", "shard", "values", "self")
+    scored = one.unionByName(several)
+    others = F.transform(F.filter("values", lambda e: e["to"] != F.col("shard")), lambda e: F.struct(e["value"].alias("value"), e["to"].alias("to")))
+    home = F.aggregate("values", F.lit(0.0), lambda s, e: s + F.when(e["to"] == F.col("shard"), e["value"]).otherwise(0.0)) - F.col("self")
+    wish = scored.select("v", "shard", F.array_max(others).alias("best"), home.alias("home")).where("best.value > home")
+    return wish.select("v", "shard", F.col("best.to").alias("to"), (F.col("best.value") - F.col("home")).alias("gain"))
+
+
+def _admitted(asked: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """How many of the requests between each two shards are met: those that cancel out in circles of two and three, then as room allows.
+
+    A move makes room where it comes from.
     """
+    rest, met = dict(asked), dict.fromkeys(asked, 0)
+    circles = [((s, t), (t, s)) for s, t in sorted(asked) if s < t]
+    circles += [((s, t), (t, u), (u, s)) for s, t in sorted(asked) for u in room if s < min(t, u) and t != u]
+    for circle in circles:
+        n = min(rest.get(e, 0) for e in circle)
+        for e in circle if n else ():
+            rest[e] -= n
+            met[e] += n
+    moved = True
+    while moved:
+        moved = False
+        for (s, t), n in sorted(rest.items()):
+            if more := min(n, room[t]):
+                rest[s, t] -= more
+                met[s, t] += more
+                room[t] -= more
+                room[s] += more
+                moved = True
+    return {e: n for e, n in met.items() if n}
+
+
+def propagate(members: DataFrame, shards: int, quota: int, rounds: int = 12, cuts: list[int] | None = None) -> DataFrame:
+    """members: v, group, c (the group's size), groups (how many v has), shard. Returns the same after some rounds of moves.
+
+    No shard gets over quota by moves. A list given as ``cuts`` gets the number of cut links before the first and after
+    each round. Rounds end early when no document moves.
+    """
+    if cuts is not None:
+        cuts.append(cut_links(members))
     for r in range(rounds):
-        load = counts.groupBy("shard").agg(F.sum("n").alias("load"))  # one row for each shard
-        w = Window.partitionBy("group")  # at most ``shards`` rows
-        all_shards = counts.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-        room = (
-            all_shards.join(load, "shard", "left")
-            .select("shard", F.greatest(F.lit(quota) - F.coalesce("load", F.lit(0)), F.lit(0.0)).alias("room"))
-        )
-        here = counts.join(F.broadcast(room), "shard")
-        # At most ``shards`` rows for each group: the shard with most members wins, full ones count less.
-        score = F.col("n") * (1 + F.col("room") / F.lit(float(max(quota, 1))))
-        best = here.withColumn(
-            "to", F.max(F.struct(score.alias("s"), (-F.xxhash64("group", "shard")).alias("h"), "shard")).over(w)["shard"]
-        ).withColumn("n_to", F.max(F.when(F.col("shard") == F.col("to"), F.col("n"))).over(w))
-        asks = best.where((F.col("shard") != F.col("to")) & (F.col("n_to") >= F.col("n")))
-        gain = F.least(F.lit(GAIN_BUCKETS - 1), F.floor(4 * F.log2(1 + F.col("n_to")))).cast("int")
-        asks = asks.select("group", "shard", "to", "n", gain.alias("g"), F.pmod(F.xxhash64("group"), F.lit(HASH_BUCKETS)).alias("b"))
-        histogram = asks.groupBy("to", "g", "b").agg(F.sum("n").alias("asked"))
-        upto = Window.partitionBy("to").orderBy(F.desc("g"), "b").rowsBetween(Window.unboundedPreceding, -1)
-        share = (
-            histogram.withColumn("before", F.coalesce(F.sum("asked").over(upto), F.lit(0)))
-            .join(F.broadcast(room.withColumnRenamed("shard", "to")), "to")
-            .select("to", "g", "b", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("room") - F.col("before")) / F.col("asked"))).alias("share"))
-        )
-        moves = (
-            asks.join(F.broadcast(share), ["to", "g", "b"])  # at most shards x GAIN_BUCKETS x HASH_BUCKETS rows
-            .select("group", "shard", "to", F.floor(F.col("n") * F.col("share")).cast("long").alias("m"))
-            .where("m > 0")
-        )
-        out = moves.select("group", "shard", (-F.col("m")).alias("n")).unionByName(
-            moves.select("group", F.col("to").alias("shard"), F.col("m").alias("n"))
-        )
-        counts = materialize(
-            counts.unionByName(out).groupBy("group", "shard").agg(F.sum("n").alias("n")).where("n > 0"), f"labels{r}"
-        )
-    return counts
-
-
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+        load = members.dropDuplicates(["v"]).groupBy("shard").agg(F.count(F.lit(1)).alias("load"))
+        every = members.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+        room = every.join(F.broadcast(load), "shard", "left").select("shard", F.greatest(F.lit(quota) - F.coalesce("load", F.lit(0)), F.lit(0)).alias("room"))
+        left = {x["shard"]: x["room"] for x in room.collect()}  # one row a shard
+        wishes = materialize(_wishes(members, room, quota, r), f"wishes{r}")
+        asked = {(x["shard"], x["to"]): x["n"] for x in wishes.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}  # one a pair of shards
+        admitted = [(s, t, n) for (s, t), n in _admitted(asked, left).items()]
+        if not admitted:
+            break
+        fits = members.sparkSession.createDataFrame(admitted, "shard int, to int, admitted long")
+        first = Window.partitionBy("shard", "to").orderBy(F.desc("gain"), F.xxhash64("v"), "v")
+        moves = wishes.withColumn("n", F.row_number().over(first)).join(F.broadcast(fits), ["shard", "to"]).where("n <= admitted").select("v", "to")
+        moved = members.join(moves, "v", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
+        members = materialize(moved, f"labels{r}")
+        if cuts is not None:
+            cuts.append(cut_links(members))
+    return members
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 12, links: DataFrame | None = None, cuts: list[int] | None = None) -> DataFrame:
     """Put every row of docs into a shard: doc_id, size, text_crc32, shard, slot (from 0 within the shard).
 
-    Documents with equal texts are linked. Row counts of shards differ by one at most. Null texts count as empty for
-    the crc and have size 1; null ids sort first; repeated rows are placed like others; an empty table gives no rows.
+    Documents with equal texts are linked, or with ``links`` (doc_id, group) those that share a group; a document may
+    be in several. Row counts of shards differ by one at most. Null texts count as empty for the crc and have size 1;
+    null ids have no links but equal texts; repeated rows are placed like others, each by itself; an empty table gives
+    no rows. A list given as ``cuts`` gets the number of cut links before the first and after each round.
     """
+    with scratch() as keep:
+        keep.append(out := materialize(_placed(docs, shards, rounds, links, cuts), "shards"))
+    return out
+
+
+def _placed(docs: DataFrame, shards: int, rounds: int, links: DataFrame | None, cuts: list[int] | None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # Two hashes, 128 bits, so that different texts don't meet.
+    same = F.concat(F.hex(F.xxhash64(text)), F.md5(text.cast("binary")).substr(1, 16))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("group"),
-        F.md5(text.cast("binary")).substr(1, 16).alias("group2"),
-    )
-    # Two hashes, 128 bits, so that different texts don't meet; one column for the work.
-    rows = rows.withColumn("group", F.concat(F.hex("group"), F.col("group2"))).drop("group2")
-    rows = materialize(rows, "rows")
-    first = F.pmod(F.xxhash64("doc_id", "group"), F.lit(shards)).cast("int")
-    n_rows = rows.count()
-    tally = rows.groupBy("group", first.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    linked = materialize(
-        tally.withColumn("all", F.sum("n").over(Window.partitionBy("group"))).where("all > 1").drop("all"), "linked"
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), same.alias("group")
     )
-    final = propagate(linked, shards, n_rows / shards, rounds)
-    home = final.groupBy("group").agg(F.max(F.struct("n", "shard"))["shard"].alias("home"))
-    placed = rows.join(home, "group", "left").withColumn("label", F.coalesce("home", first)).drop("home")
-    keys = [F.col("label"), F.col("group"), F.col("doc_id")]
-    ranked, total = global_rank(placed, keys, "order")
-    q, extra = divmod(total, shards)
-    big = extra * (q + 1)
-    r = F.col("rank")
-    shard = F.when(r < big, F.floor(r / (q + 1))).otherwise(F.lit(extra) + F.floor((r - big) / max(q, 1))).cast("int")
-    start = F.when(F.col("shard") < extra, F.col("shard").cast("long") * (q + 1)).otherwise(F.lit(big) + (F.col("shard") - extra).cast("long") * q)
-    return ranked.withColumn("shard", shard).select("doc_id", "size", "text_crc32", "shard", (r - start).cast("long").alias("slot"))
+    ranked, total = global_rank(rows, [F.col("group"), F.col("doc_id")], "ranked")
+    ranked = ranked.withColumnRenamed("rank", "v")
+    if links is None:
+        member = ranked.select("v", "group")
+    else:
+        named = links.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("group").cast("string").alias("group")).dropna().distinct()
+        member = ranked.select("v", "doc_id").join(named, "doc_id").select("v", "group")
+    sizes = member.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    member = materialize(member.join(sizes, "group"), "member")
+    # Labels are dealt in the order of v, so no shard has more than its part of the linked documents.
+    linked, n_linked = global_rank(member.groupBy("v").agg(F.count(F.lit(1)).alias("groups")), [F.col("v")], "linked")
+    first = linked.select("v", "groups", F.pmod("rank", F.lit(shards)).cast("int").alias("shard"))
+    member = materialize(member.join(first, "v"), "start")
+    low, extra = divmod(total, shards)
+    final = propagate(member, shards, low, rounds, cuts)
+    label = materialize(final.select("v", "shard").distinct(), "final")
+    load = {r["shard"]: r["n"] for r in label.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
+    # With next to no unlinked documents a shard may start one over the lower count: those get the larger ones.
+    by_load = sorted(range(shards), key=lambda k: (-load.get(k, 0), k))
+    target = {k: low + (i < extra) for i, k in enumerate(by_load)}
+    free, n_free = global_rank(ranked.join(label, "v", "left_anti").select("v"), [F.xxhash64("v"), F.col("v")], "free")
+    upto, at = [], 0
+    for k in range(shards):
+        at += target[k] - load.get(k, 0)
+        upto.append((k, at))
+    fill = None
+    for k, end in reversed(upto):
+        fill = F.lit(k) if fill is None else F.when(F.col("rank") < end, k).otherwise(fill)
+    label = label.unionByName(free.select("v", fill.cast("int").alias("shard")))
+    placed, _ = global_rank(ranked.join(label, "v").select("doc_id", "size", "text_crc32", "shard", "v"), [F.col("shard"), F.col("doc_id"), F.col("v")], "placed")
+    start, begins = 0, []
+    for k in range(shards):
+        begins.append((k, start))
+        start += target[k]
+    begin = F.element_at(F.array(*[F.lit(b).cast("long") for _, b in begins]), F.col("shard") + 1)
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - begin).alias("slot"))
