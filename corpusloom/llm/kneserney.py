@@ -25,6 +25,8 @@ ORDER = 4
 BROADCAST_IDS = 2_000_000
 #: Symbols of average text that a document's judged perplexity starts from, so that very short texts aren't judged by chance.
 PRIOR = 40
+#: Bytes of text of a part, and bytes of rows that a task packs together.
+PART_BYTES, HELD = 8 << 20, 32 << 20
 UNSEEN = 1e-4  # the share of probability for symbols that trusted text lacks
 
 
@@ -111,20 +113,39 @@ def probabilities(keys: DataFrame, model: Model) -> DataFrame:
     return out.select("key", F.log("p").alias("logp"))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """part, rows: the rows of docs in blocks of about 1 MB of text, as compressed Arrow streams; part is the reading task."""
+def _packed(docs: DataFrame, parts: int) -> DataFrame:
+    """part, rows: the rows of docs, dealt to parts by a hash of the text, in blocks as compressed Arrow streams.
+
+    A task holds at most HELD bytes of rows that aren't packed yet.
+    """
+    named = docs.withColumn("part_", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        held, size = {}, 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for part, some in sorted(held.items()):
+                whole = pa.Table.from_batches(some).combine_chunks().to_batches()
+                for b in whole:
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
+                        stream.write_batch(b)
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["part", "rows"])
 
-        part = TaskContext.get().partitionId()
         for b in pieces(batches, "text", 1 << 20):
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as stream:
-                stream.write_batch(b)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["part", "rows"])
+            own = b.column("part_").to_numpy()
+            rows = b.drop_columns(["part_"])
+            order = np.argsort(own, kind="stable")
+            edge = np.flatnonzero(np.append(True, np.diff(own[order]) != 0)) if own.size else []
+            for i, j in zip(edge, [*edge[1:], own.size], strict=True):
+                held.setdefault(int(own[order[i]]), []).append(rows.take(pa.array(order[i:j])))
+            size += rows.nbytes
+            if size >= HELD:
+                yield from blocks()
+                held, size = {}, 0
+        yield from blocks()
 
-    return materialize(docs.mapInArrow(run, "part int, rows binary"), "blocks", "none")
+    return named.mapInArrow(run, "part int, rows binary")
 
 
 def _opened(block: pa.Scalar) -> pa.RecordBatch:
@@ -134,25 +155,27 @@ def _opened(block: pa.Scalar) -> pa.RecordBatch:
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with nll_ (sum of negative log probabilities) and n_ (symbols) of the whole text.
 
-    Documents stay in the part they are read in, in packed blocks. The n-grams' probabilities of a part and its blocks
-    are dealt and sorted together, so a task holds one part's table and streams through its documents.
+    Documents are dealt to parts of about PART_BYTES, in packed blocks: once to list the n-grams of each part, and once
+    together with their probabilities. Those come first, so a task holds one part's table and streams through its
+    documents.
     """
     base = docs.withColumn("text", F.col("text").cast("string"))
-    blocks = _packed(base)
+    total = base.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    blocks = _packed(base, max(1, -(-total // PART_BYTES)))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, known = None, np.zeros(0, np.int64)
+        known = {}  # of the few parts that a task has
         for b in batches:
             for p, rows in zip(b.column("part").to_pylist(), b.column("rows"), strict=True):
-                if p != part:
-                    part, known = p, np.zeros(0, np.int64)
                 keys = np.unique(_grams(_opened(rows).column("text").to_pylist())[0])
-                new = np.setdiff1d(keys, known, assume_unique=True)
-                known = np.union1d(known, new)
+                mine = known.get(p, np.zeros(0, np.int64))
+                new = np.setdiff1d(keys, mine, assume_unique=True)
+                known[p] = np.union1d(mine, new)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(new.size, p, np.int32)), pa.array(new)], ["part", "key"])
 
     with scratch() as keep:
-        wanted = materialize(blocks.mapInArrow(asked, "part int, key long").distinct(), "asked")
+        wanted = blocks.repartition("part").mapInArrow(asked, "part int, key long").distinct()
+        wanted = materialize(wanted, "asked")
         logp = materialize(probabilities(wanted.select("key").distinct(), model), "logp")
         keep.append(answers := materialize(wanted.join(logp, "key").select("part", "key", "logp"), "answers"))
     both = answers.unionByName(blocks, allowMissingColumns=True)
