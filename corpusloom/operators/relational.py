@@ -105,6 +105,15 @@ def nearest_before(points: DataFrame, events: DataFrame, key: str) -> DataFrame:
     return both.where("side = 1").select(key, "id", F.col("last").alias("event"))
 
 
+def nearest_after(points: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """For each point (key, id, at) the first event (key, event, time) at or after it."""
+    p = points.select(key, "id", F.col("at"), F.lit(None).cast("long").alias("event"), F.lit(0).alias("side"))
+    e = events.select(key, F.lit(None).cast("long").alias("id"), F.col("time").alias("at"), "event", F.lit(1).alias("side"))
+    w = Window.partitionBy(key).orderBy("at", "side", "event").rowsBetween(0, Window.unboundedFollowing)
+    both = p.unionByName(e).withColumn("next", F.first("event", ignorenulls=True).over(w))
+    return both.where("side = 0").select(key, "id", F.col("next").alias("event"))
+
+
 def top_level(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
     """Intervals that no strictly larger interval of the same key contains.
 
