@@ -26,7 +26,7 @@ BROADCAST_IDS = 2_000_000
 #: Symbols of average text that a document's judged perplexity starts from, so that very short texts aren't judged by chance.
 PRIOR = 40
 #: Bytes of text of a part, and bytes of rows that a task packs together.
-PART_BYTES, HELD = 8 << 20, 32 << 20
+PART_BYTES, HELD = 8 << 20, 16 << 20
 UNSEEN = 1e-4  # the share of probability for symbols that trusted text lacks
 
 
@@ -114,7 +114,7 @@ def probabilities(keys: DataFrame, model: Model) -> DataFrame:
 
 
 def _packed(docs: DataFrame, parts: int) -> DataFrame:
-    """part, rows: the rows of docs, dealt to parts by a hash of the text, in blocks as compressed Arrow streams.
+    """part, rows: the rows of docs, dealt to parts by a hash of the text, in blocks of at most 1 MB of text as compressed Arrow streams.
 
     A task holds at most HELD bytes of rows that aren't packed yet.
     """
@@ -126,7 +126,7 @@ def _packed(docs: DataFrame, parts: int) -> DataFrame:
         def blocks() -> Iterator[pa.RecordBatch]:
             for part, some in sorted(held.items()):
                 whole = pa.Table.from_batches(some).combine_chunks().to_batches()
-                for b in whole:
+                for b in pieces(whole, "text", 1 << 20):
                     out = pa.BufferOutputStream()
                     with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
                         stream.write_batch(b)
