@@ -69,7 +69,7 @@ def op5_setsketch_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dac.read_tokens(dac.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 0, added=True))
+    return dac.read_tokens(spark, dac.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 0, added=True))
 
 
 def op7_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,17 +35,24 @@ def test_encoder_equals_library(name):
 def test_dac_segment_round_trip():
     rng = np.random.default_rng(1)
     ids = rng.choice([0, 5, 255, 256, 50000, 70000, 1 << 30], 3000).astype(np.uint32)
-    s = dac.Segment(dac.pack_segment([3, None, 9], np.array([1000, 0, 2000]), ids))
+    image = dac.pack_segment([3, None, 9], np.array([1000, 0, 2000]), ids)
+    s = dac.Segment(image)
     assert s.tokens().tolist() == ids.tolist() and s.doc_ids == [3, None, 9]
-    assert [s[i] for i in range(0, 3000, 7)] == ids[::7].tolist()
+    file, asked = b"x" * 77 + image, []
+    reader = dac.TokenReader(lambda at, n: asked.append(n) or file[at : at + n], 77)
+    asked.clear()
+    assert [reader[i] for i in range(0, 3000, 7)] == ids[::7].tolist()
+    assert max(asked) <= dac.BLOCK // 8 and sum(asked) / len(range(0, 3000, 7)) < 4 * (dac.BLOCK // 8 + 5)
 
 
 def _ids(name, end):
     return [np.append(x, np.uint32(end)) for x in Encoder(tokenizer_file(name)).encode(TEXTS)]
 
 
-def test_dac_files(spark):
-    got = dac.read_tokens(dac.write_tokens(odd(spark), tokenizer_file("byte_bpe_50k.json"), 0)).collect()
+def test_dac_files(spark, monkeypatch):
+    monkeypatch.setattr(dac, "SEGMENT_TOKENS", 300)
+    path = dac.write_tokens(odd(spark).repartition(3), tokenizer_file("byte_bpe_50k.json"), 0)
+    got = dac.read_tokens(spark, path).collect()
     want = sorted(
         ((r[0] if r[0] is not None else -1, r[1] or "", x) for r, x in zip(odd_rows(), _ids("byte_bpe_50k.json", 0), strict=True)),
         key=lambda x: x[:2],
@@ -55,7 +62,13 @@ def test_dac_files(spark):
         rows.append((d, start, x.size, zlib.crc32(x.astype("<u4").tobytes())))
         start += x.size
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == rows
-    assert dac.read_tokens(dac.write_tokens(empty(spark), tokenizer_file("byte_bpe_50k.json"), 0)).collect() == []
+    whole, index = np.concatenate([x for _, _, x in want]), dac.token_index(spark, path)
+    assert index.count() > 5 and index.agg({"n_tokens": "sum"}).first()[0] == whole.size
+    for k in (0, 1, 299, 300, 1000, whole.size - 1):
+        assert dac.read_token(spark, index, k) == whole[k]
+    with pytest.raises(IndexError):
+        dac.read_token(spark, index, int(whole.size))
+    assert dac.read_tokens(spark, dac.write_tokens(empty(spark), tokenizer_file("byte_bpe_50k.json"), 0)).collect() == []
 
 
 @pytest.mark.parametrize("window", [64, 2048])
