@@ -51,14 +51,14 @@ def balanced_sample(rows: DataFrame, group: str, key: str, count: int, seed: str
     any may give are ranked.
     """
     h = lambda c: F.sha2(F.concat_ws("|", F.lit(seed), c.cast("string")), 256)
-    order = rows.select(group).distinct().withColumn("g", F.row_number().over(Window.orderBy(h(F.col(group)), group)))  # one row a group
+    order = rows.select(group).distinct().withColumn("_place", F.row_number().over(Window.orderBy(h(F.col(group)), group)))  # one row a group
     groups = order.count()
-    quota = order.withColumn("quota", F.lit(count // max(groups, 1)) + F.when(F.col("g") <= count % max(groups, 1), 1).otherwise(0))
+    quota = order.withColumn("_quota", F.lit(count // max(groups, 1)) + F.when(F.col("_place") <= count % max(groups, 1), 1).otherwise(0))
     w = Window.partitionBy(group).orderBy(h(F.col(key)), key)
     most = -(-count // max(groups, 1))
     first = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)  # literal bound: rows beyond go before the sort
-    taken = first.withColumn("n", F.col("n").cast("long")).join(F.broadcast(quota), group).where("n <= quota")
-    return taken.withColumn("position", F.row_number().over(Window.orderBy("n", "g")).cast("long")).drop("quota", "g")
+    taken = first.withColumn("n", F.col("n").cast("long")).join(F.broadcast(quota), group).where("n <= _quota")
+    return taken.withColumn("position", F.row_number().over(Window.orderBy("n", "_place")).cast("long")).drop("_quota", "_place")
 
 
 def sweep(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
