@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = near.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select("a", "b").dropna().where("a <> b").distinct(), "edges")
     mark = None
     while True:
-        now = materialize(_star(_star(now, True), False), "stars")
+        now = materialize(_star(_star(now, True), False).distinct(), "stars")
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if got == mark:
             break

@@ -396,8 +396,9 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     links = verify(star)
     label = components(links)
     more = _across(docs, reps, members, label, size, percent)
-    links = links.unionByName(verify(more.join(star, ["a", "b"], "left_anti")))
-    roots = components(links)
+    links = verify(more.join(star, ["a", "b"], "left_anti"))
+    # Components so far are stars already, so that only what joins them takes rounds.
+    roots = label if links.isEmpty() else components(label.toDF("a", "b").unionByName(links))
     ids = groups.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = ids.join(lowest, "root").select("key", "component_id")
