@@ -339,3 +339,21 @@ def r09_target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = base._keyword(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
     inside = F.col("n_chars").between(400, 2000) & (F.col("lang") == "en")
     return hits.groupBy("item_id").agg(F.min(F.when(inside, F.col("rank"))).alias("target_rank"))
+
+
+def _field_sql(name: str, expr: str) -> str:
+    return f"""t{name} AS (SELECT doc_id, list_transform(regexp_extract_all({expr}, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM documents),
+s{name} AS (SELECT count(*) AS n, avg(len(t)) AS al FROM t{name}),
+f{name} AS (SELECT doc_id, dl, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t{name}) GROUP BY ALL),
+d{name} AS (SELECT term, count(*) AS df FROM f{name} GROUP BY term),
+k{name} AS (SELECT item_id, doc_id, round(sum(q * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(al, 1.0)))), 6) AS score
+  FROM asked JOIN f{name} USING (term) JOIN d{name} USING (term), s{name} GROUP BY ALL HAVING score > 0)"""
+
+
+@query(f"""WITH asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS term FROM benchmark) GROUP BY ALL),
+{_field_sql('m', "concat_ws(' ', source, lang)")}, {_field_sql('x', 'text')},
+b AS (SELECT item_id, doc_id, round(sum(score), 6) AS score FROM (SELECT item_id, doc_id, 2 * score AS score FROM km UNION ALL SELECT * FROM kx) GROUP BY ALL)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM b JOIN documents USING (doc_id) WHERE lang = 'en' QUALIFY rank <= 32""")
+def r02_two_field_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = Q.two_field_bm25(base._documents(spark, sf_dir), read(spark, sf_dir, "benchmark"), 2.0, F.col("lang") == "en")
+    return Q.top(hits, 32, F.desc("score"), F.asc("doc_id"))
