@@ -18,6 +18,8 @@ from corpusloom.llm.common import global_rank, materialize, scratch
 
 #: Members of a group that one task joins with its tally.
 PER_TASK = 100_000
+#: Rounds end when fewer than one member in so many moved.
+SETTLED = 1000
 
 
 def cut_links(members: DataFrame) -> int:
@@ -86,8 +88,9 @@ def propagate(members: DataFrame, shards: int, quota: int, rounds: int = 12, cut
     """members: v, group, c (the group's size), groups (how many v has), shard. Returns the same after some rounds of moves.
 
     No shard gets over quota by moves. A list given as ``cuts`` gets the number of cut links before the first and after
-    each round. Rounds end early when no document moves.
+    each round. Rounds end early when less than one in SETTLED linked documents moved.
     """
+    n_members = members.count()
     if cuts is not None:
         cuts.append(cut_links(members))
     for r in range(rounds):
@@ -107,6 +110,8 @@ def propagate(members: DataFrame, shards: int, quota: int, rounds: int = 12, cut
         members = materialize(moved, f"labels{r}")
         if cuts is not None:
             cuts.append(cut_links(members))
+        if SETTLED * sum(n for *_, n in admitted) < n_members:
+            break
     return members
 
 
