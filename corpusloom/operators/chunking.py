@@ -6,16 +6,17 @@ by binary search. Chunks of a text follow each other without gaps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 CHUNK_SCHEMA = "doc_id long, chunk_index long, total_chunks long, byte_start long, byte_end long, line_start long, line_end long, chunk string"
-#: White space of ASCII; a line of nothing else is blank.
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: White space that ECMAScript's trim() takes away, in UTF-8, without \n; a line of nothing else is blank.
+SPACE = rb"(?:[\t\x0b\x0c\r ]|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf)"
+BLANK = re.compile(b"^" + SPACE + rb"*(?:\n|\Z)", re.M)
 
 
 def hops(start: int, end: int, places: np.ndarray, most: int, otherwise: np.ndarray) -> list[int]:
@@ -34,17 +35,19 @@ def hops(start: int, end: int, places: np.ndarray, most: int, otherwise: np.ndar
     return out
 
 
-def paragraph_cuts(raw: np.ndarray, most: int) -> np.ndarray:
-    """Cuts of a text into chunks of at most ``most`` bytes: behind blank lines where such are in reach.
+def paragraph_ends(raw: np.ndarray) -> np.ndarray:
+    """Ends of a text's paragraphs: behind blank lines, and at the end."""
+    blank = [m.end() for m in BLANK.finditer(raw.tobytes()) if m.end() > m.start()]
+    return np.unique(np.array([*blank, raw.size]))
+
 
-    A paragraph that is too long is cut on its own, behind the last line that fits or else before a character; its
-    parts then count as places to cut, as the ends of paragraphs do.
+def packed_cuts(raw: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
+    """Cuts of a text into chunks of at most ``most`` bytes: behind blocks, whose ``ends`` are given, where such are in reach.
+
+    A block that is too long is cut on its own, behind the last line that fits or else before a character; its parts
+    then count as places to cut, as the ends of blocks do.
     """
-    lines = np.append(np.flatnonzero(raw == 10) + 1, raw.size)
-    lines = np.unique(lines)
-    filled = np.concatenate([[0], np.cumsum(~_BLANK[raw])])
-    empty = np.diff(filled[np.append(0, lines)]) == 0
-    ends = np.unique(np.append(lines[empty], raw.size))
+    lines = np.unique(np.append(np.flatnonzero(raw == 10) + 1, raw.size))
     characters = np.flatnonzero((raw & 0xC0) != 0x80)
     places, begin = [ends], 0
     for e in ends[np.diff(np.append(0, ends)) > most]:
@@ -53,24 +56,46 @@ def paragraph_cuts(raw: np.ndarray, most: int) -> np.ndarray:
     return np.array(hops(0, raw.size, np.unique(np.concatenate(places)), most, characters))
 
 
+def paragraph_cuts(raw: np.ndarray, most: int) -> np.ndarray:
+    """Cuts of a text into chunks of at most ``most`` bytes: behind blank lines where such are in reach."""
+    return packed_cuts(raw, paragraph_ends(raw), most)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], each: Callable[[pa.RecordBatch, int, bytes], list[list]], schema: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """What ``each`` gives for the rows with a text, as lists by column of schema, many texts (about limit bytes) a batch."""
+    parts = [c.split() for c in schema.split(", ")] if ", " in schema else [schema.split()]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[p[1]] for p in parts]
+    names, columns, size = [p[0] for p in parts], [[] for _ in parts], 0
+    for b in batches:
+        texts = b.column("text")
+        for i in range(b.num_rows):
+            data = (texts[i].as_py() or "").encode()
+            if not data:
+                continue
+            for column, more in zip(columns, each(b, i, data), strict=True):
+                column += more
+            size += len(data)
+            if size >= limit:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                columns, size = [[] for _ in parts], 0
+    if columns[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
 def chunk_text(docs: DataFrame, most: int = 1024) -> DataFrame:
     """Chunks of at most ``most`` UTF-8 bytes for every text of docs (doc_id, text); null and empty texts have none."""
 
+    def each(b: pa.RecordBatch, i: int, data: bytes) -> list[list]:
+        raw = np.frombuffer(data, np.uint8)
+        cuts = paragraph_cuts(raw, most)
+        lo, hi, n = cuts[:-1], cuts[1:], cuts.size - 1
+        breaks = np.flatnonzero(raw == 10)
+        first, last = np.searchsorted(breaks, lo) + 1, np.searchsorted(breaks, hi - 1) + 1
+        chunks = [data[x:y].decode("utf-8", "replace") for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+        return [[b.column("doc_id")[i].as_py()] * n, list(range(n)), [n] * n, *(c.tolist() for c in (lo, hi, first, last)), chunks]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text")
-            for i in range(b.num_rows):
-                data = (texts[i].as_py() or "").encode()
-                if not data:
-                    continue
-                raw = np.frombuffer(data, np.uint8)
-                cuts = paragraph_cuts(raw, most)
-                lo, hi, n = cuts[:-1], cuts[1:], cuts.size - 1
-                breaks = np.flatnonzero(raw == 10)
-                first, last = np.searchsorted(breaks, lo) + 1, np.searchsorted(breaks, hi - 1) + 1
-                chunks = pa.StringArray.from_buffers(n, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
-                cols = [np.full(n, b.column("doc_id")[i].as_py()), np.arange(n), np.full(n, n), lo, hi, first, last]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), chunks], [c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
+        yield from gathered(batches, each, CHUNK_SCHEMA)
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, CHUNK_SCHEMA)
 

@@ -5,9 +5,9 @@ from decimal import Decimal
 import pytest
 
 from corpusloom import queries as q
-from corpusloom import reports
+from corpusloom import files, reports
 
-assert reports  # registers its queries
+assert files and reports  # register their queries
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
