@@ -6,44 +6,63 @@ zeros count, join on language and term, sum, rank. Whole numbers only, so result
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, partitions, scratch
+from corpusloom.llm.common import materialize, partitions, pieces, scratch
 
-#: Everything that is neither ASCII's letters nor above ASCII ends a term.
-TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Texts beyond this many characters are cut, behind a term, into pieces of about that size that are exploded on their own.
-LONG = 1 << 20
+#: A term is a run of ASCII's letters and of what is above ASCII, [^\x00-\x40\x5B-\x60\x7B-\x7F]+; in UTF-8 these bytes, A-Z lower-cased.
+TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Lower-cases A-Z and puts a blank for every byte that is in no term, so that what lies between blanks are the matches.
+_SPREAD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: A task's counts are given out when it has so many; texts of more bytes are not split into a list.
+HELD, LONG = 200_000, 1 << 22
 #: Parts of a thousand million.
 SCALE = 1_000_000_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
-def terms(text: Column) -> Column:
-    """Array of the text's terms, A-Z lower-cased and no other letter. lower() does just that to ASCII."""
-    small = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.regexp_extract_all(small, F.lit(TERM), F.lit(0))
 
-
-def term_counts(docs: DataFrame, long: int = LONG) -> DataFrame:
+def term_counts(docs: DataFrame, held: int = HELD, long: int = LONG) -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows of that group with the term); each row of docs is a document.
 
-    A row's terms are counted where it is read, so that no (document, term) pairs are shuffled; only the pieces of texts
-    beyond ``long`` characters are first grouped by row.
+    A task counts the matches of its rows by group and gives out what it has, as often as it holds ``held`` terms; so no
+    match and no (document, term) pair is shuffled, and memory is that of one text and ``held`` counts.
     """
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    found = rows.where(F.length("text") <= long).select("lang", "source", terms(F.col("text")).alias("_all"))
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs"))
-    both = F.concat(F.transform("_all", one(1, 0)), F.transform(F.array_distinct("_all"), one(0, 1)))
-    short = found.select("lang", "source", F.explode(both).alias("_t")).select("lang", "source", "_t.*")
-    cut = F.regexp_extract_all(F.col("text"), F.lit(f"[\\s\\S]{{1,{long}}}{TERM[:-1]}*"), F.lit(0))
-    numbered = rows.where(F.length("text") > long).select("*", F.monotonically_increasing_id().alias("_row"))  # of one pass, so any will do
-    pieces = numbered.select("lang", "source", "_row", F.explode(cut).alias("_piece"))
-    spread = pieces.select("lang", "source", "_row", F.explode(terms(F.col("_piece"))).alias("term"))
-    huge = spread.groupBy("lang", "source", "_row", "term").agg(F.count(F.lit(1)).alias("n"))
-    every = short.unionByName(huge.select("lang", "source", "term", F.col("n"), F.lit(1).alias("docs")))
-    return every.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    schema = "lang string, source string, term string, n long, docs long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, d) in counts.items():
+                cols = [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in n], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "docs"])
+            counts.clear()
+
+        for b in pieces(batches, "text"):
+            texts = b.column("text").cast(pa.binary())
+            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), texts, strict=True):
+                data = text.as_py().translate(_SPREAD)
+                n, d = counts.setdefault((lang, source), (Counter(), Counter()))
+                if len(data) <= long:
+                    found = data.split()
+                    n.update(found)
+                    d.update(set(found))
+                else:
+                    found = Counter(m[0] for m in TERM.finditer(data))
+                    n.update(found)
+                    d.update(list(found))
+            if sum(len(n) for n, _ in counts.values()) >= held:
+                yield from told()
+        yield from told()
+
+    counted = rows.mapInArrow(run, schema)
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(n: Column, total: Column, kept: Column) -> Column:
@@ -65,35 +84,43 @@ def audit_sources(docs: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
     all kept terms, q the other's. Part ``term``: item a kept term the group has more often than its language (p > q),
     value that term's, the ``top`` highest. Ranks go from 1, by value falling, then item. A language that keeps no term
     has pairs of value 0. No documents, no rows; equal rows count each. Group sizes and vocabulary sizes are joined to
-    rows by language under a salt, so that a language with most terms is spread over tasks.
+    rows by language under a salt, so that a language with most terms is spread over tasks; terms and groups are joined
+    by numbers of their own.
     """
     n_parts = partitions(docs.sparkSession)
+    number = F.monotonically_increasing_id()  # written with its row, so it stays
     with scratch() as keep:
         counts = materialize(term_counts(docs), "term-counts")
-        groups = materialize(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct(), "term-groups")
+        named = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
+        groups = materialize(named.withColumn("gid", number), "term-groups")
         by_term = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-        kept = materialize(by_term.where(F.col("docs") >= least).drop("docs"), "kept-terms")
+        kept = materialize(by_term.where(F.col("docs") >= least).drop("docs").withColumn("tid", number), "kept-terms")
+        held = counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]).join(groups, ["lang", "source"])
+        held = materialize(held.select("tid", "gid", "term", "n", "lang_n"), "held-terms")
         langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
-        held = counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n")
-        totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        sized = groups.join(langs, "lang").join(totals, ["lang", "source"], "left")
-        sized = materialize(sized.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "kept", "lang_total"), "group-sizes")
-        salts = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-        cells = kept.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(n_parts)).cast("int")).join(salts, ["lang", "_salt"])
-        dense = cells.join(held, ["lang", "source", "term"], "left").select("lang", "source", "term", F.coalesce("n", F.lit(0)).alias("n"), "total", "kept", "lang_n", "lang_total")
+        totals = held.groupBy("gid").agg(F.sum("n").alias("total"))
+        sized = groups.join(langs, "lang").join(totals, "gid", "left").select("gid", "lang", F.coalesce("total", F.lit(0)).alias("total"), "kept", "lang_total")
+        sized = materialize(sized, "group-sizes")
         p, q = _share(F.col("n"), F.col("total"), F.col("kept")), _share(F.col("lang_n"), F.col("lang_total"), F.col("kept"))
-        shares = materialize(dense.select("lang", "source", "term", "n", p.alias("p"), q.alias("q")), "term-shares")
-
-        other = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("_q"))
-        sums = shares.join(other, ["lang", "term"]).where(F.col("source") != F.col("item")).groupBy("lang", "source", "item").agg(F.sum(_gap(F.col("p"), F.col("_q"))).alias("value"))
-        every = groups.join(groups.withColumnRenamed("source", "item"), "lang").where(F.col("source") != F.col("item"))
-        pairs = every.join(sums, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
-        more = shares.where((F.col("n") > 0) & (F.col("p") > F.col("q")))
-        stand_out = more.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
-
-        ranked = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item").asc())
-        rank = F.row_number().over(ranked).alias("rank")
-        best = stand_out.select("*", rank).where(F.col("rank") <= top)
-        out = materialize(pairs.select("*", rank).unionByName(best), "divergence")
+
+        # Each group with each term its language keeps, whether it has it or not.
+        salts = sized.select("gid", "lang", "total", "kept", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("_salt"))
+        spread = kept.select("tid", "lang", F.pmod(F.xxhash64("tid"), F.lit(n_parts)).cast("int").alias("_salt"))
+        cells = spread.join(salts, ["lang", "_salt"]).join(held.select("tid", "gid", "n"), ["tid", "gid"], "left")
+        shares = materialize(cells.withColumn("n", F.coalesce("n", F.lit(0))).select("tid", "gid", p.alias("p")), "term-shares")
+
+        a, b = shares.alias("a"), shares.alias("b")  # the same rows: one shuffle serves both sides
+        gaps = a.join(b, F.col("a.tid") == F.col("b.tid")).where(F.col("a.gid") != F.col("b.gid"))
+        sums = gaps.select(F.col("a.gid").alias("gid"), F.col("b.gid").alias("other"), _gap(F.col("a.p"), F.col("b.p")).alias("f")).groupBy("gid", "other").agg(F.sum("f").alias("value"))
+        every = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("gid").alias("other")), "lang").where(F.col("gid") != F.col("other"))
+        pairs = every.join(sums, ["gid", "other"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
+        more = held.join(sized.drop("lang"), "gid").select("gid", "term", p.alias("p"), q.alias("q")).where(F.col("p") > F.col("q"))
+        stand_out = more.select("gid", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
+
+        order = [F.col("value").desc(), F.col("item").asc()]
+        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order)))
+        best = stand_out.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(*order))).where(F.col("rank") <= top)
+        best = best.join(groups, "gid").select("lang", "source", "part", "item", "value", "rank")
+        out = materialize(ranked.select(*best.columns).unionByName(best), "divergence")
         keep.append(out)
     return out

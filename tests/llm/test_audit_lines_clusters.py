@@ -146,11 +146,12 @@ def test_audit_equals_plain_python(spark):
         assert sorted(map(tuple, got.collect())) == sorted(_plain_audit(rows, top=top))
 
 
-def test_audit_cuts_long_texts_between_terms(spark):
+def test_counts_are_the_same_however_they_are_held(spark):
     text = "Alpha " * 50 + "é" * 90 + ", beta gamma " * 40
-    docs = spark.createDataFrame([(text, "en", "a"), (text + "x", "en", "b"), ("alpha", "en", "b")], "text string, lang string, source string")
-    whole, cut = divergence.term_counts(docs), divergence.term_counts(docs, long=7)
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+    docs = spark.createDataFrame([(text, "en", "a"), (text + "x", "en", "b"), ("alpha", "en", "b"), (None, None, "b")], "text string, lang string, source string")
+    whole, told = divergence.term_counts(docs), divergence.term_counts(docs, held=1, long=7)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, told.collect()))
+    assert ("en", "b", "alpha", 51, 2) in set(map(tuple, whole.collect()))
 
 
 def test_shares_beyond_a_long_are_exact(spark):
