@@ -6,11 +6,13 @@ begin a declaration, import something, close a bracket or follow a blank line, b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import languages as L
+from corpusloom.operators import retrieval as Q
 from corpusloom.operators import sourcecode as S
+from corpusloom.operators.stages import stored
 from corpusloom.queries import query, read
 
 #: Pattern and replacement, in order; a line has at most 250 characters.
@@ -175,3 +177,71 @@ def f18_detected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(k == 1, "#!/usr/bin/env python3\n").when(k == 2, "#!/bin/sh\n").otherwise("")
     files = source_files(spark, sf_dir).join(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), "doc_id").withColumn("text", F.concat(first, "text"))
     return L.detect_sources(files).select("doc_id", "language_id", "language_type", "grammar", "detected_by")
+
+
+# Retrieval within a question's own corpus, with real chunks and their lines: a file's first declaration is the target,
+# its signature the question, the files of its source the corpus.
+
+
+@query(f"""WITH RECURSIVE {_FILES}, {_CHUNKS},
+d AS (SELECT doc_id AS item_id, i, trim(line, {_BLANKS}) AS question FROM marked WHERE declares QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1),
+src AS (SELECT doc_id, source FROM documents),
+asked AS (SELECT source, item_id, term, count(*) AS q FROM (SELECT item_id, lower(unnest(regexp_extract_all(left(question, 240), '[A-Za-z0-9_]+'))) AS term FROM d) JOIN src ON doc_id = item_id GROUP BY ALL),
+tok AS (SELECT source, doc_id * 100000 + k AS id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t, list_transform(regexp_extract_all(path, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS m
+ FROM chunk JOIN src USING (doc_id) JOIN (SELECT doc_id, path FROM files) USING (doc_id)),
+lens AS (SELECT source, id, len(t) + 2.0 * len(m) AS dl FROM tok), stats AS (SELECT source, count(*) AS n, avg(dl) AS al FROM lens GROUP BY source),
+tf AS (SELECT source, id, term, sum(w)::DOUBLE AS tf FROM (SELECT source, id, unnest(t) AS term, 1.0 AS w FROM tok UNION ALL SELECT source, id, unnest(m), 2.0 FROM tok) GROUP BY ALL),
+dfs AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL),
+kw AS (SELECT item_id, id, round(sum(q * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(al, 1.0)))), 6) AS score
+ FROM asked JOIN tf USING (source, term) JOIN dfs USING (source, term) JOIN lens USING (source, id) JOIN stats USING (source) GROUP BY ALL HAVING score > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM kw QUALIFY rank <= 32)
+SELECT d.item_id, min(rank) AS target_rank, round(coalesce(1.0 / min(rank), 0.0), 6) AS reciprocal_rank
+FROM d LEFT JOIN (SELECT ranked.*, doc_id, line_start, line_end FROM ranked JOIN chunk ON id = doc_id * 100000 + k) r ON r.item_id = d.item_id AND r.doc_id = d.item_id AND line_start <= i AND line_end >= i GROUP BY d.item_id""")
+def j15_target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = source_files(spark, sf_dir)
+    known = files.select("*", F.lit("zz").alias("language_id"), F.lit(None).cast("string").alias("grammar"), F.lit("heuristic").alias("detected_by"))
+    source = read(spark, sf_dir, "documents").select("doc_id", "source")
+    paths = files.select("doc_id", "path").join(source, "doc_id")
+    chunks = stored(S.chunk_sources(known).select("doc_id", "chunk_index", "line_start", "line_end", F.col("chunk").alias("text")).join(paths, "doc_id"))
+    corpus = chunks.select("source", (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("doc_id"), "text", F.col("path").alias("meta"), "path", F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"))
+    first = S.file_entities(files).where("number = 0")
+    lines = first.join(files, "doc_id").join(source, "doc_id")
+    row = F.size(F.split(F.decode(F.substring(F.encode("text", "UTF-8"), F.lit(1), F.col("byte_start").cast("int")), "UTF-8"), "\n")).cast("long")
+    targets = lines.select("source", F.col("doc_id").alias("item_id"), "path", F.col("signature").alias("text"), row.alias("start_line"), row.alias("end_line"))
+    hits = Q.top(Q.bm25(corpus, targets, by=["source"]).drop("source"), 32, F.desc("score"), F.asc("doc_id"))
+    ranked = hits.join(corpus.select("doc_id", "path", "start_line", "end_line"), "doc_id")
+    return Q.target_rank(ranked, targets)
+
+
+_TURNS = """base AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'user', turn) AS nth FROM conversations),
+q AS (SELECT conv_id, text, embedding AS qvec FROM base JOIN embeddings ON vec_id = conv_id % 41 WHERE nth = 1),
+c AS (SELECT conv_id, conv_id * 1000 + turn AS doc_id, text, role AS meta, (turn % 3)::BIGINT AS quality, embedding AS vec FROM base JOIN embeddings ON vec_id = (conv_id * 7 + turn) % 41 WHERE nth > 1)"""
+
+
+@query(rf"""WITH {_TURNS},
+tok AS (SELECT conv_id, doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t, list_transform(regexp_extract_all(meta, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS m FROM c),
+lens AS (SELECT conv_id, doc_id, len(t) + 2.0 * len(m) AS dl FROM tok), stats AS (SELECT conv_id, count(*) AS n, avg(dl) AS al FROM lens GROUP BY conv_id),
+tf AS (SELECT conv_id, doc_id, term, sum(w)::DOUBLE AS tf FROM (SELECT conv_id, doc_id, unnest(t) AS term, 1.0 AS w FROM tok UNION ALL SELECT conv_id, doc_id, unnest(m), 2.0 FROM tok) GROUP BY ALL),
+dfs AS (SELECT conv_id, term, count(*) AS df FROM tf GROUP BY ALL),
+asked AS (SELECT conv_id, term, count(*) AS q FROM (SELECT conv_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS term FROM q) GROUP BY ALL),
+kw AS (SELECT conv_id, doc_id, round(sum(q * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(al, 1.0)))), 6) AS score
+ FROM asked JOIN tf USING (conv_id, term) JOIN dfs USING (conv_id, term) JOIN lens USING (conv_id, doc_id) JOIN stats USING (conv_id) GROUP BY ALL HAVING score > 0),
+ch AS (SELECT conv_id, doc_id, score, quality FROM kw JOIN c USING (conv_id, doc_id)), ds AS (SELECT conv_id, doc_id, round(list_cosine_similarity(qvec::DOUBLE[], vec::DOUBLE[]), 6) AS score, quality FROM q JOIN c USING (conv_id)),
+r AS (SELECT conv_id, doc_id, quality, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, quality DESC, doc_id) AS rank FROM ch QUALIFY rank <= 32 UNION ALL
+ SELECT conv_id, doc_id, quality, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, quality DESC, doc_id) AS rank FROM ds QUALIFY rank <= 32),
+f AS (SELECT conv_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, max(quality) AS quality, min(rank) AS best FROM r GROUP BY ALL),
+pool AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, quality DESC, best, doc_id) AS rank FROM f QUALIFY rank <= 20),
+w AS (SELECT pool.*, list_distinct(list_filter(regexp_split_to_array(lower(q.text), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(meta || chr(10) || c.text), '\s+'), lambda x: x <> '')) AS b
+ FROM pool JOIN q USING (conv_id) JOIN c USING (conv_id, doc_id)),
+s AS (SELECT *, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS rerank FROM w), h AS (SELECT *, max(rerank) OVER (PARTITION BY conv_id) AS top FROM s)
+SELECT conv_id, doc_id, rank, quality, rerank, row_number() OVER (PARTITION BY conv_id ORDER BY rerank DESC, quality DESC, rank) AS number FROM h WHERE rerank >= greatest(0.00017189, top * 0.855) QUALIFY number <= 5""")
+def r13_corpus_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is a corpus of its turns; its first user turn asks."""
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy((F.col("role") != "user").asc(), "turn"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", nth.alias("nth"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = turns.where("nth = 1").withColumn("vec_id", F.col("conv_id") % 41).join(vectors, "vec_id")
+    rest = turns.where("nth > 1").withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % 41).join(vectors, "vec_id")
+    chunks = rest.select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.col("role").alias("meta"), F.col("embedding").alias("vec"), (F.col("turn") % 3).cast("long").alias("quality"))
+    questions = asked.select("conv_id", F.col("conv_id").alias("item_id"), "text", F.col("embedding").alias("qvec"))
+    return Q.hybrid_within(chunks, questions, ["conv_id"]).drop("item_id")

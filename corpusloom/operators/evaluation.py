@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import ratio
+from corpusloom.operators.ranges import totals_from
 
 
 def confusion(labelled: DataFrame, *by: str) -> DataFrame:
@@ -62,9 +63,15 @@ def balanced_sample(rows: DataFrame, group: str, key: str, count: int, seed: str
 
 
 def sweep(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Rates of every threshold (small table: threshold) over scored rows (gold, score): one pass, the thresholds are replicated."""
-    both = scored.join(F.broadcast(thresholds), how="cross").withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
-    return rates(confusion(both, "threshold"))
+    """Rates of every threshold (threshold) over scored rows (gold, score); a row is predicted at or over the threshold.
+
+    Scores are sorted once, whatever the number of thresholds. Rows without gold or score count for nothing.
+    """
+    rows = scored.where("gold is not null and score is not null").select(F.col("score").cast("double").alias("threshold"), F.lit(1).alias("n"), (F.col("gold") == 1).cast("int").alias("tp"))
+    told = totals_from(rows, thresholds.select(F.col("threshold").cast("double").alias("threshold")), "threshold", ["n", "tp"])
+    whole = rows.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("tp"), F.lit(0)).alias("_p"))
+    both = told.join(F.broadcast(whole))  # one row
+    return rates(both.select("threshold", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_n") - F.col("_p") - F.col("n") + F.col("tp")).alias("tn")))
 
 
 def span_labels(blocks: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranges import running_sums, totals_from
+
 SPACE = "[ \\t\\n\\x0b\\f\\r]+"
 
 
@@ -72,30 +76,37 @@ def line_overlap(docs: DataFrame, target: int) -> DataFrame:
 
 def quantile_grid(scores: DataFrame, column: str, steps: int = 500) -> DataFrame:
     """threshold: 0 and at most ``steps`` + 1 of the distinct scores, evenly by their places in order, rounded to even."""
-    distinct = scores.select(F.col(column).cast("double").alias("threshold")).distinct()
-    n = distinct.count()
+    distinct = scores.select(F.col(column).cast("double").alias("threshold")).distinct().withColumn("place", F.lit(1))
+    ranked = running_sums(distinct, [F.col("threshold").asc()], ["place"]).withColumn("place", F.col("place") - 1)
+    n = ranked.count()
     k = min(steps, max(n - 1, 1))
-    ranked = distinct.withColumn("place", F.row_number().over(Window.orderBy("threshold")) - 1)  # distinct thresholds of a sweep
-    wanted = scores.sparkSession.range(k + 1).select(F.bround(F.col("id") * (n - 1) / F.lit(float(k))).cast("int").alias("place")).distinct()
+    wanted = scores.sparkSession.range(k + 1).select(F.bround(F.col("id") * (n - 1) / F.lit(float(k))).cast("long").alias("place")).distinct()
     return ranked.join(F.broadcast(wanted), "place").select("threshold").unionByName(scores.sparkSession.createDataFrame([(0.0,)], "threshold double")).distinct()
 
 
-def sweep_statistics(scored: DataFrame, thresholds: DataFrame, relative: float) -> DataFrame:
-    """threshold, empty_rate, negative_abstention, mean_chunks, tp, fp: for examples with scored (example, gold, score) rows.
+def sweep_statistics(scored: DataFrame, thresholds: DataFrame, relatives: float | list[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, relative, threshold, empty_rate, negative_abstention, mean_chunks, tp, fp, fn for examples with scored (by, example, gold, score) rows.
 
-    A row is taken at or over the threshold and the example's best times ``relative``. Thresholds are the small side.
+    A row is taken at or over the threshold and the example's best times ``relative``; an example without a taken row is
+    empty, and negative if no row of it is gold. Scores are sorted once a relative limit (few) and group of ``by``, and
+    all thresholds read from running sums, so rows don't grow with thresholds times scores.
     """
-    best = F.max("score").over(Window.partitionBy("example"))
-    both = scored.withColumn("floor", best * relative).join(F.broadcast(thresholds), how="cross")
-    taken = F.col("score") >= F.greatest("threshold", "floor")
-    each = both.groupBy("threshold", "example").agg(
-        F.count_if(taken).alias("n"), F.count_if(taken & (F.col("gold") == 1)).alias("tp"), F.max("gold").alias("positive")
-    )
-    negative = F.col("positive") == 0
-    return each.groupBy("threshold").agg(
-        F.round(F.avg((F.col("n") == 0).cast("double")), 6).alias("empty_rate"),
-        F.round(F.coalesce(F.avg(F.when(negative, (F.col("n") == 0).cast("double"))), F.lit(0.0)), 6).alias("negative_abstention"),
-        F.round(F.avg("n"), 6).alias("mean_chunks"), F.sum("tp").alias("tp"), (F.sum("n") - F.sum("tp")).alias("fp"),
+    by, relatives = [*by, "relative"], relatives if isinstance(relatives, list) else [relatives]
+    each = scored.withColumn("relative", F.explode(F.array(*map(F.lit, map(float, relatives)))))
+    best = F.max("score").over(Window.partitionBy(*by, "example"))
+    kept = each.withColumn("_floor", best * F.col("relative")).withColumn("threshold", F.when(F.col("score") >= F.col("_floor"), F.col("score").cast("double")))
+    gold = (F.col("gold") == 1).cast("int")
+    examples = kept.groupBy(*by, "example").agg(F.max("threshold").alias("threshold"), (F.max("gold") == 0).cast("int").alias("negative"), F.sum(gold).alias("positives"))
+    zero = F.lit(0)
+    rows = kept.select(*by, "threshold", F.lit(1).alias("n"), gold.alias("tp"), zero.alias("filled"), zero.alias("spoilt"))
+    rows = rows.unionByName(examples.select(*by, "threshold", zero.alias("n"), zero.alias("tp"), F.lit(1).alias("filled"), F.col("negative").alias("spoilt")))
+    whole = examples.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.sum("negative").alias("_negative"), F.sum("positives").alias("_gold"))  # one row a group
+    asked = whole.select(*by).join(F.broadcast(thresholds.select(F.col("threshold").cast("double").alias("threshold"))), how="cross")  # groups times thresholds: the result's rows
+    told = totals_from(rows, asked, "threshold", ["n", "tp", "filled", "spoilt"], by).join(whole, by)
+    share = lambda part, all_: F.round(F.when(F.col(all_) > 0, (F.col(all_) - F.col(part)) / F.col(all_)).otherwise(0.0), 6)
+    return told.select(
+        *by, "threshold", share("filled", "_all").alias("empty_rate"), share("spoilt", "_negative").alias("negative_abstention"),
+        F.round(F.col("n") / F.col("_all"), 6).alias("mean_chunks"), "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("_gold") - F.col("tp")).alias("fn"),
     )
 
 

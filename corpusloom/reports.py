@@ -169,7 +169,7 @@ e AS (SELECT threshold, example, count(*) FILTER (score >= greatest(threshold, f
 SELECT threshold, round(avg((n = 0)::INT), 6) AS empty_rate, round(coalesce(avg((n = 0)::INT) FILTER (positive = 0), 0.0), 6) AS negative_abstention, round(avg(n), 6) AS mean_chunks,
  sum(tp)::BIGINT AS tp, (sum(n) - sum(tp))::BIGINT AS fp FROM e GROUP BY threshold""")
 def a17_sweep_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.sweep_statistics(_examples(spark, sf_dir), spark.range(6).select((F.col("id") / 5.0).alias("threshold")), 0.855)
+    return P.sweep_statistics(_examples(spark, sf_dir), spark.range(6).select((F.col("id") / 5.0).alias("threshold")), 0.855).drop("relative", "fn")
 
 
 @query(f"""WITH {_EXAMPLES_SQL}, d AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT score::DOUBLE AS score FROM x)),
