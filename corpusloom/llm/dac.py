@@ -30,6 +30,7 @@ SEGMENT_TOKENS, FILE_SEGMENTS = 1 << 16, 256
 #: Magic, bytes of the segment, its part, its number and first token within the part, documents, tokens.
 HEADER = "<4sQIQQIQ"
 HEADER_BYTES = struct.calcsize(HEADER)
+INDEX = "file string, at long, first long, n_tokens long"
 
 
 def pack_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, part: int = 0, seg: int = 0, start: int = 0) -> bytes:
@@ -161,11 +162,20 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, added: bool = Fal
     # As text without a codec, rows are written byte for byte, with a line feed behind each.
     raw = ordered.mapInArrow(run, "image binary").select(F.col("image").cast("string").alias("value"))
     raw.write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
+    _indexed(spark, path).sortWithinPartitions("first").write.parquet(f"{path}/_index")
     return path
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """file, at, first, n_tokens of every segment: where it begins in its file, and in the sequence of all ids."""
+    """file, at, first, n_tokens of every segment: where it begins in its file, and in the sequence of all ids.
+
+    One row a segment, written once beside the token files; none of these is read for it again.
+    """
+    return spark.read.schema(INDEX).parquet(f"{path}/_index")
+
+
+def _indexed(spark: SparkSession, path: str) -> DataFrame:
+    """token_index from the headers of the files just written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -48,10 +48,17 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     w, h, most = fields[0], fields[1], fields[2] if want == 3 else 1
     depth = 3 if kind in (b"P3", b"P6") else 1
     n = w * h * depth
+    if not 1 <= most <= 65535:
+        raise ValueError("Netpbm maximum out of range")
+    if n > 8 * len(data):
+        raise ValueError("cut off Netpbm samples")
     if kind in (b"P1", b"P2", b"P3"):
         body = b"\n".join(line.split(b"#")[0] for line in data[pos:].split(b"\n"))
         digits = [x - 48 for x in body if x in b"01"] if kind == b"P1" else body.split()
-        a = np.array([int(x) for x in digits[:n]], np.uint16 if most > 255 else np.uint8)
+        samples = [int(x) for x in digits[:n]]
+        if samples and not 0 <= min(samples) <= max(samples) <= most:
+            raise ValueError("Netpbm sample out of range")
+        a = np.array(samples, np.uint16 if most > 255 else np.uint8)
     elif kind == b"P4":
         stride = (w + 7) // 8
         raw = np.frombuffer(data, np.uint8, stride * h, pos + 1).reshape(h, stride)
@@ -88,10 +95,14 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError(f"BMP of {bits} bits, compression {packed}")
     down, h = h < 0, abs(h)
     stride = (w * bits // 8 + 3) // 4 * 4
+    if w < 0 or at + stride * h > len(data):
+        raise ValueError("cut off BMP samples")
     rows = np.frombuffer(data, np.uint8, stride * h, at).reshape(h, stride)
     rows = rows if down else rows[::-1]
     if bits == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
+        if 14 + size + 4 * used > len(data):
+            raise ValueError("cut off BMP palette")
         table = np.frombuffer(data, np.uint8, 4 * used, 14 + size).reshape(used, 4)[:, 2::-1]
         out = table[rows[:, :w]]
         return np.ascontiguousarray(out[..., 0]) if (table == table[:, :1]).all() else out
@@ -107,19 +118,33 @@ def decoded(data: bytes) -> tuple[np.ndarray | None, str | None]:
     """The samples, or what is wrong with the image."""
     try:
         return decode(data), None
-    except (ValueError, IndexError, struct.error) as e:
+    except (ValueError, IndexError, OverflowError, struct.error) as e:
         return None, str(e) or type(e).__name__
 
 
+def integral_lines(a: np.ndarray, wanted: np.ndarray, band: int = 1 << 20) -> np.ndarray:
+    """Lines of the image's integral (sums of all samples above and to the left) at the wanted rows, ascending.
+
+    Samples are summed in bands of about ``band``, so an image of any size takes that much and the lines. Colours are
+    averaged to grey.
+    """
+    h, w = a.shape[:2]
+    out, carry, step = np.zeros((wanted.size, w + 1)), np.zeros((1, w)), max(1, band // max(w, 1))
+    for top in range(0, h, step):
+        part = a[top : top + step]
+        grey = part.astype(np.float64).mean(axis=2) if a.ndim == 3 else part
+        sums = np.cumsum(np.concatenate([carry, grey]), axis=0, dtype=np.float64)
+        mine = np.flatnonzero((wanted > top) & (wanted <= top + len(part)))
+        out[mine, 1:] = np.cumsum(sums[wanted[mine] - top], axis=1)
+        carry = sums[-1:]
+    return out
+
+
 def area_resize(a: np.ndarray, rows: int, cols: int) -> np.ndarray:
     """Mean over each target cell's exact area, by an integral image read at fractional corners. Colours are averaged to grey first."""
-    grey = a.astype(np.float64).mean(axis=2) if a.ndim == 3 else a
-    h, w = grey.shape
+    h, w = a.shape[:2]
     if not h or not w:
         return np.zeros((rows, cols))
-    sums = np.zeros((h + 1, w + 1))
-    np.cumsum(grey, axis=0, dtype=np.float64, out=sums[1:, 1:])
-    np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
 
     def at(n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.arange(n + 1) * (most / n)
@@ -127,7 +152,9 @@ def area_resize(a: np.ndarray, rows: int, cols: int) -> np.ndarray:
         return low, x - low
 
     (y, fy), (x, fx) = at(rows, h), at(cols, w)
-    line = sums[y] * (1 - fy)[:, None] + sums[y + 1] * fy[:, None]
+    wanted = np.unique(np.concatenate([y, y + 1]))
+    sums = integral_lines(a, wanted)
+    line = sums[np.searchsorted(wanted, y)] * (1 - fy)[:, None] + sums[np.searchsorted(wanted, y + 1)] * fy[:, None]
     corner = line[:, x] * (1 - fx) + line[:, x + 1] * fx
     cells = corner[1:, 1:] - corner[:-1, 1:] - corner[1:, :-1] + corner[:-1, :-1]
     return cells * (rows * cols / (h * w))
