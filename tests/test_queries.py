@@ -5,9 +5,9 @@ from decimal import Decimal
 import pytest
 
 from corpusloom import queries as q
-from corpusloom import files, reports, runs
+from corpusloom import files, jobs, reports, runs
 
-assert files and reports and runs  # register their queries
+assert files and jobs and reports and runs  # register their queries
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
