@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import files as sourcefiles
+from corpusloom.operators.stages import shared_folder, stored
 from corpusloom.queries import query, read
+from corpusloom.sources.published import ChunkStore
 from corpusloom.streaming import queue
 
 LEASE = 12
@@ -44,3 +49,37 @@ def x01_job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every event did to its job, through three stages, and the leases that ran out."""
     events = job_events(spark, sf_dir)
     return queue.transitions(events, LEASE, events.agg(F.max("at")).first()[0])
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots of the source files: the second lacks some, has new ones, and changed others."""
+    k = F.col("doc_id")
+    rows = sourcefiles.source_files(spark, sf_dir).withColumn("path", F.when(k % 13 == 0, F.concat(F.lit("vendor/"), "path")).otherwise(F.col("path")))
+    rows = rows.withColumn("text", F.when(k % 17 == 0, "  \n").otherwise(F.col("text")))
+    changed = F.when((k % 5 == 0) & (k % 17 != 0), F.concat("text", F.lit("\nend.\n"))).otherwise(F.col("text"))
+    return rows.where(k % 7 != 3).select("path", "text"), rows.where(k % 7 != 5).select("path", changed.alias("text"))
+
+
+@query(f"""WITH {sourcefiles._FILES}, r AS (SELECT doc_id AS k, CASE WHEN doc_id % 13 = 0 THEN 'vendor/' ELSE '' END || path AS path, CASE WHEN doc_id % 17 = 0 THEN '  ' || chr(10) ELSE text END AS text FROM files),
+pair AS (SELECT 'first' AS snapshot, k, path, text, false AS had FROM r WHERE k % 7 <> 3
+ UNION ALL SELECT 'second', k, path, CASE WHEN k % 5 = 0 AND k % 17 <> 0 THEN text || chr(10) || 'end.' || chr(10) ELSE text END, k % 7 <> 3 AND (k % 5 <> 0 OR k % 17 = 0) FROM r WHERE k % 7 <> 5),
+s AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'generated_or_dependency_path' WHEN trim(text, ' ' || chr(10)) = '' THEN 'empty_file' END AS reason FROM pair)
+SELECT snapshot, path, CASE WHEN reason IS NULL THEN 'succeeded' ELSE 'skipped' END AS status, reason, strlen(text) AS size, reason IS NULL AND had AS reused,
+ CASE WHEN reason IS NULL THEN strlen(text) END AS chunk_bytes, CASE WHEN reason IS NULL THEN sha256(text) END AS joined_sha256 FROM s""")
+def k03_published_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots published one after the other, the first then dropped and its own files collected; what each showed."""
+    store = ChunkStore(spark, f"{shared_folder(spark)}/published-{uuid.uuid4().hex}")
+    first, second = _snapshots(spark, sf_dir)
+
+    def shown(name: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk")))
+        joined = F.array_join(F.transform(ordered, lambda c: c["chunk"]), "")
+        whole = store.chunks(name).groupBy("file_key").agg(F.sum(F.col("byte_end") - F.col("byte_start")).alias("chunk_bytes"), F.sha2(joined, 256).alias("joined_sha256"))
+        return store.members(name).join(whole, "file_key", "left").select(F.lit(name).alias("snapshot"), "path", "status", "reason", "size", "reused", "chunk_bytes", "joined_sha256")
+
+    store.publish("first", first)
+    seen = stored(shown("first"))
+    store.publish("second", second)
+    store.drop("first")
+    store.collect_garbage()
+    return seen.unionByName(shown("second"))

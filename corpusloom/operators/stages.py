@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df computed now, by checkpoint() into the folder of spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, spark.checkpoint.dir; only a local master may leave that unset and gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_corpusloom_stages", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark._corpusloom_stages = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    return folder.rstrip("/")
+
 
-    Only a local master may leave that unset and gets a folder of its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def stored(df: DataFrame) -> DataFrame:
+    """df computed now, by checkpoint() into the shared folder: what reads it doesn't compute it again, and lost executors don't matter."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="corpusloom-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
