@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import partitions, pieces, shared_dir
+from corpusloom.llm.common import materialize, partitions, pieces, scratch, shared_dir
 from corpusloom.llm.tokens import encoder
 
 MAGIC, BLOCK = b"DAC2", 512
@@ -162,7 +162,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, added: bool = Fal
     # As text without a codec, rows are written byte for byte, with a line feed behind each.
     raw = ordered.mapInArrow(run, "image binary").select(F.col("image").cast("string").alias("value"))
     raw.write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
-    _indexed(spark, path).sortWithinPartitions("first").write.parquet(f"{path}/_index")
+    with scratch():
+        _indexed(spark, path).sortWithinPartitions("first").write.parquet(f"{path}/_index")
     return path
 
 
@@ -185,7 +186,8 @@ def _indexed(spark: SparkSession, path: str) -> DataFrame:
                 cols = [pa.array(x, pa.int64()) for x in (at, part, start, n)]
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), *cols], ["file", "at", "part", "start", "n_tokens"])
 
-    got = _files(spark, path).select("path", "content").mapInArrow(run, "file string, at long, part long, start long, n_tokens long")
+    headers = _files(spark, path).select("path", "content").mapInArrow(run, "file string, at long, part long, start long, n_tokens long")
+    got = materialize(headers, "segment-headers")  # the files are read once for them
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     offsets = got.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     return got.join(F.broadcast(offsets), "part").select("file", "at", (F.col("part_start") + F.col("start")).alias("first"), "n_tokens")
