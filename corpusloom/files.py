@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import languages as L
+from corpusloom.operators import evaluation as E
+from corpusloom.operators import records as P
 from corpusloom.operators import retrieval as Q
 from corpusloom.operators import sourcecode as S
 from corpusloom.operators.stages import stored
-from corpusloom.queries import query, read
+from corpusloom.queries import ORACLES, query, read
 
 #: Pattern and replacement, in order; a line has at most 250 characters.
 SHAPED = [
@@ -213,6 +215,17 @@ def j15_target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.target_rank(ranked, targets)
 
 
+def _conversation_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy((F.col("role") != "user").asc(), "turn"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", nth.alias("nth"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = turns.where("nth = 1").withColumn("vec_id", F.col("conv_id") % 41).join(vectors, "vec_id")
+    rest = turns.where("nth > 1").withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % 41).join(vectors, "vec_id")
+    chunks = rest.select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.col("role").alias("meta"), F.col("embedding").alias("vec"), (F.col("turn") % 3).cast("long").alias("quality"))
+    questions = asked.select("conv_id", F.col("conv_id").alias("item_id"), "text", F.col("embedding").alias("qvec"))
+    return chunks, questions
+
+
 _TURNS = """base AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'user', turn) AS nth FROM conversations),
 q AS (SELECT conv_id, text, embedding AS qvec FROM base JOIN embeddings ON vec_id = conv_id % 41 WHERE nth = 1),
 c AS (SELECT conv_id, conv_id * 1000 + turn AS doc_id, text, role AS meta, (turn % 3)::BIGINT AS quality, embedding AS vec FROM base JOIN embeddings ON vec_id = (conv_id * 7 + turn) % 41 WHERE nth > 1)"""
@@ -237,11 +250,59 @@ s AS (SELECT *, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS rer
 SELECT conv_id, doc_id, rank, quality, rerank, row_number() OVER (PARTITION BY conv_id ORDER BY rerank DESC, quality DESC, rank) AS number FROM h WHERE rerank >= greatest(0.00017189, top * 0.855) QUALIFY number <= 5""")
 def r13_corpus_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation is a corpus of its turns; its first user turn asks."""
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy((F.col("role") != "user").asc(), "turn"))
-    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", nth.alias("nth"))
-    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = turns.where("nth = 1").withColumn("vec_id", F.col("conv_id") % 41).join(vectors, "vec_id")
-    rest = turns.where("nth > 1").withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % 41).join(vectors, "vec_id")
-    chunks = rest.select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.col("role").alias("meta"), F.col("embedding").alias("vec"), (F.col("turn") % 3).cast("long").alias("quality"))
-    questions = asked.select("conv_id", F.col("conv_id").alias("item_id"), "text", F.col("embedding").alias("qvec"))
+    chunks, questions = _conversation_corpora(spark, sf_dir)
     return Q.hybrid_within(chunks, questions, ["conv_id"]).drop("item_id")
+
+
+# What chunks are embedded with, and which declarations they hold.
+
+
+@query(f"""WITH RECURSIVE {_FILES}, {_CHUNKS}, d AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS number, start, upto, regexp_extract(line, '{_DECLARES}', 2) AS name FROM marked WHERE declares)
+SELECT d.doc_id, k AS chunk_index, number, name, upto > hi AS partial FROM d JOIN chunk ON chunk.doc_id = d.doc_id AND start >= lo AND start < hi""")
+def j25_chunk_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = source_files(spark, sf_dir)
+    known = files.select("*", F.lit("zz").alias("language_id"), F.lit(None).cast("string").alias("grammar"), F.lit("heuristic").alias("detected_by"))
+    return P.chunk_entities(S.chunk_sources(known), S.file_entities(files)).select("doc_id", "chunk_index", "number", "name", "partial")
+
+
+@query(f"""WITH RECURSIVE {_FILES}, {_CHUNKS} SELECT doc_id || ':' || k AS id, path, k AS chunk_index, sha256(text) AS content_hash, strlen(text) AS text_bytes, 'model-a' AS model_id, 64 AS dimension,
+ [length(text)::DOUBLE, 0.0, 1.0, 0.0] AS vector, sha256(json_object('path', path, 'language', 'zz', 'context', {{'line_start': line_start, 'line_end': line_end}})::VARCHAR) AS searchable_sha256
+FROM chunk JOIN (SELECT doc_id, path FROM files) USING (doc_id)""")
+def s06_embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all files as records of a vector store, with what keyword search reads beside them."""
+    files = source_files(spark, sf_dir)
+    known = files.select("*", F.lit("zz").alias("language_id"), F.lit(None).cast("string").alias("grammar"), F.lit("heuristic").alias("detected_by"))
+    chunks = S.chunk_sources(known).join(files.select("doc_id", "path"), "doc_id")
+    where = F.struct("line_start", "line_end")
+    inputs = chunks.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), F.col("chunk").alias("text"), "path", "chunk_index", P.searchable(F.col("path"), F.lit("zz"), where).alias("searchable"))
+    records = P.vector_records(inputs, "model-a", 64)
+    p = F.col("payload")
+    return records.select("id", p["path"].alias("path"), p["chunk_index"].alias("chunk_index"), "content_hash", F.octet_length(p["text"]).cast("long").alias("text_bytes"), p["model_id"].alias("model_id"), p["dimension"].alias("dimension"), P.mock_embedding(p["text"], 4).alias("vector"), F.sha2(p["searchable"], 256).alias("searchable_sha256"))
+
+
+_R13 = ORACLES["r13_corpus_retrieval"]
+
+
+@query(rf"""{_R13[: _R13.rindex("SELECT conv_id, doc_id, rank")].rstrip()},
+hits AS ({_R13[_R13.rindex("SELECT conv_id, doc_id, rank"):]}),
+g AS (SELECT conv_id, doc_id, meta = 'assistant' AS gold, hits.number IS NOT NULL AS got FROM c JOIN (SELECT conv_id FROM q) USING (conv_id) LEFT JOIN hits USING (conv_id, doc_id)),
+n AS (SELECT conv_id, count(*) FILTER (gold AND got) AS tp, count(*) FILTER (NOT gold AND got) AS fp, count(*) FILTER (gold AND NOT got) AS fn, count(*) FILTER (NOT gold AND NOT got) AS tn FROM g GROUP BY conv_id)
+SELECT conv_id, tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0.0 END AS recall,
+ CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) ELSE 0.0 END AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM n""")
+def r14_example_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each example's question found the assistant's turns among its own corpus."""
+    chunks, questions = _conversation_corpora(spark, sf_dir)
+    gold = chunks.select("conv_id", "doc_id", (F.col("meta") == "assistant").cast("int").alias("gold"))
+    return E.example_relevance(gold, Q.hybrid_within(chunks, questions, ["conv_id"]), questions, ["conv_id"])
+
+
+@query(rf"""{_R13[: _R13.rindex("SELECT conv_id, doc_id, rank")].rstrip()},
+hits AS ({_R13[_R13.rindex("SELECT conv_id, doc_id, rank"):]}),
+p AS (SELECT conv_id, number, '// Path: ' || meta || ' (lines ' || doc_id % 1000 || '-?)' || chr(10) || text AS piece FROM hits JOIN c USING (conv_id, doc_id)),
+l AS (SELECT *, 1500 - coalesce(sum(length(piece)) OVER (PARTITION BY conv_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM p)
+SELECT conv_id AS item_id, count(*) AS pieces, sha256(string_agg(left(piece, room::BIGINT), chr(10) || chr(10) ORDER BY number)) AS context_sha256 FROM l WHERE room > 0 GROUP BY conv_id""")
+def w05_retrieval_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, questions = _conversation_corpora(spark, sf_dir)
+    hits = Q.hybrid_within(chunks, questions, ["conv_id"]).join(chunks.select("doc_id", "text", F.col("meta").alias("path")), "doc_id")
+    ranked = hits.select("item_id", "number", "path", (F.col("doc_id") % 1000).alias("start_line"), F.lit(None).cast("long").alias("end_line"), "text")
+    return P.retrieval_contexts(ranked, 1500).select("item_id", "pieces", F.sha2("context", 256).alias("context_sha256"))

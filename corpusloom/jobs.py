@@ -52,17 +52,18 @@ def x01_job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two snapshots of the source files: the second lacks some, has new ones, and changed others."""
+    """Two snapshots of all source files: in the second some have moved and others changed."""
     k = F.col("doc_id")
     rows = sourcefiles.source_files(spark, sf_dir).withColumn("path", F.when(k % 13 == 0, F.concat(F.lit("vendor/"), "path")).otherwise(F.col("path")))
     rows = rows.withColumn("text", F.when(k % 17 == 0, "  \n").otherwise(F.col("text")))
     changed = F.when((k % 5 == 0) & (k % 17 != 0), F.concat("text", F.lit("\nend.\n"))).otherwise(F.col("text"))
-    return rows.where(k % 7 != 3).select("path", "text"), rows.where(k % 7 != 5).select("path", changed.alias("text"))
+    moved = F.when(k % 7 == 3, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    return rows.select("path", "text"), rows.select(moved.alias("path"), changed.alias("text"))
 
 
 @query(f"""WITH {sourcefiles._FILES}, r AS (SELECT doc_id AS k, CASE WHEN doc_id % 13 = 0 THEN 'vendor/' ELSE '' END || path AS path, CASE WHEN doc_id % 17 = 0 THEN '  ' || chr(10) ELSE text END AS text FROM files),
-pair AS (SELECT 'first' AS snapshot, k, path, text, false AS had FROM r WHERE k % 7 <> 3
- UNION ALL SELECT 'second', k, path, CASE WHEN k % 5 = 0 AND k % 17 <> 0 THEN text || chr(10) || 'end.' || chr(10) ELSE text END, k % 7 <> 3 AND (k % 5 <> 0 OR k % 17 = 0) FROM r WHERE k % 7 <> 5),
+pair AS (SELECT 'first' AS snapshot, k, path, text, false AS had FROM r
+ UNION ALL SELECT 'second', k, CASE WHEN k % 7 = 3 THEN 'moved/' ELSE '' END || path, CASE WHEN k % 5 = 0 AND k % 17 <> 0 THEN text || chr(10) || 'end.' || chr(10) ELSE text END, k % 7 <> 3 AND (k % 5 <> 0 OR k % 17 = 0) FROM r),
 s AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'generated_or_dependency_path' WHEN trim(text, ' ' || chr(10)) = '' THEN 'empty_file' END AS reason FROM pair)
 SELECT snapshot, path, CASE WHEN reason IS NULL THEN 'succeeded' ELSE 'skipped' END AS status, reason, strlen(text) AS size, reason IS NULL AND had AS reused,
  CASE WHEN reason IS NULL THEN strlen(text) END AS chunk_bytes, CASE WHEN reason IS NULL THEN sha256(text) END AS joined_sha256 FROM s""")

@@ -34,6 +34,17 @@ def micro(counts: DataFrame) -> DataFrame:
     return rates(counts.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]))
 
 
+def example_relevance(gold: DataFrame, retrieved: DataFrame, examples: DataFrame, by: list[str]) -> DataFrame:
+    """Confusion counts and rates of each example: which of its chunks (gold: by, doc_id, gold 0 or 1) were retrieved (by, doc_id).
+
+    Only corpora that an example (by) has count; without a retrieved chunk all are left out. Repeated rows count once.
+    """
+    got = retrieved.select(*by, "doc_id").distinct().withColumn("predicted", F.lit(1))
+    every = gold.join(examples.select(*by).distinct(), by, "left_semi").dropDuplicates([*by, "doc_id"])
+    judged = every.join(got, [*by, "doc_id"], "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
+    return rates(confusion(judged, *by))
+
+
 def reciprocal_ranks(ranked: DataFrame, hit: Column) -> DataFrame:
     """mrr_recovered: mean reciprocal rank of questions with a hit; mrr: over all questions; recovered and questions."""
     first = ranked.groupBy("item_id").agg(F.min(F.when(hit, F.col("rank"))).alias("r"))
