@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ranges import running_sums, totals_from
+from corpusloom.operators.sourcecode import line_suffix
 
 SPACE = "[ \\t\\n\\x0b\\f\\r]+"
 
@@ -64,14 +65,11 @@ def harmonic(a: Column, b: Column) -> Column:
 def line_overlap(docs: DataFrame, target: int) -> DataFrame:
     """doc_id, from_byte, overlap_bytes: the whole last lines whose bytes are closest to target, more of them in a tie.
 
-    A document's lines are dealt together; texts without bytes have none.
+    Lines are measured in their row; texts without bytes have none.
     """
-    lines = docs.where(F.octet_length("text") > 0).select("doc_id", F.octet_length("text").alias("total"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    begins = lines.withColumn("start", F.coalesce(F.sum(F.octet_length("line") + 1).over(w), F.lit(0))).where("start < total")
-    left = F.col("total") - F.col("start")
-    best = begins.groupBy("doc_id").agg(F.min(F.struct(F.abs(left - target).alias("off"), F.col("start"), left.alias("n"))).alias("b"))
-    return best.select("doc_id", F.col("b.start").cast("long").alias("from_byte"), F.col("b.n").cast("long").alias("overlap_bytes"))
+    size = F.octet_length(line_suffix(F.col("text"), F.lit(target))).cast("long")
+    told = docs.where(F.octet_length("text") > 0).select("doc_id", F.octet_length("text").cast("long").alias("total"), size.alias("overlap_bytes"))
+    return told.select("doc_id", (F.col("total") - F.col("overlap_bytes")).alias("from_byte"), "overlap_bytes")
 
 
 def quantile_grid(scores: DataFrame, column: str, steps: int = 500) -> DataFrame:
