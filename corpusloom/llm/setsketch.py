@@ -37,6 +37,8 @@ DIRECT = 3
 RARE, DENSE = 16, 14
 #: Members of a group that one task compares with its hub.
 PER_TASK = 512
+#: Pairs whose likelihoods are computed at once; bounds a task's memory.
+GRID_PAIRS = 1024
 
 _LANES = np.random.default_rng(7).integers(0, 1 << 64, (2, REGISTERS), dtype=np.uint64)
 _LANES[0] |= np.uint64(1)
@@ -124,9 +126,8 @@ def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, n_a, n_b, regs_a, regs_b) that the likelihood doesn't rule out, as a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        # The grid has 201 values a pair, several times over: few pairs at a time.
+        for b in (whole.slice(i, GRID_PAIRS) for whole in batches for i in range(0, whole.num_rows, GRID_PAIRS)):
             a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("regs_a", "regs_b"))
             j = estimate(a, c, b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(j >= threshold - SLACK))
@@ -138,7 +139,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union; shingles are compared by 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "set_a"):
             good = []
             for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
                 x, y = (np.frombuffer(v, np.uint64).reshape(-1, 2) for v in (x, y))
