@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, kneserney, packing, setsketch, suffixdedup
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import discard, materialize
 from corpusloom.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,10 +33,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     blank texts are no one's duplicates; a row without an id stays only where no row of its group has one.
     """
     kept = setsketch.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    left = docs.select(*COLUMNS).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
     # Rows of one id and text meet by a hash of the text, so no text is compared or dealt by its bytes.
     same = Window.partitionBy("doc_id", F.xxhash64("text"), F.sha2("text", 256)).orderBy("lang", "source", "n_chars")
-    return left.select(*COLUMNS).withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    return left.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,6 +81,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; returns the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            discard(before)  # its successor is written
     return docs

@@ -226,5 +226,8 @@ def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
     Rows that share a doc_id go together; without items or with an empty table nothing goes.
     """
-    bad = materialize(contaminated(docs, items, **how).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    name = "_bad"
+    while name in docs.columns:
+        name += "_"
+    bad = materialize(contaminated(docs, items, **how).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[name]), "left_anti")

@@ -54,3 +54,14 @@ def test_what_stages_keep(spark):
     assert clean == {*range(10), 20, 30, 31, 50, 51}
     pieces = corpus_pipeline.packed(spark, kept, SF).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in kept.collect()}
+
+
+def test_stages_stand_columns_of_their_own_names(spark):
+    docs = odd(spark)
+    for c in ("_kept", "_n", "_bad", "kept", "n_removed", "rejected", "perplexity"):
+        docs = docs.withColumn(c, corpus_pipeline.F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        assert corpus_pipeline.materialize(stage(spark, docs, SF), name).count() > 0
+    from corpusloom.llm import decontaminate
+
+    assert decontaminate.clean(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).columns == docs.columns
