@@ -191,3 +191,23 @@ def test_bound_is_never_under_bleu(spark):
     bound = needles.bleu_bound(F.col("x"), F.col("y"), needles._pairs_of(F.col("x")), needles._pairs_of(F.col("y")))
     for r in df.select("a", "b", bound.alias("bound")).collect():
         assert r.bound >= bleu.sentence_bleu(r.a, r.b), r
+
+
+def test_dense_search_in_blocks_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    vectors = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)], rng.randrange(3)) for i in range(90)]
+    queries = [(100 + i, [rng.choice([-1.0, 0.0, 0.5]) for _ in range(3)]) for i in range(13)]
+
+    def cosine(a, b):
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 6) if size else 0.0
+
+    want = {q: [d for _, _, d in sorted((-cosine(v, w) + 0.0, -quality, d) for d, v, quality in vectors)][:6] for q, w in queries}
+    v = spark.createDataFrame(vectors, "doc_id long, vec array<float>, quality long").repartition(3)
+    q = spark.createDataFrame(queries, "item_id long, qvec array<float>").repartition(2)
+    for block, most in ((1024, 64 << 20), (7, 64 << 20), (7, 0)):
+        monkeypatch.setattr(retrieval, "BLOCK_ROWS", block)
+        monkeypatch.setattr(retrieval, "QUESTION_BYTES", most)
+        got = retrieval.rank_channel(retrieval.dense_top(v, q, 6), None, 6).collect()
+        assert {i: [r.doc_id for r in sorted((r for r in got if r.item_id == i), key=lambda r: r.rank)] for i in want} == want
+    assert retrieval.dense_top(v, q.limit(0), 6).count() == 0 and retrieval.dense_top(v.limit(0), q, 6).count() == 0
