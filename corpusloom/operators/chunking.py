@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_SCHEMA = "doc_id long, chunk_index long, total_chunks long, byte_start long, byte_end long, line_start long, line_end long, chunk string"
 #: White space that ECMAScript's trim() takes away, in UTF-8, without \n; a line of nothing else is blank.
@@ -130,3 +131,10 @@ def line_windows(docs: DataFrame, target: int = 4000, overlap: float = 0.2) -> D
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index long, start_line long, end_line long, chunk string")
+
+
+def line_blocks(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, block (from 0), id, line: a text's lines as blocks of a corpus; the id is that of path, place and line. Null texts have none."""
+    lines = docs.select("doc_id", path, F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    name = F.sha2(F.concat_ws(":", path, F.col("block").cast("string"), "line"), 256)
+    return lines.select("doc_id", F.col("block").cast("long").alias("block"), name.alias("id"), "line")

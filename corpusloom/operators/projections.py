@@ -18,6 +18,27 @@ def signature(text: Column, most: int = 240) -> Column:
     return F.left(F.trim(F.regexp_replace(text, SPACE, " ")), F.lit(most))
 
 
+def grade_of(score: Column, c: int, b: int, a: int) -> Column:
+    """D under c, C under b, B under a, else A; A too for what has no score."""
+    return F.when(score < c, "D").when(score < b, "C").when(score < a, "B").otherwise("A")
+
+
+def citation_defaults(kind: Column, line: Column) -> tuple[Column, Column]:
+    """A citation's kind, unknown where it is null or empty, and its line, 1 where it is null."""
+    return F.coalesce(F.nullif(kind, F.lit("")), F.lit("unknown")), F.coalesce(line, F.lit(1))
+
+
+def file_fingerprint(path: Column, sha256: Column, size: Column, language: Column, options: Column, version: int) -> Column:
+    """SHA-256 of a file's facts and chunking options (a struct) as JSON with sorted keys: the same for the same chunks."""
+    facts = {"language": language, "options": options, "path": path, "sha256": sha256, "size": size, "version": F.lit(version)}
+    return F.sha2(F.to_json(F.struct(*(c.alias(k) for k, c in facts.items()))), 256)
+
+
+def chunk_metadata(path: Column, language: Column, context: Column) -> Column:
+    """What keyword search reads of a chunk beside its text, as JSON with sorted keys, nulls included."""
+    return F.to_json(F.struct(context.alias("context"), language.alias("language"), path.alias("path")), {"ignoreNullFields": "false"})
+
+
 def identifier(name: Column) -> Column:
     """A name for files and options: ++ is pp, # is sharp, runs of other signs one hyphen."""
     spelled = F.replace(F.replace(F.lower(name), F.lit("++"), F.lit("pp")), F.lit("#"), F.lit("sharp"))

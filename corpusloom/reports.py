@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom import queries as base
 from corpusloom.functions import text as T
+from corpusloom.operators import chunking as C
 from corpusloom.operators import evaluation as E
+from corpusloom.operators import lineage as N
 from corpusloom.operators import projections as P
 from corpusloom.operators import relational as R
 from corpusloom.operators import retrieval as Q
@@ -27,21 +29,18 @@ def p02_unsafe_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CASE WHEN strlen(text) > 8000 THEN 'too_large' WHEN strlen(text) >= 2000 THEN 'large' ELSE 'ordinary' END AS route, count(*) AS files, sum(strlen(text))::BIGINT AS bytes
 FROM documents GROUP BY 1""")
 def p10_file_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.octet_length("text").cast("long")
-    d = read(spark, sf_dir, "documents").select(size.alias("size"), F.when(size > 8000, "too_large").when(size >= 2000, "large").otherwise("ordinary").alias("route"))
-    return d.groupBy("route").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    d = read(spark, sf_dir, "documents").select(F.octet_length("text").cast("long").alias("size"))
+    return d.groupBy(S.route(F.col("size"), 2000, 8000).alias("route")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 @query(f"WITH {base._JOBS_SQL} SELECT id, attempt_count FROM jobs WHERE status = 'queued' AND (lease_expires_at IS NULL OR lease_expires_at <= 50)")
 def p15_due_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    due = (F.col("status") == "queued") & (F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") <= 50))
-    return base._jobs(spark, sf_dir).where(due).select("id", "attempt_count")
+    return N.due(base._jobs(spark, sf_dir), F.lit(50)).select("id", "attempt_count")
 
 
 @query(f"WITH {base._JOBS_SQL} SELECT id, 'queued' AS status, 0::BIGINT AS attempt_count, NULL::BIGINT AS lease_expires_at FROM jobs WHERE status = 'failed'")
 def x04_requeue_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = base._jobs(spark, sf_dir).where("status = 'failed'")
-    return failed.select("id", F.lit("queued").alias("status"), F.lit(0).cast("long").alias("attempt_count"), F.lit(None).cast("long").alias("lease_expires_at"))
+    return N.requeued_failed(base._jobs(spark, sf_dir)).select("id", "status", "attempt_count", "lease_expires_at")
 
 
 @query("""SELECT conv_id, turn, back FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations
@@ -57,32 +56,33 @@ def p29_last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, c_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 WHERE o_orderstatus = 'F' AND c_nationkey = 7""")
 def j01_scoped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    member = read(spark, sf_dir, "customer").where("c_nationkey = 7").select("c_custkey")
-    files = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(member, F.col("o_custkey") == F.col("c_custkey"))
-    return read(spark, sf_dir, "lineitem").join(files, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "c_custkey")
+    members = read(spark, sf_dir, "customer").where("c_nationkey = 7").select("c_custkey")
+    files = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    seen = N.scoped(read(spark, sf_dir, "lineitem"), files, members, ("l_orderkey", "o_orderkey"), ("o_custkey", "c_custkey"))
+    return seen.select("l_orderkey", "l_linenumber", "c_custkey")
 
 
 @query("""SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE r_name IN ('EUROPE', 'ASIA') AND o_orderstatus <> 'F'""")
 def j05_job_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region").where("r_name in ('EUROPE', 'ASIA')"), F.col("n_regionkey") == F.col("r_regionkey"))
-    who = read(spark, sf_dir, "customer").join(allowed, F.col("c_nationkey") == F.col("n_nationkey"))
-    return read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").join(who, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "n_name", "r_name")
+    jobs, regions = read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'"), read(spark, sf_dir, "region").where("r_name in ('EUROPE', 'ASIA')")
+    customers, nations = (read(spark, sf_dir, t) for t in ("customer", "nation"))
+    all_ = N.chained(jobs, (customers, "o_custkey", "c_custkey"), (nations, "c_nationkey", "n_nationkey"), (regions, "n_regionkey", "r_regionkey"))
+    return all_.select("o_orderkey", "n_name", "r_name")
 
 
 @query("""SELECT user_id AS id, CASE WHEN e.event IS NULL THEN 'missing' ELSE e.event END AS outcome FROM (SELECT DISTINCT user_id FROM events) u
 LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event FROM events WHERE event_type <> 'click' GROUP BY user_id) e USING (user_id)""")
 def j08_last_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    last = e.where("event_type <> 'click'").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event"))
-    return e.select("user_id").distinct().join(last, "user_id", "left").select(F.col("user_id").alias("id"), F.coalesce("event", F.lit("missing")).alias("outcome"))
+    e = read(spark, sf_dir, "events").withColumnRenamed("user_id", "id")
+    return N.last_outcomes(e, e.where("event_type <> 'click'"), "id", "event_id", "event_type")
 
 
 @query("""SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')""")
 def j19_access_to_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region").where("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
-    good = read(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("c_custkey").alias("o_custkey"))
-    return read(spark, sf_dir, "orders").select("o_custkey").distinct().join(good, "o_custkey", "left_anti")
+    regions, customers, nations = (read(spark, sf_dir, t) for t in ("region", "customer", "nation"))
+    good = N.chained(customers, (nations, "c_nationkey", "n_nationkey"), (regions.where("r_name = 'EUROPE'"), "n_regionkey", "r_regionkey"), how="left_semi")
+    return N.to_remove(read(spark, sf_dir, "orders"), good.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
 
 
 @query("""SELECT p.user_id, p.event_id AS id, (SELECT arg_min(event_id, (ts, event_id)) FROM events c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND c.ts >= p.ts) AS event
@@ -97,18 +97,16 @@ def j20_nearest_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT r_regionkey FROM region WHERE r_name <> 'ASIA')))""")
 def k11_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that are left when a region goes with all that hangs on it."""
-    gone = read(spark, sf_dir, "region").where("r_name = 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey"))
-    nations = read(spark, sf_dir, "nation").join(gone, "n_regionkey", "left_semi").select(F.col("n_nationkey").alias("c_nationkey"))
-    customers = read(spark, sf_dir, "customer").join(nations, "c_nationkey", "left_semi").select(F.col("c_custkey").alias("o_custkey"))
-    return read(spark, sf_dir, "orders").join(customers, "o_custkey", "left_anti").select("o_orderkey")
+    gone = read(spark, sf_dir, "region").where("r_name = 'ASIA'").select("r_regionkey")
+    levels = [("nation", "n_regionkey", "n_nationkey"), ("customer", "c_nationkey", "c_custkey"), ("orders", "o_custkey", "o_orderkey")]
+    return N.cascade(gone, *((read(spark, sf_dir, t), parent, own) for t, parent, own in levels))[-1].select("o_orderkey")
 
 
 @query("SELECT DISTINCT sha256(text) AS job_key, 'queued' AS status FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents s JOIN labels USING (doc_id) WHERE s.text = d.text)")
 def k09_ensure_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New jobs for contents that have none."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("job_key"))
-    have = d.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("job_key")
-    return d.select("job_key").distinct().join(have, "job_key", "left_anti").withColumn("status", F.lit("queued"))
+    return N.ensured(d, d.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), "job_key")
 
 
 @query("""WITH a AS (SELECT source, sha256(text) AS h FROM documents WHERE source = 'src0'), b AS (SELECT 'src0' AS source, sha256(text) AS h FROM documents WHERE source = 'src1')
@@ -131,29 +129,25 @@ def u02_union_of_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, round(coalesce(avg(quality), 0.0), 6) AS pass_rate, count(quality) AS scored FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
 def a08_mean_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    return both.groupBy("lang").agg(F.round(F.coalesce(F.avg("quality"), F.lit(0.0)), 6).alias("pass_rate"), F.count("quality").alias("scored"))
+    return N.mean_pass(read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left"), "quality", "lang")
 
 
 @query("""SELECT date_trunc('hour', ts)::VARCHAR AS hour, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'click') AS scored FROM events GROUP BY 1""")
 def a10_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")
-    return read(spark, sf_dir, "events").groupBy(hour.alias("hour")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.col("event_type") == "click").alias("scored")
-    )
+    return N.run_summary(read(spark, sf_dir, "events").withColumn("hour", hour), F.col("event_type") == "error", F.col("event_type") == "click", "hour")
 
 
 @query("SELECT source, string_agg(lang || ':' || s, ',' ORDER BY lang) AS timings FROM (SELECT source, lang, sum(n_chars)::BIGINT AS s FROM documents GROUP BY ALL) GROUP BY source")
 def a13_sums_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.sum("n_chars").alias("s"))
-    entries = F.map_from_entries(F.collect_list(F.struct("lang", "s")))  # one entry a language
-    text = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
-    return each.groupBy("source").agg(entries.alias("m")).select("source", F.array_join(text, ",").alias("timings"))
+    sums = N.sums_by_key(read(spark, sf_dir, "documents"), "source", "lang", "n_chars")
+    text = F.transform(F.map_entries("sums"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return sums.select("source", F.array_join(text, ",").alias("timings"))
 
 
 @query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role")
 def a16_group_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("conversations"))
+    return N.group_counters(read(spark, sf_dir, "conversations"), "role", "conv_id").withColumnRenamed("members", "conversations")
 
 
 _EXAMPLES_SQL = "x AS (SELECT source AS example, toxic AS gold, (n_chars % 1000) / 1000.0 AS score FROM documents JOIN labels USING (doc_id))"
@@ -181,7 +175,7 @@ def a19_quantile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, coalesce(max(value) FILTER (event_type = 'error'), 0.0) AS retry_after FROM events GROUP BY user_id")
 def a22_retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(F.max(F.when(F.col("event_type") == "error", F.col("value"))), F.lit(0.0)).alias("retry_after"))
+    return N.retry_after(read(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error", F.col("value"))
 
 
 @query("""SELECT event_id, grade, greatest(low, low + floor(width * c + 0.5) - CASE WHEN event_type = 'error' THEN 5 ELSE 0 END - CASE WHEN k % 7 = 0 THEN 3 ELSE 0 END)::BIGINT AS score FROM (
@@ -200,8 +194,8 @@ FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events)""")
 def p25_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades by a number in a JSON column (P25), and a citation's defaults (P22)."""
     k = F.get_json_object("props", "$.k").try_cast("long")
-    grade = F.when(k < 25, "D").when(k < 50, "C").when(k < 75, "B").otherwise("A")
-    return read(spark, sf_dir, "events").select("event_id", grade.alias("grade"), F.coalesce(F.nullif("event_type", F.lit("")), F.lit("unknown")).alias("kind"), F.coalesce(k, F.lit(1)).alias("line"))
+    kind, line = P.citation_defaults(F.col("event_type"), k)
+    return read(spark, sf_dir, "events").select("event_id", P.grade_of(k, 25, 50, 75).alias("grade"), kind.alias("kind"), line.alias("line"))
 
 
 @query("SELECT user_id, left(string_agg(event_id || ' ' || event_type, '; ' ORDER BY event_id), 400) AS message FROM events WHERE event_type = 'error' GROUP BY user_id")
@@ -253,11 +247,8 @@ def t07_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f04_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of canonical JSON (F04) and searchable metadata with sorted keys (F06)."""
     options, context = F.struct(F.lit(1024).alias("max")), F.struct(F.col("n_chars").alias("chars"))
-    canonical = F.to_json(
-        F.struct(F.col("lang").alias("language"), options.alias("options"), F.col("source").alias("path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("size"), F.lit(3).alias("version"))
-    )
-    metadata = F.to_json(F.struct(context.alias("context"), F.col("lang").alias("language"), F.col("source").alias("path")), {"ignoreNullFields": "false"})
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(canonical, 256).alias("fingerprint"), metadata.alias("metadata"))
+    print_ = P.file_fingerprint(F.col("source"), F.sha2("text", 256), F.octet_length("text"), F.col("lang"), options, 3)
+    return read(spark, sf_dir, "documents").select("doc_id", print_.alias("fingerprint"), P.chunk_metadata(F.col("source"), F.col("lang"), context).alias("metadata"))
 
 
 @query("""WITH h AS (SELECT doc_id, sha256(sha256(text) || ':0:0:' || strlen(text)) AS fingerprint FROM documents), u AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('loom:' || fingerprint)) AS s FROM h)
@@ -303,8 +294,7 @@ def f37_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, i - 1 AS block, sha256(source || ':' || (i - 1) || ':' || line) AS id, strlen(line)::BIGINT AS bytes
 FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
 def c01_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    return d.select("doc_id", F.col("block").cast("long").alias("block"), F.sha2(F.concat_ws(":", "source", F.col("block").cast("string"), "line"), 256).alias("id"), F.octet_length("line").cast("long").alias("bytes"))
+    return C.line_blocks(read(spark, sf_dir, "documents"), "source").select("doc_id", "block", "id", F.octet_length("line").cast("long").alias("bytes"))
 
 
 @query(base.ORACLES["m02_balanced_sample"].join(["SELECT '[' || string_agg(doc_id::VARCHAR, ',' ORDER BY position) || ']' AS ids, sha256('[' || string_agg(doc_id::VARCHAR, ',' ORDER BY position) || ']') AS fingerprint, count(*) AS n FROM (", ")"]))

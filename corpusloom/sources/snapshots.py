@@ -33,6 +33,11 @@ def file_problem(path: Column, size: Column, content: Column, largest: int) -> C
     )
 
 
+def route(size: Column, large: int, largest: int) -> Column:
+    """How a file of this size is chunked: ordinary, large (on its own, from ``large`` bytes), or not at all (too_large, over ``largest``)."""
+    return F.when(size > largest, "too_large").when(size >= large, "large").otherwise("ordinary")
+
+
 def members(spark: SparkSession, path: str) -> DataFrame:
     """One row for each member of the tar archives (any compression) under path; kind is file, link, directory or other."""
 
