@@ -280,6 +280,27 @@ def s06_embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("id", p["path"].alias("path"), p["chunk_index"].alias("chunk_index"), "content_hash", F.octet_length(p["text"]).cast("long").alias("text_bytes"), p["model_id"].alias("model_id"), p["dimension"].alias("dimension"), P.mock_embedding(p["text"], 4).alias("vector"), F.sha2(p["searchable"], 256).alias("searchable_sha256"))
 
 
+_IMPORTS = rf"(?i)^{_WS}*(?:{'|'.join(L.IMPORTING)})\b"
+
+
+@query(rf"""WITH {_FILES}, {_LINES}, im AS (SELECT doc_id, start, coalesce(nullif(regexp_extract(trim(line, {_BLANKS}), '["''<]([^"''>]+)["''>]', 1), ''), left(trim(line, {_BLANKS}), 120)) AS name FROM line WHERE regexp_matches(line, '{_IMPORTS}')),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_extract(line, '{_DECLARES}', 2) || ' ' || left(trim(line, {_BLANKS}), 240), '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM marked WHERE declares)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS number, name, w.name IS NOT NULL AS used FROM im LEFT JOIN w USING (doc_id, name)""")
+def j24_marked_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = source_files(spark, sf_dir)
+    return S.marked_imports(S.file_imports(files), S.file_entities(files))
+
+
+@query(f"""WITH {_FILES}, {_LINES}, d AS (SELECT doc_id, start AS byte_start, upto AS byte_end, lower(regexp_extract(line, '{_DECLARES}', 1)) AS word, regexp_extract(line, '{_DECLARES}', 2) AS name FROM marked WHERE declares),
+k AS (SELECT doc_id, byte_start, byte_end, name, {_KIND} AS kind FROM d)
+SELECT doc_id, byte_start, byte_end, kind, CASE WHEN byte_start % 2 = 0 THEN 'tagged' ELSE 'walked' END AS origin FROM k""")
+def j23_united_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that two finders tell: one has those at even places, the other all."""
+    known = S.file_entities(source_files(spark, sf_dir)).select("doc_id", "byte_start", "byte_end", "kind")
+    tagged = known.where("byte_start % 2 = 0").withColumn("origin", F.lit("tagged"))
+    return S.united_entities(tagged, known.withColumn("origin", F.lit("walked")))
+
+
 _R13 = ORACLES["r13_corpus_retrieval"]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import files as sourcefiles
+from corpusloom.operators import relational as R
 from corpusloom.operators.stages import shared_folder, stored
 from corpusloom.queries import query, read
 from corpusloom.sources.published import ChunkStore
@@ -84,3 +85,12 @@ def k03_published_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.drop("first")
     store.collect_garbage()
     return seen.unionByName(shown("second"))
+
+
+@query("""WITH old AS (SELECT user_id, max(event_id) AS version, arg_max(event_type, event_id) AS kind FROM events WHERE event_type <> 'error' GROUP BY user_id), new AS (SELECT user_id, max(event_id) AS version, arg_max(event_type, event_id) AS kind FROM events WHERE value > 70 GROUP BY user_id)
+SELECT user_id, version, kind, true AS present FROM new UNION ALL SELECT user_id, version, kind, false FROM old WHERE user_id NOT IN (SELECT user_id FROM new)""")
+def k10_synchronized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dimension of users brought up to date with a later look at them."""
+    e = read(spark, sf_dir, "events")
+    last = lambda rows: rows.groupBy("user_id").agg(F.max("event_id").alias("version"), F.max_by("event_type", "event_id").alias("kind"))
+    return R.synchronized(last(e.where("event_type <> 'error'")), last(e.where("value > 70")), ["user_id"])

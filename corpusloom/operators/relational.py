@@ -81,6 +81,17 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return latest(both, key, F.desc("_new"), F.desc("version")).drop("_new", "rn")
 
 
+def synchronized(existing: DataFrame, remote: DataFrame, key: list[str]) -> DataFrame:
+    """existing brought up to date with remote (the same columns): remote's rows as they are, and existing ones it lacks with present false.
+
+    A key that remote has twice counts once. Null keys are keys too.
+    """
+    fresh = remote.dropDuplicates(key)
+    a, b = existing.alias("a"), fresh.alias("b")
+    gone = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "left_anti")
+    return fresh.withColumn("present", F.lit(True)).unionByName(gone.withColumn("present", F.lit(False)))
+
+
 def overlaps(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
     """Pairs of intervals (key, id, lo, hi) that overlap: a.lo < b.hi and a.hi > b.lo.
 

@@ -270,6 +270,33 @@ def file_entities(files: DataFrame) -> DataFrame:
     return files.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
 
 
+def file_imports(files: DataFrame) -> DataFrame:
+    """doc_id, number (from 0), name of every import, in order: what stands in quotes, else the line."""
+    schema = "doc_id long, number long, name string"
+
+    def each(b: pa.RecordBatch, i: int, data: bytes) -> list[list]:
+        names = entities(data, np.frombuffer(data, np.uint8)).imports
+        return [[b.column("doc_id")[i].as_py()] * len(names), list(range(len(names))), names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(batches, each, schema)
+
+    return files.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
+
+
+def marked_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
+    """imports (doc_id, number, name) with used: whether a declaration (doc_id, name, signature) of the file has the name as a word."""
+    words = F.regexp_extract_all(F.concat_ws(" ", "name", "signature"), F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))
+    used = known.select("doc_id", F.explode(words).alias("name")).distinct().withColumn("used", F.lit(True))
+    return imports.join(used, ["doc_id", "name"], "left").select("doc_id", "number", "name", F.coalesce("used", F.lit(False)).alias("used"))
+
+
+def united_entities(tagged: DataFrame, walked: DataFrame) -> DataFrame:
+    """tagged entities and those walked ones (both doc_id, kind, byte_start, byte_end, any others) whose kind and place no tagged one has."""
+    key = ["doc_id", "byte_start", "byte_end", "kind"]
+    return tagged.unionByName(walked.join(tagged.select(*key).distinct(), key, "left_anti").select(*tagged.columns))
+
+
 def line_suffix(text: Column, target: Column) -> Column:
     """The run of last whole lines of a text whose bytes come nearest to target, the longer one of two; null for none.
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+
 _MEMBERS = "archive string, name string, kind string, size long, sha256 string, content binary"
 
 
@@ -38,21 +40,34 @@ def route(size: Column, large: int, largest: int) -> Column:
     return F.when(size > largest, "too_large").when(size >= large, "large").otherwise("ordinary")
 
 
+#: Bytes of members that make up a batch, about.
+BATCH = 16 << 20
+
+
 def members(spark: SparkSession, path: str) -> DataFrame:
     """One row for each member of the tar archives (any compression) under path; kind is file, link, directory or other."""
+    names, kinds = [c.split()[0] for c in _MEMBERS.split(", ")], (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+
+    def rows(archive: str, tar: tarfile.TarFile) -> Iterator[tuple]:
+        for m in tar:
+            kind = "link" if m.issym() or m.islnk() else "directory" if m.isdir() else "file" if m.isfile() else "other"
+            content = tar.extractfile(m).read() if kind == "file" else None
+            yield archive, m.name.removeprefix("./"), kind, m.size, hashlib.sha256(content).hexdigest() if kind == "file" else None, content
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _MEMBERS.split(", ")]
+        held: list[tuple] = []
+        size = 0
         for b in batches:
             for archive, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 with tarfile.open(fileobj=io.BytesIO(raw.as_buffer()), mode="r:*") as tar:
-                    for m in tar:
-                        kind = "link" if m.issym() or m.islnk() else "directory" if m.isdir() else "file" if m.isfile() else "other"
-                        content = tar.extractfile(m).read() if kind == "file" else None
-                        digest = hashlib.sha256(content).hexdigest() if kind == "file" else None
-                        row = (archive, m.name.removeprefix("./"), kind, m.size, digest, content)
-                        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+                    for row in rows(archive, tar):
+                        held.append(row)
+                        size += len(row[-1] or b"") + 200
+                        if size >= BATCH:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+                            held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _MEMBERS)
 
@@ -103,3 +118,37 @@ def differences(entries: DataFrame, manifest: DataFrame) -> DataFrame:
     cols = ["path", "size", "sha256"]
     a, b = entries.select(*cols), manifest.select(*cols)
     return a.exceptAll(b).withColumn("side", F.lit("entries")).unionByName(b.exceptAll(a).withColumn("side", F.lit("manifest")))
+
+
+def publish_manifest(entries: DataFrame, folder: str) -> tuple[int, int]:
+    """Write the manifest (version 1) of an archive's files (path, size, sha256) into folder, by path; returns files and bytes.
+
+    A manifest is one document; archives have a bounded number of files (see files). No files are an error, and a
+    failed write leaves no manifest, as Spark's committer puts it in place at the end.
+    """
+    entry = F.struct("path", "size", "sha256")
+    whole = entries.agg(F.array_sort(F.collect_list(entry)).alias("files"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    totals = whole.select("n", "bytes").first()
+    if not totals["n"]:
+        raise ValueError("empty_archive")
+    whole.select(F.to_json(F.struct(F.lit(1).alias("version"), "files")).alias("value")).coalesce(1).write.mode("overwrite").text(folder)
+    return totals["n"], totals["bytes"]
+
+
+def verified(spark: SparkSession, archive: str, manifest: str) -> DataFrame:
+    """Files of an archive whose manifest has the same ones; else an error, snapshot_manifest_mismatch."""
+    got = read_archives(spark, archive)
+    if not differences(got, read_manifest(spark, manifest)).isEmpty():
+        raise ValueError("snapshot_manifest_mismatch")
+    return got
+
+
+def loaded(entries: DataFrame, largest: int) -> DataFrame:
+    """entries (path, size, content, any others) with text and reason: why a file isn't chunked, by its name, bytes or content, or null.
+
+    The name's and the bytes' problems come before the content's; text is null where they have one.
+    """
+    problem = file_problem(F.col("path"), F.col("size"), F.col("content"), largest)
+    checked = entries.withColumn("reason", problem)
+    text = checked.withColumn("text", F.when(F.col("reason").isNull(), F.col("content").cast("string")))
+    return text.withColumn("reason", F.coalesce("reason", T.content_problem(F.col("text"))))

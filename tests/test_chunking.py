@@ -107,6 +107,28 @@ def test_archives(spark, tmp_path):
     assert snapshots.read_manifest(spark, f"{tmp_path}/m.json").collect()[0].path == "a"
 
 
+def test_manifests_are_published_and_verified(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.tar.gz").write_bytes(archive([("r/b.py", b"bb"), ("r/a.py", b"a"), ("r/c/d", b"")]))
+    for batch in (1, 16 << 20):  # members come in batches of any size
+        monkeypatch.setattr(snapshots, "BATCH", batch)
+        entries = snapshots.read_archives(spark, f"{tmp_path}/a.tar.gz")
+        assert snapshots.publish_manifest(entries, f"{tmp_path}/manifest") == (3, 3)
+    assert [(r.path, r["size"]) for r in snapshots.read_manifest(spark, f"{tmp_path}/manifest").collect()] == [("a.py", 1), ("b.py", 2), ("c/d", 0)]
+    assert snapshots.verified(spark, f"{tmp_path}/a.tar.gz", f"{tmp_path}/manifest").count() == 3
+    (tmp_path / "b.tar.gz").write_bytes(archive([("r/b.py", b"bx"), ("r/a.py", b"a"), ("r/c/d", b"")]))
+    with pytest.raises(ValueError, match="snapshot_manifest_mismatch"):
+        snapshots.verified(spark, f"{tmp_path}/b.tar.gz", f"{tmp_path}/manifest")
+    with pytest.raises(ValueError, match="empty_archive"):
+        snapshots.publish_manifest(entries.limit(0), f"{tmp_path}/none")
+
+
+def test_files_are_loaded_with_a_reason(spark):
+    rows = [("a.py", 3, b"abc"), ("../x", 1, b"a"), ("b", 1, b" "), ("c", 23, b"# Code generated by x.\n"), ("d", 2, b"\xff\xfe"), ("e", 5, b"abc"), ("f", None, None)]
+    got = {r.path: (r.text, r.reason) for r in snapshots.loaded(spark.createDataFrame(rows, "path string, size long, content binary"), 99).collect()}
+    assert got["a.py"] == ("abc", None) and got["b"] == (" ", "empty_file") and got["c"][1] == "generated_file"
+    assert [got[k] for k in ("../x", "d", "e")] == [(None, "unsafe_path"), (None, "invalid_utf8"), (None, "manifest_size_mismatch")] and got["f"][0] is None
+
+
 def test_file_problems(spark):
     rows = [("a.py", 3, b"abc"), ("../x", 1, b"a"), ("a\\b", 1, b"a"), ("", 0, b""), ("/x", 1, b"a"), ("b", 4, b"abc"), ("c", 2, b"\xff\xfe"), ("d", 9, b"123456789")]
     t = spark.createDataFrame(rows, "path string, size long, content binary")

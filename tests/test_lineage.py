@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunking, lineage, projections
+from corpusloom.operators import chunking, lineage, projections, relational, sourcecode
 from corpusloom.sources import snapshots
 
 
@@ -61,3 +61,21 @@ def test_routes_grades_fingerprints_and_blocks(spark):
     assert len(set(prints)) == 2 and all(len(x) == 64 for x in prints)
     docs = spark.createDataFrame([(1, "a\n\nb", "p"), (2, None, "p"), (3, "", "q")], "doc_id long, text string, path string")
     assert [(r.doc_id, r.block, r.line) for r in chunking.line_blocks(docs, "path").orderBy("doc_id", "block").collect()] == [(1, 0, "a"), (1, 1, ""), (1, 2, "b"), (3, 0, "")]
+
+
+def test_synchronized_dimensions(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "id long, name string")
+    new = spark.createDataFrame([(2, "B"), (3, "c"), (3, "c")], "id long, name string")
+    assert rows(relational.synchronized(old, new, ["id"])) == sorted([(2, "B", True), (3, "c", True), (1, "a", False), (None, "n", False)], key=str)
+    assert rows(relational.synchronized(old.limit(0), new, ["id"])) == [(2, "B", True), (3, "c", True)]
+
+
+def test_imports_and_entities_of_files(spark):
+    text = 'import "os"\nfrom x import y\ndef os_path(os):\nclass from_x\nuse Thing\n'
+    files = spark.createDataFrame([(1, text), (2, 'include <os>\n'), (3, None)], "doc_id long, text string")
+    found = sourcecode.file_imports(files)
+    assert rows(found) == [(1, 0, "os"), (1, 1, "from x import y"), (1, 2, "use Thing"), (2, 0, "os")]
+    assert rows(sourcecode.marked_imports(found, sourcecode.file_entities(files))) == [(1, 0, "os", True), (1, 1, "from x import y", False), (1, 2, "use Thing", False), (2, 0, "os", False)]
+    walked = spark.createDataFrame([(1, "class", 0, 9, "w"), (1, "type", 0, 9, "w"), (2, "class", 0, 9, "w")], "doc_id long, kind string, byte_start long, byte_end long, name string")
+    tagged = spark.createDataFrame([("t", 1, "class", 0, 9)], "name string, doc_id long, kind string, byte_start long, byte_end long")
+    assert rows(sourcecode.united_entities(tagged, walked)) == sorted([("t", 1, "class", 0, 9), ("w", 1, "type", 0, 9), ("w", 2, "class", 0, 9)], key=str)
