@@ -46,3 +46,34 @@ def totals_from(points: DataFrame, asked: DataFrame, value: str, sums: list[str]
     before = groups.unionByName(asked.select(*by, *zero)).groupBy(*by).agg(*(F.sum(F.coalesce(s, F.lit(0))).alias(s) for s in sums))
     before = before.select(*by, *(F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_{s}") for s in sums))
     return told.join(before, by).select(*by, value, *((F.col(s) - F.col(f"_{s}")).alias(s) for s in sums))
+
+
+def running_by_key(df: DataFrame, key: str, order: list[Column], how: str, value: str, name: str, at: list[str] = (), upto: int = 0) -> DataFrame:
+    """df with ``name``: the running sum, max or last value (not null) of ``value`` among its key's rows, up to and with each.
+
+    ``upto`` of -1 leaves the row itself out.
+    Rows are dealt by ranges of key and order, so a key that has most rows is spread over tasks; a range goes on with
+    what its first key had before, one row a range. No two rows of a key may tie. For ``last`` the order is that of the
+    columns ``at``, ascending. Null keys are one key.
+    """
+    spark = df.sparkSession
+    k, v = F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key")), F.col(value)
+    ordered = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(key).asc_nulls_first(), *order)
+    parts = stored(ordered.withColumn("_part", F.spark_partition_id()))
+    there = v.isNotNull()
+    whole = {"sum": F.sum(v), "max": F.max(v), "last": F.max_by(v, F.when(there, F.struct(*at))) if at else None}[how]
+    each = parts.groupBy("_part", k.alias("_k")).agg(whole.alias("_v"))
+    ends = each.groupBy("_part").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.max_by("_v", "_k").alias("v")).orderBy("_part").collect()
+    both = {"sum": lambda a, b: (a or 0) + (b or 0), "max": lambda a, b: b if a is None else a if b is None else max(a, b), "last": lambda a, b: a if b is None else b}[how]
+    carried, state = [], None
+    for r in ends:
+        goes_on = state is not None and state[0] == r["lo"]
+        carried.append((r["_part"], r["lo"]["key"], state[1] if goes_on else None))
+        state = (r["hi"], both(state[1], r["v"]) if goes_on and r["lo"] == r["hi"] else r["v"])
+    kinds = dict(each.select("_v", F.col("_k.key").alias("key")).dtypes)
+    carry = spark.createDataFrame(carried or [(-1, None, None)], f"_part int, _first {kinds['key']}, _carry {kinds['_v']}")
+    w = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    mine = {"sum": F.sum(v), "max": F.max(v), "last": F.last(v, ignorenulls=True)}[how].over(w)
+    before = F.when(F.col(key).eqNullSafe(F.col("_first")), F.col("_carry"))
+    joined = {"sum": F.coalesce(mine, F.lit(0)) + F.coalesce(before, F.lit(0)), "max": F.greatest(mine, before), "last": F.coalesce(mine, before)}[how]
+    return parts.join(F.broadcast(carry), "_part").withColumn(name, joined).drop("_part", "_first", "_carry")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranges import running_by_key
+
 
 def latest(df: DataFrame, key: list[str], *order: Column, n: int = 1) -> DataFrame:
     """The first n rows of each key in the given order."""
@@ -12,10 +14,16 @@ def latest(df: DataFrame, key: list[str], *order: Column, n: int = 1) -> DataFra
     return df.withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= n)
 
 
+def placed(df: DataFrame, key: str, *order: Column, name: str = "rn") -> DataFrame:
+    """df with each row's place among its key's rows, from 1; the order leaves no ties, and a busy key is spread over tasks."""
+    return running_by_key(df.withColumn("_one", F.lit(1)), key, list(order), "sum", "_one", name).drop("_one")
+
+
 def expired(df: DataFrame, key: list[str], *order: Column, keep: int = 2) -> DataFrame:
-    """The rows beyond the first ``keep`` of each key: what retention deletes."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") > keep)
+    """The rows beyond the first ``keep`` of each key: what retention deletes. The order leaves no ties."""
+    one = key[0] if len(key) == 1 else "_key"
+    rows = df if len(key) == 1 else df.withColumn("_key", F.struct(*key))
+    return placed(rows, one, *order).where(F.col("rn") > keep).drop("_key")
 
 
 def history_window(turns: DataFrame, max_messages: int = 12, max_chars: int = 12000) -> DataFrame:
@@ -108,21 +116,18 @@ def overlaps(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
 
 
 def nearest_before(points: DataFrame, events: DataFrame, key: str) -> DataFrame:
-    """For each point (key, id, at) the last event (key, event, time) at or before it, by one union and one window."""
+    """For each point (key, id, at) the last event (key, event, time) at or before it, in one order of both; a busy key is spread over tasks."""
     p = points.select(key, "id", F.col("at"), F.lit(None).cast("long").alias("event"), F.lit(1).alias("side"))
     e = events.select(key, F.lit(None).cast("long").alias("id"), F.col("time").alias("at"), "event", F.lit(0).alias("side"))
-    w = Window.partitionBy(key).orderBy("at", "side", "event").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(e).withColumn("last", F.last("event", ignorenulls=True).over(w))
+    by = ["at", "side", "event", "id"]
+    both = running_by_key(p.unionByName(e), key, [F.col(c).asc() for c in by], "last", "event", "last", by)
     return both.where("side = 1").select(key, "id", F.col("last").alias("event"))
 
 
 def nearest_after(points: DataFrame, events: DataFrame, key: str) -> DataFrame:
-    """For each point (key, id, at) the first event (key, event, time) at or after it."""
-    p = points.select(key, "id", F.col("at"), F.lit(None).cast("long").alias("event"), F.lit(0).alias("side"))
-    e = events.select(key, F.lit(None).cast("long").alias("id"), F.col("time").alias("at"), "event", F.lit(1).alias("side"))
-    w = Window.partitionBy(key).orderBy("at", "side", "event").rowsBetween(0, Window.unboundedFollowing)
-    both = p.unionByName(e).withColumn("next", F.first("event", ignorenulls=True).over(w))
-    return both.where("side = 0").select(key, "id", F.col("next").alias("event"))
+    """For each point (key, id, at) the first event (key, event, time) at or after it: the last one with time turned round."""
+    turned = nearest_before(points.withColumn("at", -F.col("at")), events.withColumns({"time": -F.col("time"), "event": -F.col("event")}), key)
+    return turned.withColumn("event", -F.col("event"))
 
 
 def top_level(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
@@ -130,6 +135,6 @@ def top_level(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
 
     With the widest first at each start, one is inside another exactly if an earlier one reaches as far.
     """
-    w = Window.partitionBy(key).orderBy(F.asc(lo), F.desc(hi)).rowsBetween(Window.unboundedPreceding, -1)
-    far = intervals.groupBy(key, lo, hi).agg(F.count(F.lit(1)).alias("copies")).withColumn("far", F.max(hi).over(w))
+    once = intervals.groupBy(key, lo, hi).agg(F.count(F.lit(1)).alias("copies"))
+    far = running_by_key(once, key, [F.asc(lo), F.desc(hi)], "max", hi, "far", upto=-1)
     return far.where(F.col("far").isNull() | (F.col("far") < F.col(hi))).drop("far")

@@ -235,8 +235,8 @@ def t11_sweep_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(nullif(lang, ''), 'zz'), strlen(text), doc_id) AS place FROM documents""")
 def t07_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("source").orderBy(F.coalesce(F.nullif("lang", F.lit("")), F.lit("zz")), F.octet_length("text"), "doc_id")
-    return read(spark, sf_dir, "documents").select("doc_id", F.row_number().over(order).cast("long").alias("place"))
+    files = read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.nullif("lang", F.lit("")), F.lit("zz")).alias("lang"), F.octet_length("text").alias("size"))
+    return R.placed(files, "source", F.asc("lang"), F.asc("size"), F.asc("doc_id"), name="place").select("doc_id", "place")
 
 
 # Identities and texts.

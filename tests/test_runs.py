@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bleu, evaluation, limits, needles, projections, ranges, retrieval
+from corpusloom.operators import bleu, evaluation, limits, needles, projections, ranges, relational, retrieval
 
 WORDS = "red green blue grey loom warp weft thread shuttle cloth".split()
 
@@ -211,3 +211,36 @@ def test_dense_search_in_blocks_equals_all_pairs(spark, monkeypatch):
         got = retrieval.rank_channel(retrieval.dense_top(v, q, 6), None, 6).collect()
         assert {i: [r.doc_id for r in sorted((r for r in got if r.item_id == i), key=lambda r: r.rank)] for i in want} == want
     assert retrieval.dense_top(v, q.limit(0), 6).count() == 0 and retrieval.dense_top(v.limit(0), q, 6).count() == 0
+
+
+def test_running_values_by_key_go_on_over_ranges(spark):
+    """One key has most rows, some have one, some are null; values of all kinds against plain loops."""
+    rng = random.Random(31)
+    rows = [(rng.choice([5, 5, 5, 5, 1, 2, 7, 8, None]), i, rng.choice([None, rng.randrange(50)])) for i in range(300)] + [(100 + i, 1000 + i, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, t long, v long").repartition(6)
+    for how, upto in (("sum", 0), ("max", 0), ("last", 0), ("max", -1), ("sum", -1)):
+        got = {r.t: r.out for r in ranges.running_by_key(df, "k", [F.col("t").asc()], how, "v", "out", ["t"], upto).collect()}
+        for key in {r[0] for r in rows}:
+            mine = sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
+            for i, (_, t, _) in enumerate(mine):
+                seen = [v for _, _, v in mine[: i + 1 + upto] if v is not None]
+                want = sum(seen) if how == "sum" else (max(seen) if how == "max" else seen[-1]) if seen else None
+                assert got[t] == want, (how, upto, key, t)
+    assert ranges.running_by_key(df.limit(0), "k", [F.col("t").asc()], "sum", "v", "out").count() == 0
+
+
+def test_places_and_nearest_events_of_a_busy_key(spark):
+    rng = random.Random(32)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), i, rng.randrange(400)) for i in range(400)]
+    df = spark.createDataFrame(rows, "key long, id long, at long")
+    order = {k: [r[1] for r in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], -r[1]))] for k in (1, 2, 3)}
+    got = {r.id: (r.key, r.rn) for r in relational.expired(df, ["key"], F.desc("at"), F.desc("id"), keep=3).collect()}
+    assert got == {i: (k, n) for k, ids in order.items() for n, i in enumerate(ids, 1) if n > 3}
+    events = [(rng.choice([1, 1, 2]), 1000 + i, rng.randrange(400)) for i in range(150)]
+    e = spark.createDataFrame(events, "key long, event long, time long")
+    before = {r.id: r.event for r in relational.nearest_before(df, e, "key").collect()}
+    after = {r.id: r.event for r in relational.nearest_after(df, e, "key").collect()}
+    for k, i, at in rows:
+        earlier = [(t, n) for c, n, t in events if c == k and t <= at]
+        later = [(t, n) for c, n, t in events if c == k and t >= at]
+        assert before[i] == (max(earlier)[1] if earlier else None) and after[i] == (min(later)[1] if later else None)
