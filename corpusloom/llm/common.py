@@ -67,8 +67,12 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", by: Sequenc
 
 def discard(df: DataFrame) -> None:
     """Delete a materialized table that no later step reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._corpusloom_path)
+    remove(df.sparkSession, df._corpusloom_path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, materialize, partitions, scratch, shared_dir, text_or_empty
+from corpusloom.llm.common import materialize, partitions, remove, scratch, shared_dir, text_or_empty
 
 #: What is stripped at both ends of a line: ASCII's space and \t to \r.
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -56,9 +56,7 @@ class LineRuns:
 
     def _drop(self, run: tuple[str, str]) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {run[0]}")
-        gone = self.spark.createDataFrame([], "x int")
-        gone._corpusloom_path = run[1]
-        discard(gone)
+        remove(self.spark, run[1])
 
     def _hashes(self, run: tuple[str, str]) -> DataFrame:
         return self.spark.table(run[0]).where("not seen").select(*HASH)
