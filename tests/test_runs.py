@@ -244,3 +244,18 @@ def test_places_and_nearest_events_of_a_busy_key(spark):
         earlier = [(t, n) for c, n, t in events if c == k and t <= at]
         later = [(t, n) for c, n, t in events if c == k and t >= at]
         assert before[i] == (max(earlier)[1] if earlier else None) and after[i] == (min(later)[1] if later else None)
+
+
+def test_only_small_tables_are_broadcast(spark, monkeypatch, capsys):
+    df = spark.createDataFrame([(i, "x" * 100, ["a"]) for i in range(50)], "k long, t string, a array<string>")
+
+    def hinted():
+        spark.range(9).withColumnRenamed("id", "k").join(retrieval.small(df), "k").explain("extended")
+        return "broadcast" in capsys.readouterr().out.split("Physical Plan")[0].lower()
+
+    assert hinted()
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 4000)
+    assert not hinted()
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 1 << 20)
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 49)
+    assert not hinted()
