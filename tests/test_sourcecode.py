@@ -8,7 +8,7 @@ import pytest
 from corpusloom.functions import languages
 from corpusloom.operators import chunking, sourcecode
 
-BLANKS = "\t\n\x0b\x0c\r \xa0                　﻿"
+BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 MODIFIERS = "pub public private protected static async export abstract final open internal".split()
 KEYWORDS = "class interface enum struct record trait module namespace function fn func def method sub proc procedure type impl entity architecture package component".split()
 IMPORTS = "import include require use using from with".split()
@@ -110,7 +110,7 @@ def plain_chunks(path, text, language, logical, o):
 PIECES = [
     "def alpha(a):\n", "    return {\n", "}\n", ")\n", "\n", "  \n", "\xa0\n", "class Beta { // [\n", "public static void type Gamma\n", "pub fn d1(\n", "import os\n",
     'from "x/y" import z\n', "using <vector>\n", "é漢😀 text\n", "word " * 9 + "\n", "no newline ", "DEF Up\n", "export  abstract\tclass\tTab$.x-y\n", "definition not\n",
-    "use\n", "used\n", "]]]\n", "((\n", "\r\n", "function 9no\n", "ſtruct x\n", "enum E { A }\r\n", "x" * 300 + "\n", "﻿impl Q\n",
+    "use\n", "used\n", "]]]\n", "((\n", "\r\n", "function 9no\n", "ſtruct x\n", "enum E { A }\r\n", "x" * 300 + "\n", "\ufeffimpl Q\n",
 ]
 
 
