@@ -54,7 +54,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.rank_channel(Q.bm25(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark")), _quality(spark, sf_dir), 32)
+    return Q.rank_channel(Q.keyword_top(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark"), 32, _quality(spark, sf_dir)), None, 32)
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
