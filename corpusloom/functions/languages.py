@@ -108,9 +108,9 @@ def _best(known: DataFrame, column: str, key: str) -> DataFrame:
 def code_signs(text: Column) -> Column:
     """How many of four signs of code a text shows: a declaration or an import in its first lines, brackets with ; : or =, a first line #!/."""
     space = f"[{SPACE}]"
-    head = F.slice(F.split(text, "\r?\n"), 1, SIGN_LINES)
+    head = F.slice(F.split(text, "\r?\n", SIGN_LINES + 1), 1, SIGN_LINES)
     shows = lambda pattern: F.exists(head, lambda line: line.rlike("(?i)" + pattern))
-    brackets = text.rlike(r"(?s)[({].*[)}]") & text.rlike("[;:=]")
+    brackets = text.rlike(r"^[^({]*+[({][^)}]*+[)}]") & text.rlike("[;:=]")
     first = text.rlike(f"^#![{SPACE}\\n]*/")
     return sum((c.cast("int") for c in (shows(import_pattern(space)), brackets, first)), shows(declaration_pattern(space)).cast("int"))
 
