@@ -29,9 +29,21 @@ SHAPED = [
 ENDINGS = [".py", ".zz", ".md", ".rs", "", ".h", "/Makefile", ".app.src", ".es", "/Dockerfile.x", "/readme.c"]
 
 
+#: SHAPED for Java, without looking at any character as often as its line is long: a match begins a line, or where the last one ended.
+_BEGINS = r"(?<![^\n])"
+_LINEAR = [
+    ("[.] ", ".\n"),
+    (_BEGINS + "([A-E][A-Za-z]*+) ([A-Za-z]++)", "def $2($1) {"),
+    (_BEGINS + r"([S-U][^\n]*+)", "$1 }"),
+    (_BEGINS + "(I[A-Za-z]*+) ", 'import "$1" '),
+    (_BEGINS + "(O[A-Za-z]*+ )", "\n$1"),
+    (rf"(?:\G|{_BEGINS})([^\n]{{240}})", "$1\n"),
+]
+
+
 def _shaped(text: Column) -> Column:
-    for pattern, put in SHAPED:
-        text = F.regexp_replace(text, pattern, put.replace("\\1", "$1").replace("\\2", "$2").replace("\\3", "$3"))
+    for pattern, put in _LINEAR:
+        text = F.regexp_replace(text, pattern, put)
     return text
 
 
@@ -260,7 +272,7 @@ def r13_corpus_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_FILES}, {_CHUNKS}, d AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS number, start, upto, regexp_extract(line, '{_DECLARES}', 2) AS name FROM marked WHERE declares)
 SELECT d.doc_id, k AS chunk_index, number, name, upto > hi AS partial FROM d JOIN chunk ON chunk.doc_id = d.doc_id AND start >= lo AND start < hi""")
 def j25_chunk_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = source_files(spark, sf_dir)
+    files = stored(source_files(spark, sf_dir))
     known = files.select("*", F.lit("zz").alias("language_id"), F.lit(None).cast("string").alias("grammar"), F.lit("heuristic").alias("detected_by"))
     return P.chunk_entities(S.chunk_sources(known), S.file_entities(files)).select("doc_id", "chunk_index", "number", "name", "partial")
 
@@ -287,7 +299,7 @@ _IMPORTS = rf"(?i)^{_WS}*(?:{'|'.join(L.IMPORTING)})\b"
 w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_extract(line, '{_DECLARES}', 2) || ' ' || left(trim(line, {_BLANKS}), 240), '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM marked WHERE declares)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS number, name, w.name IS NOT NULL AS used FROM im LEFT JOIN w USING (doc_id, name)""")
 def j24_marked_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = source_files(spark, sf_dir)
+    files = stored(source_files(spark, sf_dir))
     return S.marked_imports(S.file_imports(files), S.file_entities(files))
 
 
@@ -296,7 +308,7 @@ k AS (SELECT doc_id, byte_start, byte_end, name, {_KIND} AS kind FROM d)
 SELECT doc_id, byte_start, byte_end, kind, CASE WHEN byte_start % 2 = 0 THEN 'tagged' ELSE 'walked' END AS origin FROM k""")
 def j23_united_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that two finders tell: one has those at even places, the other all."""
-    known = S.file_entities(source_files(spark, sf_dir)).select("doc_id", "byte_start", "byte_end", "kind")
+    known = stored(S.file_entities(source_files(spark, sf_dir)).select("doc_id", "byte_start", "byte_end", "kind"))
     tagged = known.where("byte_start % 2 = 0").withColumn("origin", F.lit("tagged"))
     return S.united_entities(tagged, known.withColumn("origin", F.lit("walked")))
 

@@ -24,9 +24,9 @@ _DECLARATION = re.compile(L.declaration_pattern(SPACE.decode("latin-1")).encode(
 _IMPORT = re.compile(L.import_pattern(SPACE.decode("latin-1")).encode("latin-1"), re.I | re.M)
 _QUOTED = re.compile("""["'<]([^"'>]+)["'>]""")
 _TRIM = "\t\n\x0b\x0c\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
-_OPEN, _CLOSE = np.zeros(256, np.int64), np.zeros(256, np.int64)
-_OPEN[list(b"({[")] = 1
-_CLOSE[list(b")}]")] = 1
+_NET = np.zeros(256, np.int8)
+_NET[list(b"({[")] = 1
+_NET[list(b")}]")] = -1
 #: What an entity's kind is called; other declaring words declare functions.
 KINDS = dict.fromkeys("class struct record module namespace trait impl entity architecture package component".split(), "class") | {k: k for k in ("interface", "enum", "type", "method")}
 #: Characters (UTF-16 units) kept of a signature and of an import that names nothing in quotes.
@@ -52,7 +52,9 @@ def line_ends(raw: np.ndarray) -> np.ndarray:
 
 def depths(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Depth of brackets behind each line: it moves by the line's openings less closings, but never under 0."""
-    total = np.concatenate([[0], np.cumsum(_OPEN[raw] - _CLOSE[raw])])[ends]
+    net = _NET[raw]
+    places = np.flatnonzero(net)
+    total = np.concatenate([[0], np.cumsum(net[places], dtype=np.int64)])[np.searchsorted(places, ends)]
     return total - np.minimum(np.minimum.accumulate(total), 0)
 
 
@@ -90,14 +92,14 @@ def entities(data: bytes, raw: np.ndarray) -> Entities:
     found = list(_DECLARATION.finditer(data))
     starts = np.array([m.start() for m in found], np.int64)
     upto = ends[np.searchsorted(ends, starts, "right")] if found else starts
-    line = lambda m: data[m.start() : ends[np.searchsorted(ends, m.start(), "right")]].decode().strip(_TRIM)
+    lines = lambda lo, hi: [data[x:y].decode().strip(_TRIM) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+    imported = np.array([m.start() for m in _IMPORT.finditer(data)], np.int64)
     imports = []
-    for m in _IMPORT.finditer(data):
-        text = line(m)
+    for text in lines(imported, ends[np.searchsorted(ends, imported, "right")]):
         quoted = _QUOTED.search(text)
         imports.append(quoted[1] if quoted else _cut(text, IMPORTED))
     kinds = [KINDS.get(m[1].decode().lower(), "function") for m in found]
-    return Entities(starts, upto, [m[2].decode() for m in found], kinds, [_cut(line(m), SIGNATURE) for m in found], imports)
+    return Entities(starts, upto, [m[2].decode() for m in found], kinds, [_cut(x, SIGNATURE) for x in lines(starts, upto)], imports)
 
 
 def overlap_start(data: bytes, lo: int, hi: int, target: int) -> int:
