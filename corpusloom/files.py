@@ -212,7 +212,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT d.item_id, min(rank) AS target_rank, round(coalesce(1.0 / min(rank), 0.0), 6) AS reciprocal_rank
 FROM d LEFT JOIN (SELECT ranked.*, doc_id, line_start, line_end FROM ranked JOIN chunk ON id = doc_id * 100000 + k) r ON r.item_id = d.item_id AND r.doc_id = d.item_id AND line_start <= i AND line_end >= i GROUP BY d.item_id""")
 def j15_target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = source_files(spark, sf_dir)
+    files = stored(source_files(spark, sf_dir))
     known = files.select("*", F.lit("zz").alias("language_id"), F.lit(None).cast("string").alias("grammar"), F.lit("heuristic").alias("detected_by"))
     source = read(spark, sf_dir, "documents").select("doc_id", "source")
     paths = files.select("doc_id", "path").join(source, "doc_id")
@@ -221,10 +221,11 @@ def j15_target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = S.file_entities(files).where("number = 0")
     lines = first.join(files, "doc_id").join(source, "doc_id")
     row = F.size(F.split(F.decode(F.substring(F.encode("text", "UTF-8"), F.lit(1), F.col("byte_start").cast("int")), "UTF-8"), "\n")).cast("long")
-    targets = lines.select("source", F.col("doc_id").alias("item_id"), "path", F.col("signature").alias("text"), row.alias("start_line"), row.alias("end_line"))
-    hits = Q.top(Q.bm25(corpus, targets, by=["source"]).drop("source"), 32, F.desc("score"), F.asc("doc_id"))
-    ranked = hits.join(corpus.select("doc_id", "path", "start_line", "end_line"), "doc_id")
-    return Q.target_rank(ranked, targets)
+    targets = stored(lines.select("source", F.col("doc_id").alias("item_id"), "path", F.col("signature").alias("text"), row.alias("start_line")))
+    goal = targets.select("source", "item_id", "path", F.col("start_line").alias("line"))
+    holds = (F.col("start_line") <= F.col("line")) & (F.col("end_line") >= F.col("line"))
+    goals = goal.join(corpus.drop("text", "meta"), ["source", "path"]).where(holds).select("source", "item_id", "doc_id")
+    return Q.best_goal_ranks(corpus, targets, goals, ["source"])
 
 
 def _conversation_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
