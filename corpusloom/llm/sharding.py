@@ -11,7 +11,7 @@ quota, so row counts differ by one at most and no linked document is moved again
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import global_rank, materialize, scratch
@@ -29,29 +29,36 @@ def cut_links(members: DataFrame) -> int:
     return int(pairs.agg(F.sum("cut")).first()[0] or 0)
 
 
-def _wishes(members: DataFrame, room: DataFrame, quota: int, r: int) -> DataFrame:
-    """v, shard, to, gain of the documents that would rather be in another shard.
+def _wishes(members: DataFrame, room: list[int], quota: int, r: int, alone: bool) -> DataFrame:
+    """v, shard, to, gain of the documents that would rather be in another shard; alone: each is in one group only.
 
     A label's score is the sum over the document's groups of the share of the group's other members that have it; ties
     go by a hash of group, label and round, so that a group's members agree. Half of the documents ask in a round, so
     that neighbours don't only change places.
     """
-    tally = members.groupBy("group", "c", "shard").agg(F.count(F.lit(1)).alias("n"))
-    luck = F.pmod(F.xxhash64("group", "to", F.lit(r)), F.lit(1 << 20)) / F.lit(4.0 * (1 << 20)) / F.col("c")
-    tally = tally.withColumnRenamed("shard", "to").join(F.broadcast(room.withColumnRenamed("shard", "to")), "to")  # one row a shard
-    value = F.col("n") / (F.col("c") - 1) * (1 + F.col("room") / (4.0 * max(quota, 1))) + luck
+    # A group's tally is one row, its counts by shard, so it takes one shuffle and needs no join with the shards.
+    tally = members.groupBy("group", "c").agg(F.array(*[F.count_if(F.col("shard") == k) for k in range(len(room))]).alias("n"))
+
+    def value(n: Column, to: Column) -> Column:
+        luck = F.pmod(F.xxhash64("group", to, F.lit(r)), F.lit(1 << 20)) / F.lit(4.0 * (1 << 20)) / F.col("c")
+        free = F.get(F.array(*[F.lit(x).cast("long") for x in room]), to)
+        return n / (F.col("c") - 1) * (1 + free / (4.0 * max(quota, 1))) + luck
+
+    held = F.transform("n", lambda n, to: F.struct(to.alias("to"), n.alias("n")))
+    held = F.filter(held, lambda e: e["n"] > 0)
     # At most ``shards`` labels a group; a group with very many members is joined in several tasks.
     salts = F.ceil(F.col("c") / PER_TASK)
-    tally = tally.groupBy("group", "c").agg(F.collect_list(F.struct("to", value.alias("value"))).alias("values"))
+    tally = tally.select("group", "c", F.transform(held, lambda e: F.struct(e["to"].alias("to"), value(e["n"], e["to"]).alias("value"))).alias("values"))
     tally = tally.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("c")
     asking = members.where(F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2)) == 0).withColumn("salt", F.pmod(F.xxhash64("v"), salts))
     asked = asking.join(tally, ["group", "salt"]).withColumn("self", 1 / (F.col("c") - 1))
-    one = asked.where("groups = 1").select("v", "shard", "values", "self")
-    several = asked.where("groups > 1")
-    labels = several.select("v", F.explode("values").alias("e")).groupBy("v", "e.to").agg(F.sum("e.value").alias("value"))
-    labels = labels.groupBy("v").agg(F.collect_list(F.struct("to", "value")).alias("values"))  # at most one a shard
-    several = several.groupBy("v", "shard").agg(F.sum("self").alias("self")).join(labels, "v").select("v", "shard", "values", "self")
-    scored = one.unionByName(several)
+    scored = asked.where("groups = 1").select("v", "shard", "values", "self")
+    if not alone:
+        several = asked.where("groups > 1")
+        labels = several.select("v", F.explode("values").alias("e")).groupBy("v", "e.to").agg(F.sum("e.value").alias("value"))
+        labels = labels.groupBy("v").agg(F.collect_list(F.struct("to", "value")).alias("values"))  # at most one a shard
+        several = several.groupBy("v", "shard").agg(F.sum("self").alias("self")).join(labels, "v").select("v", "shard", "values", "self")
+        scored = scored.unionByName(several)
     others = F.transform(F.filter("values", lambda e: e["to"] != F.col("shard")), lambda e: F.struct(e["value"].alias("value"), e["to"].alias("to")))
     home = F.aggregate("values", F.lit(0.0), lambda s, e: s + F.when(e["to"] == F.col("shard"), e["value"]).otherwise(0.0)) - F.col("self")
     wish = scored.select("v", "shard", F.array_max(others).alias("best"), home.alias("home")).where("best.value > home")
@@ -90,27 +97,32 @@ def propagate(members: DataFrame, shards: int, quota: int, rounds: int = 12, cut
     No shard gets over quota by moves. A list given as ``cuts`` gets the number of cut links before the first and after
     each round. Rounds end early when less than one in SETTLED linked documents moved.
     """
-    n_members = members.count()
+    # A document has one row for each of its groups. The numbers a shard has are known from then on, by its moves.
+    load = members.groupBy("shard", "groups").agg(F.count(F.lit(1)).alias("n")).groupBy("shard")
+    load = load.agg(F.sum("n").alias("n"), F.sum(F.expr("n div groups")).alias("load"), F.max("groups").alias("most")).collect()  # one row a shard
+    n_members, alone = sum(x["n"] for x in load), all(x["most"] == 1 for x in load)
+    at = {k: 0 for k in range(shards)} | {x["shard"]: x["load"] for x in load}
     if cuts is not None:
         cuts.append(cut_links(members))
+    cell = F.col("shard") * shards + F.col("to")
+    first = Window.partitionBy("shard", "to").orderBy(F.desc("gain"), F.xxhash64("v"), "v")
     for r in range(rounds):
-        load = members.dropDuplicates(["v"]).groupBy("shard").agg(F.count(F.lit(1)).alias("load"))
-        every = members.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-        room = every.join(F.broadcast(load), "shard", "left").select("shard", F.greatest(F.lit(quota) - F.coalesce("load", F.lit(0)), F.lit(0)).alias("room"))
-        left = {x["shard"]: x["room"] for x in room.collect()}  # one row a shard
-        wishes = materialize(_wishes(members, room, quota, r), f"wishes{r}")
-        asked = {(x["shard"], x["to"]): x["n"] for x in wishes.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}  # one a pair of shards
-        admitted = [(s, t, n) for (s, t), n in _admitted(asked, left).items()]
+        left = {k: max(quota - n, 0) for k, n in at.items()}
+        wishes = _wishes(members, [left[k] for k in range(shards)], quota, r, alone)
+        wishes = materialize(wishes.select("v", "shard", "to", F.row_number().over(first).alias("n")), f"wishes{r}")
+        asked = {(x["shard"], x["to"]): x["n"] for x in wishes.groupBy("shard", "to").agg(F.max("n").alias("n")).collect()}  # one a pair of shards
+        admitted = _admitted(asked, left)
         if not admitted:
             break
-        fits = members.sparkSession.createDataFrame(admitted, "shard int, to int, admitted long")
-        first = Window.partitionBy("shard", "to").orderBy(F.desc("gain"), F.xxhash64("v"), "v")
-        moves = wishes.withColumn("n", F.row_number().over(first)).join(F.broadcast(fits), ["shard", "to"]).where("n <= admitted").select("v", "to")
-        moved = members.join(moves, "v", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
-        members = materialize(moved, f"labels{r}")
+        most = F.array(*[F.lit(admitted.get((k, t), 0)) for k in range(shards) for t in range(shards)])
+        moves = wishes.where(F.col("n") <= F.get(most, cell)).select("v", "to")
+        members = materialize(members.join(moves, "v", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), f"labels{r}")
+        for (k, t), n in admitted.items():
+            at[k] -= n
+            at[t] += n
         if cuts is not None:
             cuts.append(cut_links(members))
-        if SETTLED * sum(n for *_, n in admitted) < n_members:
+        if SETTLED * sum(admitted.values()) < n_members:
             break
     return members
 
