@@ -6,9 +6,10 @@ candidates. A candidate pair is first judged by a likelihood over the counts of
 then confirmed on the full shingle sets.
 
 Texts with equal sets form one class. In a band's bucket every class is compared with one hub, the class that shares
-most buckets; classes that are still in different components are then described by their differences from the group's
-center, and meet by those (see _across). A group of near copies thus costs some rows a member, and no link between
-components is lost.
+most buckets. Classes that buckets connect, directly or not, are one group, so each class is in one group only. Its
+classes that are still in different components are then described by their differences from the group's center, and
+meet by those (see _across). A group of near copies thus costs some rows a member, and no link between components is
+lost.
 """
 
 from __future__ import annotations
@@ -142,35 +143,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in pieces(batches, "set_a"):
             good = []
             for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-                x, y = (np.frombuffer(v, np.uint64).reshape(-1, 2) for v in (x, y))
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y[:, 0], x[:, 0]), len(y) - 1)
-                both = int((y[at] == x).all(axis=1).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+                x, y = (np.frombuffer(v, np.uint64).reshape(2, -1) for v in (x, y))
+                x, y = (x, y) if x.size <= y.size else (y, x)
+                at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+                both = int((y[:, at] == x).all(axis=0).sum())
+                good.append(100 * both >= percent * (len(x[0]) + len(y[0]) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    a = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
+    a = sets.select(F.col("key").alias("a"), F.concat("set", "again").alias("set_a"))
+    b = sets.select(F.col("key").alias("b"), F.concat("set", "again").alias("set_b"))
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a binary, b binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int, lanes: int = 2) -> DataFrame:
-    """key, set of the wanted classes (key, doc_id, mark), made anew from that document's whole text.
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """key, set, again of the wanted classes (key, doc_id, mark), made anew from that document's whole text.
 
-    A set is packed as ``lanes`` 64-bit hashes a shingle, in order.
+    set is packed as a 64-bit hash a shingle, in order, and again as a second hash of each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            *values, offs = shingles(*buffers(b.column("text")), size, lanes)
-            packed = np.stack(values, axis=1)
-            sets = [packed[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)]
+            *values, offs = shingles(*buffers(b.column("text")), size, 2)
+            packed = [pa.array([v[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)], pa.binary()) for v in values]
             own = [k == m for k, m in zip(b.column("key").to_pylist(), set_keys(values[0], offs), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.binary())], ["key", "set"]).filter(pa.array(own, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("key"), *packed], ["key", "set", "again"]).filter(pa.array(own, pa.bool_()))
 
     w = wanted.select("key", F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"))
     mine = _rows(docs).join(w, (F.col("mark") == F.col("w_mark")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    return mine.select("key", "text").mapInArrow(run, "key binary, set binary").dropDuplicates(["key"])
+    return mine.select("key", "text").dropDuplicates().mapInArrow(run, "key binary, set binary, again binary")
 
 
 def _from_hub(big: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def _from_hub(big: DataFrame, sets: DataFrame) -> DataFrame:
     named = F.max(F.when(F.col("key") == F.col("gid"), F.col("key")))
     hubs = big.groupBy("gid").agg(F.coalesce(named, F.min("key")).alias("hub"), F.first("c").alias("c"))
     salts = F.ceil(F.col("c") / PER_TASK)
-    left = big.join(sets, "key").withColumn("salt", F.pmod(F.xxhash64("key"), salts))
+    left = big.join(sets.select("key", "set"), "key").withColumn("salt", F.pmod(F.xxhash64("key"), salts))
     right = hubs.join(sets.select(F.col("key").alias("hub"), F.col("set").alias("hub_set")), "hub")
     right = right.select("gid", "hub_set", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
 
@@ -266,7 +266,8 @@ def _by_difference(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFram
 
     All members that can be linked without a common difference are linked to the nearest one. Any other link needs as
     many common differences as far and slack tell, or as many common own shingles as a member's size tells; so it is
-    found by the first of each member's, in an order with own ones first and rare ones before others (prefix filter).
+    found by the first of each member's, in an order with own ones first, of these rare ones before others, and lacks by
+    their hash (prefix filter): only so many lacks as may be among the first are made rows.
     Of a pair the one nearer to the center may be met by still fewer, as the other is at least as far. Where the first
     common difference isn't rare, members meet by two, or by one if one is enough.
     """
@@ -285,13 +286,16 @@ def _by_difference(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     each = placed.withColumns(cols).where("shown > 0")
     names = ["gid", "key", "root", "far", "slack", "least", *cols]
     own = each.select(*names, F.lit(0).alias("kind"), F.explode("own").alias("s"))
-    lacks = each.where(F.col("shown2") > F.size("own")).select(*names, F.lit(1).alias("kind"), F.explode("lacks").alias("s"))
+    # Most members of a large group lack something common, so an order of lacks by rareness would gain little.
+    hashed = F.array_sort(F.transform("lacks", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s"))))
+    left = (F.col("shown2") - F.size("own")).cast("int")
+    lacks = each.where(left > 0).withColumn("lacks", F.slice(hashed, 1, F.greatest(left, F.lit(0)))["s"]).select(*names, F.lit(1).alias("kind"), F.explode("lacks").alias("s"))
     each = materialize(own.unionByName(lacks), "each")
     often = F.count(F.lit(1)).over(Window.partitionBy("gid", "s"))  # as many rows as the group has members, at most
     met = each.withColumn("often", often).withColumn("rare", F.col("often") <= RARE)
-    # Rare ones by how often they are; others in no order, so that shingles of one place don't follow each other. What
-    # a member alone has leads nowhere, but takes its place before the others of its kind.
-    order = Window.partitionBy("gid", "key").orderBy("kind", F.when(F.col("rare"), F.col("often")).otherwise(RARE + 1), F.xxhash64("s"), "s")
+    # Rare own ones by how often they are; others in no order, so that shingles of one place don't follow each other. An
+    # own one that a member alone has leads nowhere, but takes its place before the others.
+    order = Window.partitionBy("gid", "key").orderBy("kind", F.when(F.col("rare") & (F.col("kind") == 0), F.col("often")).otherwise(RARE + 1), F.xxhash64("s"), "s")
     met = met.withColumn("place", F.row_number().over(order)).where("often > 1 and place <= shown2")
     met = materialize(met.select("gid", "s", "key", "root", "far", "slack", "least", *cols, "rare", "place"), "shown")
     by_one = met.where("place <= shown").withColumn("first", F.col("place") <= F.col("first"))
@@ -315,15 +319,15 @@ def _by_difference(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     return pairs, None
 
 
-def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs a, b of a hub's members in different components that can still be linked; no link between components is left out.
+def _across(groups: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of a group's members (gid, key) in different components that can still be linked; no link between components is left out.
 
     In a group of up to DIRECT members all such pairs come. A larger one is described by its center and by what each
     member has otherwise: members near the center meet its nearest one, and the others meet by differences they have in
     common. Where members have very many of these with others, the step is repeated on the members that have one in
     common: at most half of the group, so there are few repetitions.
     """
-    groups, out = members.select(F.col("hub").alias("gid"), "key"), []
+    out = []
     while True:
         rooted = groups.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         mixed = rooted.groupBy("gid").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -335,8 +339,6 @@ def _across(docs: DataFrame, reps: DataFrame, members: DataFrame, label: DataFra
         big = live.where(F.col("c") > DIRECT)
         if big.isEmpty():
             break
-        wanted = reps.select("key", "doc_id", "mark").join(big.select("key").distinct(), "key")
-        sets = materialize(_sets(docs, wanted, size, 1), "members")
         differ = materialize(_from_hub(big, sets), "differences")
         placed = materialize(_nearest(materialize(_from_center(differ, percent), "centered")), "placed")
         # Members so near to the center are linked, whatever they have in common otherwise.
@@ -368,13 +370,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sketched = materialize(sketch(docs, size), "sketches")
-    groups = sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    groups = materialize(groups, "classes")
-    reps = (
-        sketched.alias("s").join(groups.alias("g"), (F.col("s.key") == F.col("g.key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-        .dropDuplicates(["doc_id", "mark"]).select("s.*").dropDuplicates(["key"])
-    )
-    reps = materialize(reps, "reps")
+    # Equal sets have equal registers and bands, so any row of a class gives these.
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("rep")
+    alike = [F.first(c).alias(c) for c in ("n_shingles", "regs", "bands")]
+    reps = sketched.where("key is not null").groupBy("key").agg(rep, *alike)
+    reps = materialize(reps.select("key", "rep.doc_id", "rep.mark", "n_shingles", "regs", "bands"), "reps")
     buckets = reps.select("key", F.explode("bands").alias("bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = materialize(buckets.join(crowded, "bucket"), "buckets")
@@ -383,6 +383,8 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     hubs = famed.groupBy("bucket").agg(F.max(F.struct("fame", "key"))["key"].alias("hub"))
     members = materialize(shared.join(hubs, "bucket").select("hub", "key").distinct(), "members")
     star = members.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    wanted = reps.select("key", "doc_id", "mark").join(members.select("key").distinct(), "key")
+    sets = materialize(_sets(docs, wanted, size), "sets")
     regs = reps.select("key", "n_shingles", "regs")
     left = regs.select(F.col("key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"))
     right = regs.select(F.col("key").alias("b"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b"))
@@ -390,17 +392,16 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = materialize(_likely(pairs.join(left, "a").join(right, "b").where(fits), percent / 100), "likely")
-        used = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-        sets = materialize(_sets(docs, reps.select("key", "doc_id", "mark").join(used, "key"), size), "sets")
         return materialize(_confirmed(near, sets, percent), "links")
 
     links = verify(star)
     label = components(links)
-    more = _across(docs, reps, members, label, size, percent)
+    groups = components(star).select(F.col("root").alias("gid"), F.col("node").alias("key"))
+    more = _across(groups, sets, label, percent)
     links = verify(more.join(star, ["a", "b"], "left_anti"))
     # Components so far are stars already, so that only what joins them takes rounds.
     roots = label if links.isEmpty() else components(label.toDF("a", "b").unionByName(links))
-    ids = groups.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    ids = reps.select("key", F.col("doc_id").alias("rep")).join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = ids.join(lowest, "root").select("key", "component_id")
     out = sketched.select("doc_id", "n_shingles", "key").join(final, "key", "left")
