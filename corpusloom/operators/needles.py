@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.bleu import bleu
+from corpusloom.operators.stages import stored
 
 
 def _words(text: Column) -> Column:
@@ -50,7 +51,8 @@ def possible_pairs(answers: DataFrame, needles: DataFrame, by: list[str]) -> Dat
     a = split(answers, "_a").select(*by, "item_id", F.col("text").alias("answer"), "_a", "_a2")
     n = split(needles, "_n").select(*by, "place", "name", F.col("text").alias("needle"), "_n", "_n2")
     bound = bleu_bound(*map(F.col, ("_a", "_n", "_a2", "_n2")))
-    pairs = a.join(n, by).withColumn("bound", bound).drop("_a", "_n", "_a2", "_n2").where("bound > 0")
+    keys = a.join(n, by).withColumn("bound", bound).where("bound > 0").select(*by, "item_id", "place", "name", "answer", "needle", "bound")
+    pairs = stored(keys)  # read twice, and bounds are the most of the work
     top = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("bound").desc(), F.col("place").asc()))
     best = pairs.withColumn("_n", top).where("_n = 1").select("item_id", bleu("answer", "needle").alias("first"))
     return pairs.join(best, "item_id").where("bound >= first")
