@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Spark's own setting: a query's shuffle files are removed when it ends; lost ones are made again by stage retries.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, batches for Python hold so much; a batch stands in the executor and in its Python worker.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,12 +54,15 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", by: Sequenc
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    held = {CLEANUP: "true", BATCH[0]: BATCH[1]}
+    before = {k: spark.conf.get(k) for k in held}
     try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
         df.write.option("compression", compression).partitionBy(*by).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     if _scratch:

@@ -35,8 +35,10 @@ SLACK = 0.22
 ALL_PAIRS = 8
 #: Members of a block on average, and their shingles, at most; a task holds two blocks.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
+#: Bytes of text that are hashed at once; a task's arrays take some fifty times as much.
+PIECE = 1 << 19
 #: Pairs of a block's members whose differences in common are counted at once, and how many of these.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Pairs whose likelihoods are computed at once; bounds a task's memory.
 GRID_PAIRS = 1024
 
@@ -104,7 +106,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     rows = _rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             values, offs = shingles(*buffers(b.column("text")), size)
             n, keys, regs = np.diff(offs), set_keys(values, offs), registers(values, offs)
             bands = np.zeros((n.size, BANDS), np.uint64)
@@ -166,7 +168,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             *values, offs = shingles(*buffers(b.column("text")), size, 2)
             packed = [pa.array([v[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)], pa.binary()) for v in values]
             own = [k == m for k, m in zip(b.column("key").to_pylist(), set_keys(values[0], offs), strict=True)]
