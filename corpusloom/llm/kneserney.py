@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize, pieces, scratch
+from corpusloom.llm.tokens import forget
 
 ORDER = 4
 #: Trusted ids (8 bytes each) up to so many are sent to the tasks.
@@ -54,6 +55,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     """key, n: the n-grams of all texts with their numbers, counted within a task's pieces first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in pieces(batches, "text", 1 << 20):
             keys, _ = _grams(b.column("text").to_pylist())
             code, uniques = pd.factorize(keys)
@@ -121,6 +123,7 @@ def _packed(docs: DataFrame, parts: int) -> DataFrame:
     named = docs.withColumn("part_", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, size = {}, 0
 
         def blocks() -> Iterator[pa.RecordBatch]:
@@ -164,6 +167,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     blocks = _packed(base, max(1, -(-total // PART_BYTES)))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = {}  # of the few parts that a task has
         for b in batches:
             for p, rows in zip(b.column("part").to_pylist(), b.column("rows"), strict=True):
@@ -182,6 +186,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     dealt = both.repartition("part").sortWithinPartitions("part", F.col("logp").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         part, keys, values, held = None, None, None, []
         for b in batches:
             parts, new = b.column("part").to_numpy(), b.column("logp").is_valid().to_numpy(zero_copy_only=False)
