@@ -54,11 +54,11 @@ def _shaped_sql() -> str:
     return out
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, path, text: documents as source files."""
+def source_files(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id, path, text: documents as source files; and more of their columns."""
     ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS) + 1).cast("int"))
     path = F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.lit("/f"), F.col("doc_id").cast("string"), ending)
-    return read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), _shaped(F.col("text")).alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), _shaped(F.col("text")).alias("text"), *more)
 
 
 _FILES = f"""files AS (SELECT doc_id, 'src/' || source || '/' || lang || '/f' || doc_id ||
@@ -212,20 +212,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT d.item_id, min(rank) AS target_rank, round(coalesce(1.0 / min(rank), 0.0), 6) AS reciprocal_rank
 FROM d LEFT JOIN (SELECT ranked.*, doc_id, line_start, line_end FROM ranked JOIN chunk ON id = doc_id * 100000 + k) r ON r.item_id = d.item_id AND r.doc_id = d.item_id AND line_start <= i AND line_end >= i GROUP BY d.item_id""")
 def j15_target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = stored(source_files(spark, sf_dir))
-    known = files.select("*", F.lit("zz").alias("language_id"), F.lit(None).cast("string").alias("grammar"), F.lit("heuristic").alias("detected_by"))
-    source = read(spark, sf_dir, "documents").select("doc_id", "source")
-    paths = files.select("doc_id", "path").join(source, "doc_id")
-    chunks = stored(S.chunk_sources(known).select("doc_id", "chunk_index", "line_start", "line_end", F.col("chunk").alias("text")).join(paths, "doc_id"))
-    corpus = chunks.select("source", (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("doc_id"), "text", F.col("path").alias("meta"), "path", F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"))
-    first = S.file_entities(files).where("number = 0")
-    lines = first.join(files, "doc_id").join(source, "doc_id")
-    row = F.size(F.split(F.decode(F.substring(F.encode("text", "UTF-8"), F.lit(1), F.col("byte_start").cast("int")), "UTF-8"), "\n")).cast("long")
-    targets = stored(lines.select("source", F.col("doc_id").alias("item_id"), "path", F.col("signature").alias("text"), row.alias("start_line")))
-    goal = targets.select("source", "item_id", "path", F.col("start_line").alias("line"))
-    holds = (F.col("start_line") <= F.col("line")) & (F.col("end_line") >= F.col("line"))
-    goals = goal.join(corpus.drop("text", "meta"), ["source", "path"]).where(holds).select("source", "item_id", "doc_id")
-    return Q.best_goal_ranks(corpus, targets, goals, ["source"])
+    chunks = S.target_chunks(source_files(spark, sf_dir, "source"), ["source"])
+    place = F.col("doc_id") * 100000 + F.col("chunk_index")
+    target = F.when(F.col("asked").isNotNull(), F.col("doc_id"))
+    corpus = chunks.select("source", place.alias("doc_id"), "text", F.col("path").alias("meta"), target.alias("item_id"), "asked", F.when(F.col("path").isNotNull(), place).alias("goal"))
+    blocks = stored(Q.term_blocks(corpus, ["source"]))
+    asked = blocks.select(F.get_json_object("corpus", "$.source").alias("source"), F.explode("asked").alias("a"))
+    questions = asked.select("source", "a.item_id", "a.text")
+    return Q.goal_ranks(blocks, questions, asked.select("source", "a.item_id", F.col("a.goal").alias("doc_id")), ["source"])
 
 
 def _conversation_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

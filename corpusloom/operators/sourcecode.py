@@ -243,6 +243,31 @@ def chunk_sources(files: DataFrame, options: Options | None = None, budget: int
     return rows.mapInArrow(run, SCHEMA)
 
 
+def target_chunks(files: DataFrame, keep: list[str], most: int = 1024) -> DataFrame:
+    """Chunks of files by their blocks (see ``chunk_sources``), without context: keep (strings), path, doc_id, chunk_index, text, asked.
+
+    asked is the signature of the file's first declaration, in the chunk that holds it; null in all others.
+    """
+    schema = ", ".join([*(f"{c} string" for c in keep), "path string, doc_id long, chunk_index long, text string, asked string"])
+
+    def each(b: pa.RecordBatch, i: int, data: bytes) -> list[list]:
+        raw = np.frombuffer(data, np.uint8)
+        cuts = packed_cuts(raw, block_ends(data, raw), most)
+        first, asked = _DECLARATION.search(data), [None] * (cuts.size - 1)
+        if first:
+            end = data.find(b"\n", first.start())
+            line = data[first.start() : end if end >= 0 else len(data)].decode().strip(_TRIM)
+            asked[int(np.searchsorted(cuts, first.start(), "right")) - 1] = _cut(line, SIGNATURE)
+        texts = [data[lo:hi].decode("utf-8", "replace") for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        same = [[b.column(c)[i].as_py()] * len(texts) for c in (*keep, "path", "doc_id")]
+        return [*same, list(range(len(texts))), texts, asked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(batches, each, schema)
+
+    return files.where("doc_id is not null").select(*keep, "path", "doc_id", "text").mapInArrow(run, schema)
+
+
 def logical_blocks(files: DataFrame) -> DataFrame:
     """doc_id, block (from 0), byte_start, byte_end: the blocks of every text before any is split or merged."""
     schema = "doc_id long, block long, byte_start long, byte_end long"
