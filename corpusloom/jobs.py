@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import files as sourcefiles
 from corpusloom.operators import relational as R
-from corpusloom.operators.stages import shared_folder, stored
+from corpusloom.operators.stages import released, shared_folder, stored
 from corpusloom.queries import query, read
 from corpusloom.sources.published import ChunkStore
 from corpusloom.streaming import queue
@@ -80,7 +80,8 @@ def k03_published_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         return store.members(name).join(whole, "file_key", "left").select(F.lit(name).alias("snapshot"), "path", "status", "reason", "size", "reused", "chunk_bytes", "joined_sha256")
 
     store.publish("first", first)
-    seen = stored(shown("first"))
+    with released(spark):
+        seen = stored(shown("first"))
     store.publish("second", second)
     store.drop("first")
     store.collect_garbage()

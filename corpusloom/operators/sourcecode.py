@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -210,16 +210,16 @@ def strategy_of(grammar: Column, detected_by: Column) -> tuple[Column, Column]:
     return strategy, F.when(grammar.isNotNull(), F.concat(F.lit("missing_tree_sitter_grammar:"), grammar))
 
 
-def chunk_sources(files: DataFrame, options: Options | None = None, budget: int | None = None) -> DataFrame:
-    """Chunks (SCHEMA) of files: doc_id, path, text and what ``detect_sources`` adds.
+def chunk_sources(files: DataFrame, options: Options | None = None, budget: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Chunks (SCHEMA, and keep: columns of strings) of files: doc_id, path, text and what ``detect_sources`` adds.
 
     Chunks of a file follow each other without gaps; lines count from 1; token_count is the bytes of ``contextualized``.
     With a budget each file is fitted on its own (``fit_file``): ``most`` and ``retries`` tell how, and a file that
     can't be fitted is one row with an ``error`` and no chunk. Empty and null texts, and rows without doc_id, have none.
     """
-    options = options or Options()
+    options, schema = options or Options(), ", ".join([SCHEMA, *(f"kept_{c} string" for c in keep)])
     strategy, reason = strategy_of(F.col("grammar"), F.col("detected_by"))
-    rows = files.where("doc_id is not null").select("doc_id", F.coalesce("path", F.lit("")).alias("path"), "text", "language_id", strategy.alias("strategy"), reason.alias("reason"))
+    rows = files.where("doc_id is not null").select("doc_id", F.coalesce("path", F.lit("")).alias("path"), "text", "language_id", strategy.alias("strategy"), reason.alias("reason"), *(F.col(c).alias(f"kept_{c}") for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each(b: pa.RecordBatch, i: int, data: bytes) -> list[list]:
@@ -229,18 +229,19 @@ def chunk_sources(files: DataFrame, options: Options | None = None, budget: int
             else:
                 got, used, retries, error = fit_file(path, data, language, how, options, budget)
             n = len(got.texts)
+            more = [[b.column(f"kept_{c}")[i].as_py()] * (1 if error else n) for c in keep]
             if error:
-                return [[b.column("doc_id")[i].as_py()], [None], [0], [None], [None], [None], [None], [None], [None], [None], [how], [why], [used.most], [retries], [error]]
+                return [[b.column("doc_id")[i].as_py()], [None], [0], [None], [None], [None], [None], [None], [None], [None], [how], [why], [used.most], [retries], [error], *more]
             breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
             lo, hi = got.cuts[:-1], got.cuts[1:]
             first, last = np.searchsorted(breaks, lo) + 1, np.searchsorted(breaks, hi - 1) + 1
             sizes = [len(x.encode()) for x in got.contexts]
             same = lambda x: [x] * n
-            return [same(b.column("doc_id")[i].as_py()), list(range(n)), same(n), lo.tolist(), hi.tolist(), first.tolist(), last.tolist(), got.texts, got.contexts, sizes, same(how), same(why), same(used.most), same(retries), same(None)]
+            return [same(b.column("doc_id")[i].as_py()), list(range(n)), same(n), lo.tolist(), hi.tolist(), first.tolist(), last.tolist(), got.texts, got.contexts, sizes, same(how), same(why), same(used.most), same(retries), same(None), *more]
 
-        yield from gathered(batches, each, SCHEMA)
+        yield from gathered(batches, each, schema)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, schema).withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 
 def target_chunks(files: DataFrame, keep: list[str], most: int = 1024) -> DataFrame:

@@ -1,8 +1,11 @@
 """Publishing snapshots: twice, with a failure between, with files shared and then dropped; readers see whole snapshots."""
 
+import random
+
 import pytest
 
 from corpusloom.operators.sourcecode import Options
+from corpusloom.sources import published
 from corpusloom.sources.published import ChunkStore
 
 SCHEMA = "path string, text string, status string"
@@ -98,3 +101,50 @@ def test_what_does_not_fit_is_told(spark, tmp_path):
     tight = ChunkStore(spark, f"file://{tmp_path}/t", Options(most=128), budget=140)
     counts = tight.publish("one", spark.createDataFrame([("a.zz", "short", "c"), ("long/name/of/" + "x" * 90 + ".zz", "word " * 60, "c")], SCHEMA))
     assert counts["failed"] == 1 and {m[2] for m in state(tight, "one")[0]} == {None, "embedding_input_too_large"}
+
+
+def test_texts_are_kept_once(spark, store, monkeypatch):
+    """A chunk's text isn't written again with its context, nor stored beside the chunks; folders without garbage stay as they are."""
+    kept, real = [], published.stored
+    monkeypatch.setattr(published, "stored", lambda df: kept.extend(df.columns) or real(df))
+    rng = random.Random(4)
+    text = lambda: "".join(f"{rng.getrandbits(256):064x}\n" for _ in range(300))
+    files = [(f"f{i}.zz", text(), "c") for i in range(40)]
+    store.publish("one", spark.createDataFrame(files, SCHEMA))
+    size = store._fs.getContentSummary(store._path(store.folder)).getLength()
+    assert "text" not in kept and size < 1.1 * sum(len(f[1]) for f in files)
+    two = [*files[:30], *((p, t + "more\n", s) for p, t, s in files[30:])]
+    assert store.publish("two", spark.createDataFrame(two, SCHEMA))["reused"] == 30
+    store.drop("one")
+    before, state_ = store.manifest().chunks, state(store, "two")
+    assert store.collect_garbage() > 0 and state(store, "two") == state_
+    after = store.manifest().chunks
+    assert len(after) == 2 and after[0] != before[0] and after[1] == before[1]
+    assert store.collect_garbage() == 0 and store.manifest().chunks == after
+    assert not list(store._fs.listStatus(store._path(f"{store.folder}/work")))
+    parts = {}
+    for c in sorted(state_[1], key=lambda c: c[4]):
+        assert c[10].endswith(c[9]) and len(c[10].encode()) == c[11]
+        parts[c[1]] = parts.get(c[1], "") + c[9]
+    assert parts == {p: t for p, t, _ in two}
+
+
+def test_chunks_written_with_their_context_are_read(spark, store):
+    store.publish("one", spark.createDataFrame(ONE, SCHEMA))
+    before, m = state(store, "one"), store.manifest()
+    store._chunks(m).write.parquet(f"{store.folder}/chunks/older")  # has all of contextualized
+    store._commit(lambda m: published.Manifest(m.number, m.snapshots, [f"{store.folder}/chunks/older"]))
+    assert state(store, "one") == before
+    store.publish("two", spark.createDataFrame(TWO, SCHEMA))
+    two = state(store, "two")
+    store.drop("one")
+    assert store.collect_garbage() == 1 and state(store, "two") == two
+
+
+def test_a_file_in_two_folders_is_kept_once(spark, store):
+    """Two publishers had the same file at once."""
+    store.publish("one", spark.createDataFrame(ONE, SCHEMA))
+    one, m = state(store, "one"), store.manifest()
+    store._chunks(m).write.parquet(f"{store.folder}/chunks/again")
+    store._commit(lambda m: published.Manifest(m.number, m.snapshots, [*m.chunks, f"{store.folder}/chunks/again"]))
+    assert store.collect_garbage() == len(one[1]) and state(store, "one") == one
