@@ -30,14 +30,14 @@ ENDINGS = [".py", ".zz", ".md", ".rs", "", ".h", "/Makefile", ".app.src", ".es",
 
 
 #: SHAPED for Java, without looking at any character as often as its line is long: a match begins a line, or where the last one ended.
-_BEGINS = r"(?<![^\n])"
+_BEGINS = "(?dm)^"
 _LINEAR = [
     ("[.] ", ".\n"),
     (_BEGINS + "([A-E][A-Za-z]*+) ([A-Za-z]++)", "def $2($1) {"),
     (_BEGINS + r"([S-U][^\n]*+)", "$1 }"),
     (_BEGINS + "(I[A-Za-z]*+) ", 'import "$1" '),
     (_BEGINS + "(O[A-Za-z]*+ )", "\n$1"),
-    (rf"(?:\G|{_BEGINS})([^\n]{{240}})", "$1\n"),
+    (_BEGINS + r"([^\n]{240})|\G([^\n]{240})", "$1$2\n"),
 ]
 
 

@@ -60,11 +60,11 @@ def skip_reason(path: Column) -> Column:
 def content_problem(text: Column) -> Column:
     """Why a text isn't chunked, or null: empty, generated by a tool, or minified."""
     lines = F.split(text, r"\r?\n")
-    head = F.lower(F.array_join(F.slice(lines, 1, 6), "\n"))
+    head = F.lower(F.array_join(F.slice(F.split(text, r"\r?\n", 7), 1, 6), "\n"))  # long texts aren't split for their first lines
     longest = F.array_max(F.transform(lines, F.length))
     marked = head.contains("@generated") | head.contains("code generated") | head.contains("do not edit")
     return (
-        F.when(text.rlike(r"(?U)^\s*$"), "empty_file")
+        F.when(~text.rlike(r"(?U)\S"), "empty_file")
         .when(marked, "generated_file")
         .when((F.length(text) > 20000) & (longest > 10000), "minified_file")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import files
 from corpusloom.functions import languages as L
+from corpusloom.functions import text as T
 
 
 def test_lines_are_shaped_in_linear_time(spark):
@@ -41,3 +42,17 @@ def test_signs_of_code_in_linear_time(spark):
     began = time.perf_counter()
     assert spark.range(1).select(L.code_signs(F.repeat(F.lit(";("), 100_000)).alias("n")).first().n == 0
     assert time.perf_counter() - began < 10
+
+
+def test_problems_of_content_are_found_without_splitting_all(spark):
+    """Blank texts of any white space, marks in the sixth line but not in the seventh, lines too long in long texts only."""
+    blank = [chr(c) for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, 0x2007, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    odd = ["​", "﻿", "᠎", "\x1c", "\0", "a", "\U0001f600"]
+    rows = [(x, "empty_file") for x in ["", "\n", "\r\n", " \n \r\n", *blank, "".join(blank), *(f"\n{b}\n" for b in blank)]]
+    rows += [(b + x + b, None) for x in odd for b in ("", "\n", " ", " ")] + [("\x1c\n", None)]
+    rows += [("x\r\n" * 5 + "Do Not Edit", "generated_file"), ("x\n" * 6 + "do not edit", None), ("code\ngenerated", None), ("\n" * 5 + "@GENERATED\n" + "x\n" * 99, "generated_file")]
+    rows += [("x" * 20001, "minified_file"), ("x" * 20000, None), (("x" * 9999 + "\n") * 3, None), ("a\n" * 5001 + "x" * 10001, "minified_file")]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, t string, want string")
+    problem = T.content_problem(F.col("t"))
+    assert d.where(~problem.eqNullSafe(F.col("want"))).collect() == []
+    assert d.where(F.col("t").rlike(r"(?U)^\s*$") != (F.coalesce(problem, F.lit("")) == "empty_file")).collect() == []
